@@ -56,7 +56,7 @@ def lexicon_count(c: str, words: tuple[str, ...]) -> str:
 
 def lexicon_suffix(pos: str, neg: str) -> str:
     return (f"case when {pos} > {neg} and {pos} >= {p.MIN_HITS} then ' positive' "
-            f"when {neg} > {pos} and {neg} >= {p.MIN_HITS} then ' negative' else '' end")
+            f"when {neg} > {pos} and {neg} >= {p.MIN_HITS} then ' negative' when {pos} is not null then '' end")
 
 
 def clean_basic(c: str) -> str:

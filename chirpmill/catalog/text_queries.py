@@ -60,15 +60,15 @@ _base = f"based as (select text_key, {q.normalised('text')} as base from texts)"
 @register("lexicon_counts", f"with {q.TEXTS}, {_base} select text_key, {_counts} from based")
 def lexicon_counts(spark: SparkSession, folder: str) -> DataFrame:
     base = t.normalised(F.col("text"))
-    return all_texts(spark, folder).select(
-        "text_key", t.positive_count(base).alias("pos_count"), t.negative_count(base).alias("neg_count"))
+    pos, neg = t.lexicon_counts(base)
+    return all_texts(spark, folder).select("text_key", pos.alias("pos_count"), neg.alias("neg_count"))
 
 
 @register("lexicon_tag", f"""with {q.TEXTS}, {_base}, counted as (select text_key, {_counts} from based)
 select text_key, trim({q.lexicon_suffix('pos_count', 'neg_count')}) as tag from counted""")
 def lexicon_tag(spark: SparkSession, folder: str) -> DataFrame:
     base = t.normalised(F.col("text"))
-    suffix = t.lexicon_suffix(t.positive_count(base), t.negative_count(base))
+    suffix = t.lexicon_suffix(*t.lexicon_counts(base))
     return all_texts(spark, folder).select("text_key", F.trim(suffix).alias("tag"))
 
 

@@ -12,7 +12,6 @@ WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WORD = r"\p{L}\p{N}_"
-
 URL = rf"(?:http|www)[^{WS}]+"
 MENTION = rf"@[{WORD}]+"
 PUNCT = rf"[^{WORD}{WS}]"

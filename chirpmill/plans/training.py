@@ -23,8 +23,9 @@ def prepare(df: DataFrame, cleaner: str = "enhanced", text: str = "text") -> Dat
     the projection and clean every text twice.
     """
     others = [c for c in df.columns if c != text]
-    cleaned = df.select(*others, F.explode(F.array(CLEANERS[cleaner](F.col(text)))).alias("cleaned_text"))
-    return cleaned.where(F.length("cleaned_text") > 0)
+    cleaned = df.select(*others, CLEANERS[cleaner](F.col(text)).alias("cleaned"))
+    kept = cleaned.select(*others, F.explode(F.array("cleaned")).alias("cleaned_text"))
+    return kept.where(F.length("cleaned_text") > 0)
 
 
 def training_keys(prepared: DataFrame, balance_after_split: bool = False, ratios: dict[int, float] | None = None,
