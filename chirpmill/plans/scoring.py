@@ -6,7 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CLEANERS, blank_guard, decode_label
+from ..functions.text import blank_guard, decode_label
+from ..operators.cleaning import with_cleaned
 from ..operators.members import with_tokens
 
 
@@ -15,7 +16,7 @@ def score(df: DataFrame, model: PipelineModel, model_id: int, cleaner: str, keep
 
     Stateless and row by row, with the cleaner the model was trained with.
     """
-    cleaned = df.withColumn("cleaned_text", CLEANERS[cleaner](F.coalesce(F.col(text), F.lit(""))))
-    scored = model.transform(with_tokens(cleaned))
+    given = df.withColumn("given", F.coalesce(F.col(text), F.lit("")))
+    scored = model.transform(with_tokens(with_cleaned(given, cleaner, "given")))
     name = decode_label(F.col(f"prediction_{model_id}").cast("int"))
-    return scored.select(*keep, blank_guard(F.coalesce(F.col(text), F.lit("")), name).alias("predicted_sentiment"))
+    return scored.select(*keep, blank_guard(F.col("given"), name).alias("predicted_sentiment"))

@@ -9,23 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import RESAMPLE_RATIOS, SEED, TEST_SHARE, VAL_SHARE
-from ..functions.text import CLEANERS
-from ..operators import ensemble, labels, members, metrics, sampling, tokens
+from ..operators import cleaning, ensemble, labels, members, metrics, sampling, tokens
 from ..session import stage
 
 ROW_KEYS = ["post_id", "draw_no"]
 
 
 def prepare(df: DataFrame, cleaner: str = "enhanced", text: str = "text") -> DataFrame:
-    """Replace the text by its cleaned form and drop rows that have nothing left.
-
-    The cleaned text goes through a one-item ``explode``: a plain filter on it would be pushed below
-    the projection and clean every text twice.
-    """
-    others = [c for c in df.columns if c != text]
-    cleaned = df.select(*others, CLEANERS[cleaner](F.col(text)).alias("cleaned"))
-    kept = cleaned.select(*others, F.explode(F.array("cleaned")).alias("cleaned_text"))
-    return kept.where(F.length("cleaned_text") > 0)
+    """Replace the text by its cleaned form and drop rows that have nothing left."""
+    return cleaning.drop_empty(cleaning.with_cleaned(df, cleaner, text)).drop(text)
 
 
 def training_keys(prepared: DataFrame, balance_after_split: bool = False, ratios: dict[int, float] | None = None,
