@@ -19,7 +19,7 @@ CLEANER = "enhanced"
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
     ready = prepared(spark, folder)
-    return stage(training.training_table(ready, training.training_keys(ready)), "training")
+    return stage(training.training_table(ready, training.training_keys(ready)), "training", ("split",))
 
 
 def _train(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.text import text_length, word_count
 from ..operators import profile
 from ..session import work_path
 from ..sources import files
-from ..sources.posts import documents, posts, table
+from ..sources.posts import documents, posts, table, with_sentiment
 from . import sql as q
 from .literals import literal_posts
 from .registry import register
@@ -95,9 +95,7 @@ wide as (select p.*, d.n_chars from posts p join documents d on p.post_id = d.do
 """ + " union all ".join([_describe_number("post_id"), _describe_number("n_chars")]
                          + [_describe_string(c) for c in ("text", "lang", "brand", "sentiment")]))
 def profile_describe(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = table(spark, folder, "documents").select(F.col("doc_id").alias("post_id"), "n_chars")
-    wide = posts(spark, folder).join(sizes, "post_id")
-    return profile.describe(wide, "post_id")
+    return profile.describe(posts(spark, folder, ("n_chars",)), "post_id")
 
 
 @register("sentiment_counts", f"with {q.POSTS} select sentiment, count(*) as n from posts where sentiment is not null group by sentiment")
@@ -162,7 +160,9 @@ def distinct_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("preview_head", f"with {q.POSTS} select * from posts order by post_id limit 5")
 def preview_head(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.preview(posts(spark, folder), "post_id")
+    # the first posts are picked before the join, and again after it
+    first = profile.preview(documents(spark, folder), "post_id")
+    return profile.preview(with_sentiment(first, folder), "post_id")
 
 
 @register("sample_per_class", f"""with {q.POSTS}, ranked as (
@@ -170,7 +170,7 @@ def preview_head(spark: SparkSession, folder: str) -> DataFrame:
 select upper(sentiment) as sentiment, cast(rank as integer) as rank, post_id, substring(text, 1, 100) || '...' as sample
 from ranked where rank <= 2""")
 def sample_per_class(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.samples_per_class(posts(spark, folder), "sentiment", "text", "post_id")
+    return profile.samples_per_class(posts(spark, folder), "sentiment", "text", "post_id", texts=documents(spark, folder))
 
 
 @register("project_text_label", f"with {q.POSTS} select text, sentiment from posts")

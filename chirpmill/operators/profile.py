@@ -158,16 +158,18 @@ def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def samples_per_class(df: DataFrame, column: str, text: str, key: str, n: int = 2, width: int = 100) -> DataFrame:
+def samples_per_class(df: DataFrame, column: str, text: str, key: str, n: int = 2, width: int = 100,
+                      texts: DataFrame | None = None) -> DataFrame:
     """First ``n`` texts of each class, cut to ``width`` characters with dots behind.
 
-    Only keys are ranked; the texts of the few winners are fetched afterwards.
+    Only keys are ranked; the texts of the few winners are fetched afterwards, from ``texts`` where the
+    class of a post is the outcome of a join the texts need not go through.
     """
     keyed = df.where(F.col(column).isNotNull()).select(column, key)
     order = Window.partitionBy(column).orderBy(key)
     winners = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     # at most n rows per class, and the classes are a closed list
-    fetched = df.select(key, text).join(F.broadcast(winners), key)
+    fetched = (df if texts is None else texts).select(key, text).join(F.broadcast(winners), key)
     return fetched.select(
         F.upper(column).alias(column), "rank", key,
         F.concat(F.substring(text, 1, width), F.lit("...")).alias("sample"),
@@ -178,50 +180,49 @@ def _describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric columns, exact at any size.
 
     One pass takes the moments and brackets each quartile with approximate percentiles, whose rank
-    error has a proven bound; a second pass counts what lies below each bracket and the values
-    inside it. Only the values inside the brackets, a thin band, are ordered.
+    error has a proven bound; its outcome, a few numbers per column, goes through the driver. A second
+    pass counts what lies below and above each bracket and the values inside it. Only the values inside
+    the brackets, a thin band, are ordered.
     """
     accuracy = 10000
     slack = 4.0 / accuracy
+    marks = [m for q in QUARTILES for m in (max(0.0, q - slack), min(1.0, q + slack))]
     aggregates = []
     for c in columns:
         d = F.col(c).cast("double")
-        marks = [m for q in QUARTILES for m in (max(0.0, q - slack), min(1.0, q + slack))]
-        aggregates += [
-            F.count(c).alias(f"{c}|count"), F.avg(d).alias(f"{c}|mean"), F.stddev_samp(d).alias(f"{c}|std"),
-            F.min(d).alias(f"{c}|min"), F.max(d).alias(f"{c}|max"),
-            F.percentile_approx(d, marks, accuracy).alias(f"{c}|marks"),
-        ]
-    moments = df.agg(*aggregates)
-    per_column = moments.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"), F.col(f"`{c}|count`").alias("count"), F.col(f"`{c}|mean`").alias("mean"),
-            F.col(f"`{c}|std`").alias("std"), F.col(f"`{c}|min`").alias("min"), F.col(f"`{c}|max`").alias("max"),
-            F.col(f"`{c}|marks`").alias("marks"),
-        ) for c in columns
-    ])))
-    # one row per column and quartile: the bracket, and the two ranks the quartile lies between
-    brackets = per_column.select(
-        "*", F.posexplode(F.array(*[F.lit(q) for q in QUARTILES])).alias("i", "q")
-    ).select(
-        "column_name", "i", F.get("marks", F.col("i") * 2).alias("lo"), F.get("marks", F.col("i") * 2 + 1).alias("hi"),
-        ((F.col("count") - 1) * F.col("q")).alias("place"),
-    )
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns
-    ]))).where("v is not null")
-    side = (
-        F.when(F.col("v") < F.col("lo"), F.lit(-1)).when(F.col("v") > F.col("hi"), F.lit(1)).otherwise(F.lit(0))
-    )
+        aggregates.append(F.struct(
+            F.count(c).alias("count"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"),
+            F.max(d).alias("max"), F.percentile_approx(d, marks, accuracy).alias("marks"),
+        ).alias(c))
+    moments = df.agg(*aggregates).first()
+
+    def brackets(c: str, value: Column) -> list[Column]:
+        found = []
+        for i, q in enumerate(QUARTILES):
+            lo, hi = moments[c]["marks"][2 * i: 2 * i + 2]
+            side = F.when(value < F.lit(lo), -1).when(value > F.lit(hi), 1).otherwise(0)
+            found.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("i"), side.alias("side"), value.alias("v")))
+        return found
+
+    known = [c for c in columns if moments[c]["count"]]
+    summary = df.sparkSession.createDataFrame(
+        [(c, *moments[c][:5]) for c in columns],
+        "column_name string, count bigint, mean double, std double, min double, max double")
+    if not known:
+        return summary
+    rows = [b for c in known for b in brackets(c, F.col(c).cast("double"))]
     # what lies below and above a bracket shrinks to one row each, which keeps its nearest value
     banded = (
-        long.join(F.broadcast(brackets), "column_name")
-        .select("column_name", "i", "place", "v", side.alias("side"), F.when(side == 0, F.col("v")).alias("inside"))
-        .groupBy("column_name", "i", "place", "side", "inside")
+        df.select(F.inline(F.array(*rows))).where("v is not null")
+        .select("column_name", "i", "side", "v", F.when(F.col("side") == 0, F.col("v")).alias("inside"))
+        .groupBy("column_name", "i", "side", "inside")
         .agg(F.count("*").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
     )
     order = Window.partitionBy("column_name", "i").orderBy("side", "inside")
     ranked = banded.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))
+    places = F.create_map(*[F.lit(x) for c in known for i, q in enumerate(QUARTILES)
+                            for x in (f"{c}/{i}", (moments[c]["count"] - 1) * q)])
+    ranked = ranked.withColumn("place", F.element_at(places, F.concat_ws("/", "column_name", "i")))
 
     def value_at(rank: Column) -> Column:
         here = (
@@ -238,34 +239,41 @@ def _describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     spread = quartiles.groupBy("column_name").agg(
         *[F.max(F.when(F.col("i") == i, value)).alias(f"p{int(q * 100)}") for i, q in enumerate(QUARTILES)]
     )
-    return per_column.drop("marks").join(F.broadcast(spread), "column_name", "left")
+    # one row per column
+    return summary.join(F.broadcast(spread), "column_name", "left")
 
 
 def _describe_strings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """count, unique, top and freq of string columns; among equal counts the first seen by ``key``.
 
-    Values are grouped by a 256-bit digest and only digests and keys are shuffled, never the texts;
-    the winning text is then read by its key.
+    Values are grouped by a 256-bit digest, so digests and keys are shuffled, never the texts, in one
+    pass. Its outcome, one row per column, goes through the driver, and the winning texts are then read
+    by their keys, which the scan can look up.
     """
     hashed = df.select(F.col(key).alias("k"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.sha2(F.col(c), 256).alias("digest")) for c in columns
     ])))
     counted = hashed.groupBy("column_name", "digest").agg(F.count("*").alias("n"), F.min("k").alias("first_key"))
     present = F.col("digest").isNotNull()
+    # larger counts first, then smaller keys, as one number: keys have at most 19 digits
+    order = F.col("n").cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)") - F.col("first_key")
     summary = counted.groupBy("column_name").agg(
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
         F.count("digest").alias("unique"),
         F.max(F.when(present, F.col("n"))).alias("freq"),
-    )
-    # from here on one row per column: as small as the schema
-    first = (
-        counted.where(present).join(F.broadcast(summary), "column_name").where(F.col("n") == F.col("freq"))
-        .groupBy("column_name").agg(F.min("first_key").alias("first_key"))
-    )
-    value = reduce(lambda acc, c: acc.when(F.col("column_name") == c, F.col(c)), columns[1:],
-                   F.when(F.col("column_name") == columns[0], F.col(columns[0])))
-    top = df.join(F.broadcast(first), F.col(key) == F.col("first_key")).select("column_name", value.alias("top"))
-    return summary.join(F.broadcast(top), "column_name", "left")
+        F.max_by("first_key", F.when(present, order)).alias("first_key"),
+    ).collect()
+    spark = df.sparkSession
+    shape = "column_name string, count bigint, unique bigint, freq bigint, first_key bigint"
+    rows = [(r["column_name"], r["count"], r["unique"], r["freq"], r["first_key"] if r["freq"] else None) for r in summary]
+    keys = sorted({r[4] for r in rows if r[4] is not None})
+    values = df.where(F.col(key).isin(keys)).select(F.col(key).alias("k"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).alias("top")) for c in columns
+    ])))
+    named = spark.createDataFrame(rows, shape)
+    # as many rows as columns
+    joined = named.join(F.broadcast(values), (F.col("k") == F.col("first_key")) & (F.col("c") == F.col("column_name")), "left")
+    return joined.select("column_name", "count", "unique", "top", "freq")
 
 
 def describe(df: DataFrame, key: str) -> DataFrame:

@@ -72,7 +72,7 @@ def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: boo
     """
     prepared = stage(prepare(labelled, cleaner), "prepared")
     keys = stage(training_keys(prepared, balance_after_split), "keys")
-    rows = stage(training_table(prepared, keys), "training")
+    rows = stage(training_table(prepared, keys), "training", ("split",))
     train = rows.where("split = 'train'")
     vectors = members.fit_word_vectors(train)
     models = members.fit_members(train, members.member_pipelines(vectors))

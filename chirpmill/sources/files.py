@@ -19,22 +19,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Read a headed CSV with a given schema; fields that spell a missing value become NULL.
+def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Read a headed CSV; fields that spell a missing value become NULL.
 
-    A file whose fields hold line breaks cannot be split, so large inputs should come as many
-    files and be turned into Parquet once (``stage``).
+    Without a schema the types are inferred, which costs a pass over the file. A file whose fields hold
+    line breaks cannot be split, so large inputs should come as many files and be turned into Parquet
+    once (``stage``).
     """
-    df = (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", True)
+    reader = (
+        spark.read.option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"')
-        .csv(path)
     )
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return df.select(*[
         F.when(~F.col(f.name).isin(*CSV_MISSING), F.col(f.name)).alias(f.name)
         if isinstance(f.dataType, StringType) else F.col(f.name)
-        for f in schema.fields
+        for f in df.schema.fields
     ])
 
 

@@ -10,10 +10,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
+def documents(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Posts without their labels: no join, for every report that does not ask for sentiment."""
     return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("post_id"), "text", "lang", F.col("source").alias("brand")
+        F.col("doc_id").alias("post_id"), "text", "lang", F.col("source").alias("brand"), *extra
     )
 
 
@@ -31,9 +31,14 @@ def _sentiments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, folder: str) -> DataFrame:
-    """All posts; ``sentiment`` is NULL where nobody labelled the post."""
-    return documents(spark, folder).join(_sentiments(spark, folder), "post_id", "left")
+def with_sentiment(df: DataFrame, folder: str) -> DataFrame:
+    """Add ``sentiment``, NULL where nobody labelled the post."""
+    return df.join(_sentiments(df.sparkSession, folder), "post_id", "left")
+
+
+def posts(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """All posts with their sentiment."""
+    return with_sentiment(documents(spark, folder, extra), folder)
 
 
 def labeled(spark: SparkSession, folder: str) -> DataFrame:
