@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import members
@@ -37,7 +38,8 @@ def _scored(found: DataFrame, pipeline, model_id: int) -> DataFrame:
 
 @register("word_vectors")
 def word_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return members.fit_word_vectors(_train(rows(spark, folder))).getVectors()
+    vectors = members.fit_word_vectors(_train(rows(spark, folder))).getVectors()
+    return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
 @register("member_lr")

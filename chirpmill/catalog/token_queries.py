@@ -26,11 +26,11 @@ def _shown(array: str) -> Column:
     return F.array_join(F.col(array).cast("array<string>"), " ").alias(array)
 
 
-def _sequences(spark: SparkSession, folder: str) -> DataFrame:
+def _sequences(spark: SparkSession, folder: str, **trim: int) -> DataFrame:
     rows = prepared(spark, folder)
     keys = training.training_keys(rows)
     vocabulary = stage(training.vocabulary(rows, keys, VOCABULARY_CAP), "vocabulary")
-    return tokens.text_to_sequence(rows, vocabulary)
+    return tokens.text_to_sequence(rows, vocabulary, **trim)
 
 
 @register("vocab_fit", f"with {q.vocabulary(VOCABULARY_CAP)} select word, idx, n from vocabulary")
@@ -60,13 +60,13 @@ _mask = (f"list_resize(list_resize([]::integer[], least({_size}, {MASKED_LENGTH}
 
 @register("pad_left", f"with {q.sequences(VOCABULARY_CAP)} select post_id, {q.joined(_left)} as padded from sequences")
 def pad_left(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.with_padding(_sequences(spark, folder)).select("post_id", _shown("padded"))
+    return tokens.with_padding(_sequences(spark, folder, last=MAX_LENGTH)).select("post_id", _shown("padded"))
 
 
 @register("pad_right_mask", f"""with {q.sequences(VOCABULARY_CAP)}
 select post_id, {q.joined(_right)} as input_ids, {q.joined(_mask)} as attention_mask from sequences""")
 def pad_right_mask(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.with_mask(_sequences(spark, folder)).select("post_id", _shown("input_ids"), _shown("attention_mask"))
+    return tokens.with_mask(_sequences(spark, folder, first=MASKED_LENGTH)).select("post_id", _shown("input_ids"), _shown("attention_mask"))
 
 
 def _by_place(df: DataFrame, key: str, array: str) -> DataFrame:

@@ -50,7 +50,8 @@ def vector_min_count(train: DataFrame, text: str = "cleaned_text", key: str = "p
 def fit_word_vectors(train: DataFrame, text: str = "cleaned_text", key: str = "post_id", size: int = VECTOR_SIZE,
                      max_words: int = MAX_WORDS, partitions: int | None = None, seed: int = SEED) -> Word2VecModel:
     """Word vectors from the train texts. Partitions learn side by side and are averaged."""
-    partitions = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        partitions = max(1, min(train.sparkSession.sparkContext.defaultParallelism, len(train.inputFiles())))
     stage = Word2Vec(vectorSize=size, seed=seed, inputCol="tokens", outputCol="vector", numPartitions=partitions,
                      minCount=vector_min_count(train, text, key, max_words))
     return stage.fit(train.select("tokens"))

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import text_length, word_count
+from ..session import checked_small
+from .labels import MAX_CLASSES
 
 QUARTILES = (0.25, 0.5, 0.75)
 FIXED_WIDTH = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
@@ -168,8 +170,11 @@ def samples_per_class(df: DataFrame, column: str, text: str, key: str, n: int =
     keyed = df.where(F.col(column).isNotNull()).select(column, key)
     order = Window.partitionBy(column).orderBy(key)
     winners = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    # at most n rows per class, and the classes are a closed list
-    fetched = (df if texts is None else texts).select(key, text).join(F.broadcast(winners), key)
+    few = checked_small(winners, n * MAX_CLASSES, "samples")
+    # their keys go into the scan, which can skip whatever cannot hold them
+    keys = [r[key] for r in few.select(key).collect()]
+    lookup = (df if texts is None else texts).select(key, text).where(F.col(key).isin(keys))
+    fetched = lookup.join(F.broadcast(few), key)
     return fetched.select(
         F.upper(column).alias(column), "rank", key,
         F.concat(F.substring(text, 1, width), F.lit("...")).alias("sample"),

@@ -41,18 +41,17 @@ def with_rank(df: DataFrame, order: str, groups: list[str] | None = None, name:
         df.withColumn("bucket", F.substring(order, 1, DIGITS))
         .withColumn("in_bucket", F.row_number().over(inside) - 1)
     )
-    # bounded: 16 ** DIGITS rows per group
-    joined = placed.join(F.broadcast(offsets), [*groups, "bucket"])
+    # the rows already lie by group and bucket, so only the few offsets move
+    joined = placed.join(offsets, [*groups, "bucket"])
     return joined.withColumn(name, F.col("before") + F.col("in_bucket")).drop("bucket", "in_bucket", "before")
 
 
 def cut_points(df: DataFrame, order: str, group: str, cuts: DataFrame) -> DataFrame:
     """The order value of the ``cut_rank``-th row (1-based) of each group: ``(group, cut, cut_value)``.
 
-    ``cuts`` holds ``(group, cut, cut_rank)`` with a few rows per group. Only the buckets that hold a
-    cut are ranked; every other row is just counted.
+    ``cuts`` holds ``(group, cut, cut_rank)``: a few rows for each of few groups, made from a checked table.
+    Only the buckets that hold a cut are ranked; every other row is just counted.
     """
-    # few rows: groups times cuts
     wanted = (
         bucket_counts(df, order, [group]).join(F.broadcast(cuts), group)
         .where((F.col("before") < F.col("cut_rank")) & (F.col("cut_rank") <= F.col("before") + F.col("bucket_n")))

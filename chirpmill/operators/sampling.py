@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.patterns import RESAMPLE_RATIOS, SEED, TEST_SHARE, VAL_SHARE
-from .labels import class_sizes
+from .labels import few_class_sizes
 from .ranking import cut_points, hashed_order, with_rank
 
 DRAWS_PER_BLOCK = 1 << 16
@@ -19,7 +19,7 @@ DRAWS_PER_BLOCK = 1 << 16
 
 def draw_counts(df: DataFrame, ratios: dict[int, float], label: str = "label_id", base: int = 0) -> DataFrame:
     """Draws per class: the truncated share of the base class; one row per class."""
-    sizes = class_sizes(df, label)
+    sizes = few_class_sizes(df, label)
     base_n = F.max(F.when(F.col(label) == base, F.col("n"))).over(Window.partitionBy())
     share = F.create_map(*[F.lit(x) for k, r in sorted(ratios.items()) for x in (k, float(r))])
     return (
@@ -115,7 +115,7 @@ def stratified_split(df: DataFrame, keys: list[str], label: str = "label_id", te
     """
     ordered = df.withColumn("order_key", hashed_order(seed, *keys))
     narrow = ordered.select(label, "order_key")
-    quotas = split_quotas(class_sizes(df.select(label), label), label, test_share, val_share)
+    quotas = split_quotas(few_class_sizes(df.select(label), label), label, test_share, val_share)
     cuts = quotas.select(label, F.inline(F.array(
         F.struct(F.lit("train").alias("cut"), F.col("train_n").alias("cut_rank")),
         F.struct(F.lit("val").alias("cut"), (F.col("train_n") + F.col("val_n")).alias("cut_rank")),

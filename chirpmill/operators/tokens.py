@@ -47,13 +47,21 @@ def vocabulary_size(df: DataFrame, text: str = "cleaned_text", max_words: int =
 
 
 def text_to_sequence(df: DataFrame, vocabulary: DataFrame, text: str = "cleaned_text",
-                     keys: tuple[str, ...] = ("post_id",), name: str = "sequence") -> DataFrame:
+                     keys: tuple[str, ...] = ("post_id",), name: str = "sequence",
+                     last: int | None = None, first: int | None = None) -> DataFrame:
     """``(*keys, sequence)``: word ids in text order, unknown words as 1.
 
     The vocabulary is capped when it is fitted, which bounds the broadcast. The words of a row sit
-    in one task, so lists are put together before the shuffle by key.
+    in one task, so lists are put together before the shuffle by key. ``last`` or ``first`` is for a
+    caller that will pad to that length anyway: words it would cut off are not looked up or shuffled.
     """
-    words = df.select(*keys, F.posexplode_outer(tokens(F.col(text))).alias("pos", "word"))
+    split = df.select(*keys, tokens(F.col(text)).alias("words"))
+    wanted = F.col("words")
+    if last is not None:
+        wanted = F.slice("words", F.greatest(F.size("words") - last, F.lit(0)) + 1, F.lit(last))
+    elif first is not None:
+        wanted = F.slice("words", 1, first)
+    words = split.select(*keys, F.posexplode_outer(wanted).alias("pos", "word"))
     looked_up = words.join(F.broadcast(vocabulary.select("word", "idx")), "word", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(OOV_ID)).alias("idx")))
     return (

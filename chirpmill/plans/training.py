@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,18 +64,23 @@ class Trained:
     best: DataFrame
 
 
-def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: bool = False,
-        select_on: str = "test") -> Trained:
+def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: bool = False, select_on: str = "test",
+        grids: dict[int, list[tuple[str, Pipeline]]] | None = None) -> Trained:
     """Train the four members and judge them and their four combinations.
 
-    ``select_on`` names the split that picks the combination: 'test' or, free of leaks, 'val'.
+    ``select_on`` names the split that picks the combination: 'test' or, free of leaks, 'val'. A member
+    named in ``grids`` is the candidate that does best on the validation rows.
     """
     prepared = stage(prepare(labelled, cleaner), "prepared")
     keys = stage(training_keys(prepared, balance_after_split), "keys")
     rows = stage(training_table(prepared, keys), "training", ("split",))
     train = rows.where("split = 'train'")
     vectors = members.fit_word_vectors(train)
-    models = members.fit_members(train, members.member_pipelines(vectors))
+    pipelines = {m: p for m, p in members.member_pipelines(vectors).items() if m not in (grids or {})}
+    models = members.fit_members(train, pipelines) if pipelines else {}
+    for m, candidates in (grids or {}).items():
+        models[m], _ = members.select_on_validation(train, rows.where("split = 'val'"), candidates, m)
+    models = dict(sorted(models.items()))
     held_out = rows.where("split <> 'train'")
     wide = stage(members.predict_proba(held_out, models, [*ROW_KEYS, "label_id", "split"]), "scores")
     scores = ensemble.long_scores(wide, [*ROW_KEYS, "label_id", "split"])

@@ -45,6 +45,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chirpmill/{name}-{uuid.uuid4().hex}"
 
 
+def checked_small(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """The rows of ``df`` as a local table, once they are known to be few.
+
+    At most ``limit + 1`` rows reach the driver; more than ``limit`` is an error, never a cut. What comes
+    back may be broadcast.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the written table.
 

@@ -70,3 +70,15 @@ def test_softmax_of_large_scores(spark):
     rows = df.select(*softmax([F.col(c) for c in "abc"])).collect()
     assert tuple(rows[0]) == (0.5, 0.5, 0.0)
     assert abs(sum(rows[1]) - 1) < 1e-12
+
+
+def test_trimming_before_the_lookup_changes_no_padded_row(spark):
+    vocabulary = tokens.fit_vocabulary(_texts(spark), max_words=5)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for length in (1, 2, 3, 9):
+        whole = tokens.text_to_sequence(_texts(spark), vocabulary)
+        assert rows(tokens.with_padding(whole, length=length).select("post_id", "padded")) == rows(tokens.with_padding(
+            tokens.text_to_sequence(_texts(spark), vocabulary, last=length), length=length).select("post_id", "padded"))
+        columns = ("post_id", "input_ids", "attention_mask")
+        assert rows(tokens.with_mask(whole, length=length).select(*columns)) == rows(tokens.with_mask(
+            tokens.text_to_sequence(_texts(spark), vocabulary, first=length), length=length).select(*columns))
