@@ -41,8 +41,8 @@ def with_rank(df: DataFrame, order: str, groups: list[str] | None = None, name:
         df.withColumn("bucket", F.substring(order, 1, DIGITS))
         .withColumn("in_bucket", F.row_number().over(inside) - 1)
     )
-    # the rows already lie by group and bucket, so only the few offsets move
-    joined = placed.join(offsets, [*groups, "bucket"])
+    # the rows already lie sorted by group and bucket, so a merge moves the few offsets only
+    joined = placed.join(offsets.hint("merge"), [*groups, "bucket"])
     return joined.withColumn(name, F.col("before") + F.col("in_bucket")).drop("bucket", "in_bucket", "before")
 
 

@@ -61,7 +61,8 @@ def resample(df: DataFrame, ratios: dict[int, float] | None = None, key: str = "
         keys.where(F.col(label).isin(*ratios)).withColumn("order_key", hashed_order(seed, key)),
         "order_key", [label], "place",
     )
-    return _draws(counts, label, seed).join(ranked, [label, "place"]).select(key, label, "draw_no")
+    # the planner takes the draws for as few as the classes they are written out from: keep it from broadcasting
+    return _draws(counts, label, seed).hint("merge").join(ranked, [label, "place"]).select(key, label, "draw_no")
 
 
 def balance(df: DataFrame, ratios: dict[int, float] | None = None, key: str = "post_id",

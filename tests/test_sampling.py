@@ -109,3 +109,14 @@ def test_label_ids_are_alphabetical(spark):
     df = spark.createDataFrame([("positive",), ("negative",), ("neutral",), (None,)], "s string")
     rows = labels.encode_labels(df, labels.fit_labels(df, "s"), "s").collect()
     assert {r["s"]: r["label_id"] for r in rows} == {"negative": 0, "neutral": 1, "positive": 2, None: None}
+
+
+def test_draws_are_never_broadcast(spark):
+    plan = sampling.resample(_classes(spark, [50, 30, 80]))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_too_many_classes_is_an_error_not_a_cut(spark, monkeypatch):
+    monkeypatch.setattr(labels, "MAX_CLASSES", 2)
+    with pytest.raises(ValueError):
+        labels.class_weights(_classes(spark, [5, 3, 8]))
