@@ -10,7 +10,7 @@ from ..functions.text import text_length, word_count
 from ..operators import profile
 from ..session import work_path
 from ..sources import files
-from ..sources.posts import documents, posts, table, with_sentiment
+from ..sources.posts import documents, posts, spread, table, with_sentiment
 from . import sql as q
 from .literals import literal_posts
 from .registry import register
@@ -119,7 +119,7 @@ def sentiment_share(spark: SparkSession, folder: str) -> DataFrame:
 round(avg({q.word_count('text')}), 6) as avg_word_count, cast(max(length(text)) as integer) as max_text_length,
 cast(min(length(text)) as integer) as min_text_length from documents""")
 def text_length_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.text_length_stats(documents(spark, folder))
+    return profile.text_length_stats(spread(documents(spark, folder), "post_id"))
 
 
 @register("brand_sentiment_crosstab", f"""with {q.POSTS} select brand,
@@ -149,7 +149,7 @@ def text_length_hist(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("word_count_hist", _histogram_sql(q.word_count("text"), WORD_BINS))
 def word_count_hist(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.histogram(documents(spark, folder), word_count(F.col("text")), WORD_BINS)
+    return profile.histogram(spread(documents(spark, folder), "post_id"), word_count(F.col("text")), WORD_BINS)
 
 
 @register("distinct_labels", f"""with {q.POSTS}

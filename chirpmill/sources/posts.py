@@ -10,6 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a small scan out over all cores before heavy work on each row.
+
+    For plain scans only. A scan with as many splits as cores, as any large one has, is left alone, so what
+    is moved never exceeds one split per core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def documents(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Posts without their labels: no join, for every report that does not ask for sentiment."""
     return table(spark, folder, "documents").select(
@@ -45,7 +55,7 @@ def labeled(spark: SparkSession, folder: str) -> DataFrame:
     """Posts with a sentiment and its id (alphabetical, from 0)."""
     label_id = F.when(F.col("sentiment") == "negative", 0).when(F.col("sentiment") == "neutral", 1).otherwise(2)
     return (
-        documents(spark, folder).select("post_id", "text", "brand")
+        spread(documents(spark, folder).select("post_id", "text", "brand"), "post_id")
         .join(_sentiments(spark, folder), "post_id")
         .withColumn("label_id", label_id)
     )
@@ -60,4 +70,6 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     talks = table(spark, folder, "conversations").select(
         F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("text_key"), "text"
     )
-    return docs.unionByName(pages).unionByName(talks)
+    return (
+        spread(docs, "text_key").unionByName(spread(pages, "text_key")).unionByName(spread(talks, "text_key"))
+    )
