@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, licenses, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,56 @@ from d left join hit using (doc_id) left join named using (doc_id)
 """)
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))[0]
+
+
+def _license_sql() -> str:
+    rows = ", ".join(
+        f"('{t}', '{label}', {base})"
+        for table, base in ((licenses.BASE, "true"), (licenses.TEXTS, "false")) for t, label in table.items())
+    k = licenses.K
+    return f"""
+with d as (select doc_id, {_words('text', _LETTERED)} w from documents),
+t as (select template, label, base, string_split(template, ' ') w from (values {rows}) v(template, label, base)),
+runs as (select template, label, base, len(w) - {k - 1} n_runs, i - 1 place, array_to_string(w[i:i + {k - 1}], ' ') said
+         from t, unnest(range(1, len(w) - {k - 2})) u(i)),
+said as (select doc_id, i - 1 p, array_to_string(w[i:i + {k - 1}], ' ') said from d, unnest(range(1, len(w) - {k - 2})) u(i)),
+hits as (select doc_id, template, label, base, n_runs, place, p - place diagonal from said join runs using (said)),
+places as (
+  select doc_id, count(*) n_base, min(diagonal) first_word, max(diagonal) last_word,
+         string_agg(distinct label, ',' order by label) base_labels, list(distinct label) base_set
+  from (select doc_id, template, label, diagonal from hits where base
+        group by doc_id, template, label, n_runs, diagonal having count(*) = n_runs) group by doc_id),
+steps as (
+  select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal, place) <= {licenses.GAP}
+            then 0 else 1 end opens from hits),
+spans as (
+  select *, sum(opens) over (partition by doc_id, template order by diagonal, place rows unbounded preceding) span from steps),
+shares as (
+  select doc_id, label, base, count(distinct place)::double / n_runs share from spans
+  group by doc_id, template, label, base, n_runs, span),
+own as (
+  select doc_id, max(share) score, list(distinct label) filter (not base and share >= {licenses.SHARE}) own_set
+  from shares group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_base, 0) n_base, first_word, last_word,
+       coalesce(base_labels, '') base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(own_set, [])))), ',') labels,
+       coalesce(score, 0.0)::double score
+from d left join places using (doc_id) left join own using (doc_id)
+"""
+
+
+@query("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+@query("op10_warc", f"""
+with p as (select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) payload_bytes,
+                  sha256(coalesce(html, '')) payload_digest from pages),
+f as (select payload_digest, min(page_id) first_id from p where payload_bytes >= {warc.MIN_BYTES} group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when page_id <> first_id then 'revisit' else 'response' end record_type,
+       case when page_id <> first_id then first_id end refers_to
+from p left join f using (payload_digest)
+""")
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(_table(spark, folder, "pages"))
