@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, warc
+from chirpmill.session import work_path
+
+from . import decontaminate, importable, licenses, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -20,7 +22,11 @@ def _words(column: str, pattern: str) -> str:
 
 def query(name: str, sql: str | None = None):
     def keep(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            importable(spark)
+            return f(spark, folder)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
@@ -103,3 +109,12 @@ from p left join f using (payload_digest)
 """)
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(_table(spark, folder, "pages"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = work_path(spark, "token-files")
+    token_files.write_ids(_table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_ids(spark, path).drop("ids")

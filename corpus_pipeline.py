@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpmill.llm import decontaminate
+from chirpmill.llm import decontaminate, importable
 from chirpmill.session import work_path
 
 
