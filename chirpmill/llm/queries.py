@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, licenses, token_files, warc
+from . import decontaminate, importable, licenses, quality, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,9 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "token-files")
     token_files.write_ids(_table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read_ids(spark, path).drop("ids")
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
