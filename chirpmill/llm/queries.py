@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, licenses, quality, token_files, warc
+from . import decontaminate, importable, licenses, neighbours, quality, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,3 +125,8 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
