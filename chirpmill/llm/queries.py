@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, licenses, neighbours, quality, token_files, warc
+from . import decontaminate, importable, licenses, neighbours, packing, quality, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,8 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_neighbours")
 def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"))
