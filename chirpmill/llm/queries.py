@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, licenses, neighbours, packing, quality, token_files, warc
+from . import decontaminate, importable, licenses, neighbours, packing, quality, quotations, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,36 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
+
+
+@query("op7_quotations", r"""
+with recursive m as (select conv_id, turn, role, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) ls
+  from conversations),
+l as (select conv_id, turn, role, i, regexp_extract(ls[i], '^[ \t]*>[> \t]*') mark, ls[i] line from m, unnest(range(1, len(ls) + 1)) t(i)),
+v as (select *, len(mark) - len(replace(mark, '>', '')) lv, regexp_replace(line, '^[ \t]*>[> \t]*', '') body from l),
+g as (select *, sum(case when lv = prev then 0 else 1 end) over (partition by conv_id, turn order by i) run
+      from (select *, lag(lv) over (partition by conv_id, turn order by i) prev from v)),
+r as (select conv_id, turn, role, run, any_value(lv) lv, string_agg(body, chr(10) order by i) body from g group by conv_id, turn, role, run),
+n as (select *, coalesce(lead(lv) over (partition by conv_id, turn order by run) > 0, false) before_quote from r),
+o as (select conv_id, turn, any_value(role) role, regexp_replace(regexp_replace(coalesce(string_agg(
+        case when before_quote then regexp_replace(body, '(?m)^.*\b(wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:[ \t]*\s*\z', '') else body end,
+        chr(10) order by run) filter (lv = 0), ''), '\A\s+|\s+\z', '', 'g'), '^ +| +$', '', 'g') own
+      from n group by conv_id, turn),
+said as (select distinct conv_id, turn, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) passage
+  from o, unnest(list_concat([own], string_split(own, chr(10)), regexp_split_to_array(own, '\n[ \t]*\n'))) t(p)),
+source as (select conv_id, passage, min(turn) source from said where passage <> '' group by conv_id, passage),
+q as (select conv_id, turn, run, lv, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) passage from r where lv > 0),
+k as (select q.conv_id, q.turn, q.lv, len(q.passage) size, case when source < q.turn then source end source
+      from q left join source s on q.conv_id = s.conv_id and q.passage = s.passage where q.passage <> ''),
+b as (select conv_id, turn, count(*) n_quotes, count(source) n_linked,
+             arg_min(source, row(lv, -size, source)) filter (source is not null) parent_turn from k group by conv_id, turn),
+tree as (
+  select o.conv_id, o.turn, o.turn root_turn, 0 depth from o left join b using (conv_id, turn) where parent_turn is null
+  union all
+  select b.conv_id, b.turn, tree.root_turn, tree.depth + 1 from b join tree on b.conv_id = tree.conv_id and b.parent_turn = tree.turn)
+select o.conv_id, row_number() over (partition by o.conv_id order by root_turn, o.turn) - 1 as position, o.turn, o.role, root_turn,
+       parent_turn, depth, coalesce(n_quotes, 0) n_quotes, coalesce(n_linked, 0) n_linked, own as text
+from o join tree using (conv_id, turn) left join b using (conv_id, turn)
+""")
+def op7_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.conversations(_table(spark, folder, "conversations"))
