@@ -27,38 +27,77 @@ from pyspark.sql import functions as F
 from chirpmill.session import work_path
 
 BLOCK_IDS = 1 << 18
-#: Parts of texts remembered with their ids by each worker, and the longest that is.
-REMEMBERED, LONGEST = 300_000, 48
+#: Parts of texts, and letter runs in them, remembered with their ids by each worker, and the longest that is.
+REMEMBERED, LONGEST = 500_000, 48
+#: Marks that end a part without touching the letters before them; the apostrophe can (it opens contractions).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _worker: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of this worker and the ids of the parts it has seen."""
+    """The tokenizer of this worker, and the ids of the parts and of the letter runs that it has seen."""
     if path not in _worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _worker[path] = (Tokenizer.from_file(path), {})
+        _worker[path] = (Tokenizer.from_file(path), {}, {})
     return _worker[path]
 
 
+def _runs(tokenizer, runs: list[str], kind: type) -> dict[str, bytes]:
+    """Ids of letter runs, many to a call: each is one word to the tokenizer, or they are encoded one by one."""
+    out = {}
+    for a in range(0, len(runs), 2000):
+        some = runs[a:a + 2000]
+        made = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        word = np.array(made.word_ids)
+        cuts = np.flatnonzero(np.diff(word)) + 1
+        if len(cuts) + 1 == len(some) and len(word):
+            ids = np.array(made.ids, kind)
+            edges = [0, *cuts.tolist(), len(ids)]
+            out.update((r, ids[i:j].tobytes()) for r, i, j in zip(some, edges, edges[1:]))
+        else:
+            out.update((r, np.array(e.ids, kind).tobytes()) for r, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+    return out
+
+
+def _letters(part: str) -> str:
+    """The letters at the head of a part that is letters and then marks, in ASCII lower case; else nothing.
+
+    Such a part has the ids of its letters followed by the ids of its marks, for a tokenizer that lower-cases, splits
+    letters from marks and has no special token in the part.
+    """
+    head = part.rstrip(MARKS)
+    if not head.isalpha() or not head.lower().isalpha():
+        return ""
+    return head.lower() if head.isascii() else head
+
+
 def encode_texts(path: str, texts: list[str], kind: type) -> list[bytes]:
     """Ids of each text. White space never joins or changes tokens of this kind of tokenizer, so texts are cut at
-    blanks and line ends and each different part is tokenized once."""
-    tokenizer, seen = _tokenizer(path)
+    blanks and line ends, and each different run of letters, or other part, is tokenized once."""
+    tokenizer, seen, runs = _tokenizer(path)
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*parts).difference(seen)) if parts else []
-    now = {w: np.array(e.ids, kind).tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-    out = []
-    if now:
-        for p in parts:
-            out.append(b"".join([now[w] if w in now else seen[w] for w in p]))
-    else:
-        out = [b"".join([seen[w] for w in p]) for p in parts]
-    if len(seen) + len(now) > REMEMBERED:
+    heads = {w: _letters(w) for w in set().union(*parts).difference(seen)}
+    wanted = {h for h in heads.values() if h}.difference(runs)
+    found = _runs(tokenizer, list(wanted), kind)
+    rest = list({w[len(h):] for w, h in heads.items() if not h or len(w) > len(h)})
+    other = {w: np.array(e.ids, kind).tobytes() for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False))}
+    other[""] = b""
+    ids_of = runs if not found else {**{h: runs[h] for h in heads.values() if h in runs}, **found}
+    if len(seen) + len(heads) > REMEMBERED:
+        kept = {w: seen[w] for p in parts for w in p if w in seen}
         seen.clear()
-    seen.update((w, v) for w, v in now.items() if len(w) <= LONGEST)
+        seen.update(kept)
+    seen.update((w, ids_of[h] + other[w[len(h):]] if h else other[w]) for w, h in heads.items())
+    out = [b"".join(map(seen.__getitem__, p)) for p in parts]
+    for w in heads:
+        if len(w) > LONGEST:
+            del seen[w]
+    if len(runs) + len(found) > REMEMBERED:
+        runs.clear()
+    runs.update((h, v) for h, v in found.items() if len(h) <= LONGEST)
     return out
 
 
