@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, licenses, neighbours, packing, quality, quotations, token_files, warc
+from . import decontaminate, importable, licenses, lines, neighbours, packing, quality, quotations, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -168,3 +168,13 @@ from o join tree using (conv_id, turn) left join b using (conv_id, turn)
 """)
 def op7_quotations(spark: SparkSession, folder: str) -> DataFrame:
     return quotations.conversations(_table(spark, folder, "conversations"))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    kept, lost = lines.dedup(docs)
+    return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5")).join(
+        lost.withColumnRenamed("doc_id", "lost_id"), F.expr("doc_id <=> lost_id"), "left").select(
+        "doc_id", "n_chars_kept", "text_md5", F.coalesce("n_same", F.lit(0)).cast("long").alias("n_same"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
