@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, licenses, lines, neighbours, packing, quality, quotations, token_files, warc
+from . import decontaminate, importable, jaccard, licenses, lines, neighbours, packing, quality, quotations, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +178,20 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         lost.withColumnRenamed("doc_id", "lost_id"), F.expr("doc_id <=> lost_id"), "left").select(
         "doc_id", "n_chars_kept", "text_md5", F.coalesce("n_same", F.lit(0)).cast("long").alias("n_same"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+
+
+@query("op2_jaccard", f"""
+with recursive d as (select doc_id, {_words('text', _SPACED)} w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+both_ways as (select a, b from link union all select b, a from link),
+reach(doc_id, other) as (
+  select doc_id, doc_id from d union select reach.doc_id, b from reach join both_ways on reach.other = a)
+select d.doc_id, coalesce(n, 0) n_shingles, component_id
+from d left join n using (doc_id) join (select doc_id, min(other) component_id from reach group by doc_id) using (doc_id)
+""")
+def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(_table(spark, folder, "documents"))
