@@ -29,7 +29,7 @@ from chirpmill.session import stage
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Rows of one length that one task ranks, about.
-RANKED = 20_000
+RANKED = 1000
 
 
 def bin_cost(capacity: int) -> float:
@@ -108,13 +108,14 @@ def pieces(docs: DataFrame, length: Column, longest: int, id_col: str) -> DataFr
     )
 
 
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Add the rank of each piece among pieces of its length."""
-    buckets = max(1, -(-total // RANKED))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Add the rank of each piece among pieces of its length; ``counts`` has a row for each length at most."""
+    buckets = rows.sparkSession.createDataFrame(
+        [(n, -(-k // RANKED)) for n, k in counts.items()], "length int, buckets long")
+    rows = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets")).drop("buckets")
+    counted = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "bucket", F.coalesce(upto, F.lit(0)).alias("before"))
+    offsets = counted.select("length", "bucket", F.coalesce(upto, F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
     return (
         rows.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["length", "bucket"])
@@ -168,6 +169,6 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: str =
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     held = spark.sparkContext.broadcast(slots(pack_counts(counts, capacities)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ranked(rows, sum(counts.values())).select("doc_id", "piece", "start", "length", F.col("rank").cast("long").alias("rank")).mapInArrow(
+    return ranked(rows, counts).select("doc_id", "piece", "start", "length", F.col("rank").cast("long").alias("rank")).mapInArrow(
         _placed(held),
         f"doc_id {kind}, piece bigint, start bigint, length int, bin_id bigint, bin_capacity int, bin_start int")
