@@ -165,8 +165,12 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     return stage(same.withColumn("near", F.lit(False)).unionByName(close.withColumn("near", F.lit(True))).distinct(), "lines-dropped")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """All columns of ``docs`` with the lines that stay in ``text_col``, and ``doc_id, n_same, n_near`` of texts that lose some."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
+          keep_emptied: bool = True) -> tuple[DataFrame, DataFrame]:
+    """All columns of ``docs`` with the lines that stay in ``text_col``, and ``doc_id, n_same, n_near`` of texts that lose some.
+
+    Without ``keep_emptied``, rows that lose every line but blank ones go.
+    """
     gone = dropped(docs, id_col, text_col, edits)
     by_doc = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(
         F.sort_array(F.collect_set("no")).alias("gone_nos"),
@@ -184,5 +188,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_nos"))
     rebuilt = F.when(F.col("gone_nos").isNull(), text).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    if not keep_emptied:
+        inner = inner.withColumn("rebuilt", rebuilt).where(F.col("gone_nos").isNull() | F.col("rebuilt").rlike(r"\S"))
+        rebuilt = F.col("rebuilt")
     out = inner.select(*[rebuilt.alias(n) if n == text_col else F.col("whole").getField(n).alias(n) for n in names])
     return out, lost.select(F.col("gone_id").alias("doc_id"), "n_same", "n_near")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .wordhash import SPACED, pieces, words
 
@@ -231,30 +232,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_field(x, np.array([r["n"] for r in rows]), np.array([r["label"] for r in rows], float))
 
 
-def _score_rows(field):
+def scores(model: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of lines of each text of a piece."""
+    lines = describe(data, offsets)
+    good = marginals(model, lines.x.astype(np.float32), lines.count)
+    text = np.repeat(np.arange(len(lines.count)), lines.count)
+    weight = np.bincount(text, weights=lines.size, minlength=len(lines.count))
+    total = np.bincount(text, weights=lines.size * good, minlength=len(lines.count))
+    return np.clip(np.where(weight > 0, total / np.maximum(weight, 1), model.prior), 0, 1), lines.count
+
+
+def _score_rows(field, text_at: int):
     def run(batches):
         model = field.value
         for batch in batches:
-            for first, data, offsets in pieces(batch.column(1)):
-                lines = describe(data, offsets)
-                good = marginals(model, lines.x.astype(np.float32), lines.count)
-                text = np.repeat(np.arange(len(lines.count)), lines.count)
-                weight = np.bincount(text, weights=lines.size, minlength=len(lines.count))
-                total = np.bincount(text, weights=lines.size * good, minlength=len(lines.count))
-                score = np.where(weight > 0, total / np.maximum(weight, 1), model.prior)
+            for first, data, offsets in pieces(batch.column(text_at)):
+                score, count = scores(model, data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(score)), pa.array(np.clip(score, 0, 1)), pa.array(lines.count)],
-                    names=["doc_id", "score", "n_lines"])
+                    [*batch.slice(first, len(score)).columns, pa.array(score), pa.array(count)],
+                    names=[f"c{i}" for i in range(batch.num_columns + 2)])
     return run
 
 
+def with_score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` under the names ``c0``, ``c1``, ..., then the score and the number of lines."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = StructType([*plain.schema.fields, StructField(f"c{len(docs.columns)}", DoubleType()),
+                         StructField(f"c{len(docs.columns) + 1}", LongType())])
+    held = docs.sparkSession.sparkContext.broadcast(field)
+    return plain.mapInArrow(_score_rows(held, docs.columns.index(text_col)), schema)
+
+
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, n_lines`` of every row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(field)
-    return (
-        source.mapInArrow(_score_rows(held), f"doc_id {kind}, score double, n_lines bigint")
-        .select("doc_id", held_out("doc_id").alias("held_out"), "score",
-                (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_lines")
-    )
+    rows = with_score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), field).toDF(
+        "doc_id", "text", "score", "n_lines")
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_lines")
+
+
+def accepted(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected; nothing is shuffled for it."""
+    rows = with_score(docs, field, text_col)
+    return rows.where(F.col(rows.columns[-2]) >= THRESHOLD).drop(*rows.columns[-2:]).toDF(*docs.columns)

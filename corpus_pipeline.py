@@ -5,19 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpmill.llm import decontaminate, importable
+from chirpmill.llm import decontaminate, importable, jaccard, lines, packing, quality
 from chirpmill.session import work_path
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field scores at ``quality.THRESHOLD`` or more."""
+    importable(spark)
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier, or nearly so; those with no line left go."""
+    importable(spark)
+    kept, _ = lines.dedup(docs, keep_emptied=False)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, that with the least id."""
+    importable(spark)
+    copies = jaccard.classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    return docs.join(copies, F.expr("doc_id = copy_id"), "left_anti")
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    importable(spark)
     rows, _ = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = rows.where("contaminated").select(F.col("doc_id").alias("hit_id"))
     return docs.join(hit, F.expr("doc_id <=> hit_id"), "left_anti")
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the packed sequences."""
+    importable(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: The classifier is trained and the packing goes through ranks, which SQL cannot state.
