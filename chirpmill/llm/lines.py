@@ -32,13 +32,18 @@ CLASSES = 61
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, no, line, size``: the lines that take part."""
+    # trimmed and measured before they are exploded: what comes later reads a column and not the rule for it
+    cut = F.transform(F.transform(F.split(F.col(text_col), "\n", -1), trimmed), lambda x: F.struct(x.alias("line"), F.length(x).alias("size")))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line"))
-        .withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).withColumn("size", F.length("line"))
-        .where(F.col("size") >= MIN_CHARS)
+        docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("no", "x"))
+        .select("doc_id", "no", "x.line", "x.size").where(F.col("size") >= MIN_CHARS)
     )
 
 
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
 def segment_hashes(edits: int) -> Column:
     """Hashes of the substrings of ``line`` (of ``size`` characters) by which lines within ``edits`` edits meet."""
     parts, made = edits + 1, []
@@ -87,7 +92,7 @@ def fetched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> D
     return stage(
         texts.join(wanted, F.expr("doc_id <=> want_id"))
         .select("doc_id", F.explode(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get("all", n).alias("line")))).alias("x"))
-        .select(F.struct("doc_id", "x.no").alias("at"), F.regexp_replace("x.line", r"^\s+|\s+$", "").alias("line"))
+        .select(F.struct("doc_id", "x.no").alias("at"), trimmed(F.col("x.line")).alias("line"))
         .where(F.length("line") >= MIN_CHARS).distinct()
         .withColumn("chars", F.split("line", "")).withColumn("parity", parity).select("at", "line", "parity"), "line-texts")
 
