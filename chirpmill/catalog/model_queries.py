@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.patterns import MAX_WORDS, VECTOR_SIZE
 from ..operators import members
 from ..plans import training
 from ..plans.scoring import score
 from ..session import stage, work_path
 from ..sources.posts import labeled, table
 from ..streaming import scoring as streaming
+from . import sql as q
 from .registry import register
 from .sampling_queries import prepared
 from .text_queries import all_texts
@@ -20,7 +23,7 @@ CLEANER = "enhanced"
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
     ready = prepared(spark, folder)
-    return stage(training.training_table(ready, training.training_keys(ready)), "training", ("split",))
+    return stage(training.training_table(ready, stage(training.training_keys(ready), "keys")), "training", ("split",))
 
 
 def _train(found: DataFrame) -> DataFrame:
@@ -31,37 +34,47 @@ def _held_out(found: DataFrame) -> DataFrame:
     return found.where("split <> 'train'")
 
 
+def _words(found: DataFrame) -> list[str]:
+    return members.fitted_words(_train(found))
+
+
+def _vectors(found: DataFrame):
+    return members.fit_word_vectors(_train(found), _words(found))
+
+
 def _scored(found: DataFrame, pipeline, model_id: int) -> DataFrame:
-    model = pipeline.fit(_train(found))
+    model = members.fit_members(_train(found), {model_id: pipeline})[model_id]
     return members.predict_proba(_held_out(found), {model_id: model}, [*training.ROW_KEYS, "label_id", "split"])
 
 
 @register("word_vectors")
 def word_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = members.fit_word_vectors(_train(rows(spark, folder))).getVectors()
+    vectors = _vectors(rows(spark, folder)).stages[-1].getVectors()
     return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
 @register("member_lr")
 def member_lr(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(rows(spark, folder), members.logistic_member(), 1)
+    found = rows(spark, folder)
+    return _scored(found, members.logistic_member(_words(found)), 1)
 
 
 @register("member_ngram_nb")
 def member_ngram_nb(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(rows(spark, folder), members.ngram_bayes_member(), 2)
+    found = rows(spark, folder)
+    return _scored(found, members.ngram_bayes_member(_words(found)), 2)
 
 
 @register("member_rf")
 def member_rf(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
-    return _scored(found, members.forest_member(members.fit_word_vectors(_train(found))), 3)
+    return _scored(found, members.forest_member(_vectors(found)), 3)
 
 
 @register("member_mlp")
 def member_mlp(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
-    return _scored(found, members.perceptron_member(members.fit_word_vectors(_train(found))), 4)
+    return _scored(found, members.perceptron_member(_vectors(found)), 4)
 
 
 @register("train_members")
@@ -82,13 +95,15 @@ def predict_proba(spark: SparkSession, folder: str) -> DataFrame:
 @register("select_on_validation")
 def select_on_validation(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
-    grid = [(f"reg={r}", members.logistic_member(reg=r)) for r in (0.001, 0.01, 0.1)]
+    words = _words(found)
+    grid = [(f"reg={r}", members.logistic_member(words, reg=r)) for r in (0.001, 0.01, 0.1)]
     return members.select_on_validation(_train(found), found.where("split = 'val'"), grid, 1)[1]
 
 
 def _saved(spark: SparkSession, folder: str) -> str:
     path = work_path(spark, "model")
-    members.save_model(members.logistic_member().fit(_train(rows(spark, folder))), CLEANER, path)
+    found = rows(spark, folder)
+    members.save_model(members.logistic_member(_words(found)).fit(_train(found)), CLEANER, path)
     return path
 
 
@@ -96,7 +111,7 @@ def _saved(spark: SparkSession, folder: str) -> str:
 def model_save_load(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
     path = work_path(spark, "model")
-    members.save_model(members.ngram_bayes_member().fit(_train(found)), CLEANER, path)
+    members.save_model(members.ngram_bayes_member(_words(found)).fit(_train(found)), CLEANER, path)
     model, _ = members.load_model(spark, path)
     return members.predict_proba(_held_out(found), {2: model}, [*training.ROW_KEYS, "label_id", "split"])
 
@@ -117,3 +132,29 @@ def score_stream(spark: SparkSession, folder: str) -> DataFrame:
                                    sink, work_path(spark, "scored-checkpoint"))
     query.awaitTermination()
     return spark.read.schema("post_id bigint, predicted_sentiment string").parquet(sink)
+
+
+@register("word_vector_shape", f"""with {q.vocabulary(MAX_WORDS)}
+select count(*) + 1 as words, cast({VECTOR_SIZE} as integer) as width, true as same_words from vocabulary""")
+def word_vector_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """The fitted vectors have the words of the vocabulary, and the unknown word where it occurs, and no others."""
+    found = rows(spark, folder)
+    words = _words(found)
+    vectors = members.fit_word_vectors(_train(found), words).stages[-1].getVectors()
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    return vectors.join(known.withColumn("listed", F.lit(True)), "word", "full").agg(
+        (F.count_if(F.col("listed")) + 1).alias("words"),
+        F.max(F.size(vector_to_array("vector"))).alias("width"),
+        F.every((F.col("listed") & F.col("vector").isNotNull()) | (F.col("word") == members.UNKNOWN)).alias("same_words"))
+
+
+@register("held_out_scores", f"""with {q.SPLIT3}
+select post_id, draw_no, label_id, split, model_id, true as sums_to_one, true as in_range
+from assigned cross join (values (1), (2), (3), (4)) m(model_id) where split <> 'train'""")
+def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every held-out row has a score of every member, and its three shares are a distribution."""
+    shares = [F.col(f"p{k}") for k in range(3)]
+    return training.fit(labeled(spark, folder)).scores.select(
+        *training.ROW_KEYS, "label_id", "split", "model_id",
+        (F.abs(sum(shares[1:], shares[0]) - 1.0) < 1e-9).alias("sums_to_one"),
+        ((F.least(*shares) >= 0) & (F.greatest(*shares) <= 1)).alias("in_range"))

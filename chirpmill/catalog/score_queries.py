@@ -166,7 +166,7 @@ select actual as label_id, name as actual, cast(max(case when pred = 0 then n en
        cast(max(case when pred = 1 then n end) as bigint) as pred_neutral,
        cast(max(case when pred = 2 then n end) as bigint) as pred_positive from cells group by cells.actual, cells.name""")
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.confusion_matrix(averaged(spark, folder))
+    return metrics.confusion_matrix(averaged(spark, folder)).drop("missed")
 
 
 @register("per_class_accuracy", f"with {q.cells()} select name as actual, round(hits / nullif(support, 0)::double, 6) as accuracy from rated")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import MASKED_LENGTH, MAX_LENGTH
+from ..functions.patterns import MASKED_LENGTH, MAX_LENGTH, MAX_WORDS
 from ..operators import pooling, tokens
 from ..plans import training
 from ..session import stage
@@ -17,9 +17,6 @@ from . import sql as q
 from .registry import register
 from .sampling_queries import prepared
 
-# small enough that the cap bites on the test tables
-VOCABULARY_CAP = 500
-EMBEDDING_WIDTH = 64
 
 
 def _shown(array: str) -> Column:
@@ -29,24 +26,24 @@ def _shown(array: str) -> Column:
 def _sequences(spark: SparkSession, folder: str, **trim: int) -> DataFrame:
     rows = prepared(spark, folder)
     keys = training.training_keys(rows)
-    vocabulary = stage(training.vocabulary(rows, keys, VOCABULARY_CAP), "vocabulary")
+    vocabulary = stage(training.vocabulary(rows, keys, MAX_WORDS), "vocabulary")
     return tokens.text_to_sequence(rows, vocabulary, **trim)
 
 
-@register("vocab_fit", f"with {q.vocabulary(VOCABULARY_CAP)} select word, idx, n from vocabulary")
+@register("vocab_fit", f"with {q.vocabulary(MAX_WORDS)} select word, idx, n from vocabulary")
 def vocab_fit(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
-    return training.vocabulary(rows, training.training_keys(rows), VOCABULARY_CAP)
+    return training.vocabulary(rows, training.training_keys(rows), MAX_WORDS)
 
 
-@register("vocab_size", f"""with {q.vocabulary(VOCABULARY_CAP)}
+@register("vocab_size", f"""with {q.vocabulary(MAX_WORDS)}
 select count(*) + 1 as vocabulary, least(count(*) + 2, 25000) as vector_rows from counted""")
 def vocab_size(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
     return tokens.vocabulary_size(training.train_texts(rows, training.training_keys(rows)))
 
 
-@register("text_to_sequence", f"with {q.sequences(VOCABULARY_CAP)} select post_id, {q.joined('sequence')} as sequence from sequences")
+@register("text_to_sequence", f"with {q.sequences(MAX_WORDS)} select post_id, {q.joined('sequence')} as sequence from sequences")
 def text_to_sequence(spark: SparkSession, folder: str) -> DataFrame:
     return _sequences(spark, folder).select("post_id", _shown("sequence"))
 
@@ -58,12 +55,12 @@ _right = f"list_resize(sequence[:{MASKED_LENGTH}], {MASKED_LENGTH}, 0)"
 _mask = (f"list_resize(list_resize([]::integer[], least({_size}, {MASKED_LENGTH}), 1), {MASKED_LENGTH}, 0)")
 
 
-@register("pad_left", f"with {q.sequences(VOCABULARY_CAP)} select post_id, {q.joined(_left)} as padded from sequences")
+@register("pad_left", f"with {q.sequences(MAX_WORDS)} select post_id, {q.joined(_left)} as padded from sequences")
 def pad_left(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.with_padding(_sequences(spark, folder, last=MAX_LENGTH)).select("post_id", _shown("padded"))
 
 
-@register("pad_right_mask", f"""with {q.sequences(VOCABULARY_CAP)}
+@register("pad_right_mask", f"""with {q.sequences(MAX_WORDS)}
 select post_id, {q.joined(_right)} as input_ids, {q.joined(_mask)} as attention_mask from sequences""")
 def pad_right_mask(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.with_mask(_sequences(spark, folder, first=MASKED_LENGTH)).select("post_id", _shown("input_ids"), _shown("attention_mask"))
@@ -79,19 +76,19 @@ from embeddings)"""
 
 @register("vector_mean_pool", f"with {_places} select label, cast(place as integer) as place, round(avg(v), 6) as value from places group by label, place")
 def vector_mean_pool(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_place(pooling.mean_pool(table(spark, folder, "embeddings"), "label", "embedding", EMBEDDING_WIDTH), "label", "embedding")
+    return _by_place(pooling.mean_pool(table(spark, folder, "embeddings"), "label", "embedding"), "label", "embedding")
 
 
 @register("vector_max_pool", f"with {_places} select label, cast(place as integer) as place, round(max(v), 6) as value from places group by label, place")
 def vector_max_pool(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_place(pooling.max_pool(table(spark, folder, "embeddings"), "label", "embedding", EMBEDDING_WIDTH), "label", "embedding")
+    return _by_place(pooling.max_pool(table(spark, folder, "embeddings"), "label", "embedding"), "label", "embedding")
 
 
 @register("vector_concat", f"""with {_places}
 select label, cast(place as integer) as place, round(avg(v), 6) as value from places group by label, place
-union all select label, cast(place + {EMBEDDING_WIDTH} as integer), round(max(v), 6) from places group by label, place""")
+union all select label, cast(place + (select max(len(embedding)) from embeddings) as integer), round(max(v), 6) from places group by label, place""")
 def vector_concat(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    both = pooling.pool_both(vectors, "label", "embedding", EMBEDDING_WIDTH)
+    both = pooling.pool_both(vectors, "label", "embedding")
     joined = both.select("label", pooling.concat_vectors(F.col("mean"), F.col("max")).alias("both"))
     return _by_place(joined, "label", "both")

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, VectorAssembler, Word2Vec, Word2VecModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, SQLTransformer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +24,15 @@ from pyspark.sql import functions as F
 from ..functions.patterns import MAX_WORDS, SEED, VECTOR_SIZE
 from ..functions.text import tokens
 from .ensemble import N_CLASSES, _p
-from .tokens import word_counts
+from .ranking import hashed_order
+from .tokens import fit_vocabulary
 
 NAMES = {1: "weighted terms, logistic", 2: "word n-grams, bayes", 3: "word vectors, forest", 4: "word vectors, perceptron"}
 NGRAMS = (2, 3, 4, 5)
 NGRAM_BUCKETS = 1 << 14
+#: Parts that learn word vectors side by side; part of the result, so not taken from the machine.
+VECTOR_PARTITIONS = 4
+UNKNOWN = "<unknown>"
 
 
 def with_tokens(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
@@ -40,70 +44,92 @@ def _outputs(model_id: int) -> dict[str, str]:
             "rawPredictionCol": f"raw_{model_id}"}
 
 
-def vector_min_count(train: DataFrame, text: str = "cleaned_text", key: str = "post_id", max_words: int = MAX_WORDS) -> int:
-    """The smallest word count that leaves at most ``max_words - 2`` words: one number to the driver."""
-    counts = word_counts(train, text, key).orderBy(F.desc("n")).limit(max_words - 1)
-    row = counts.agg(F.count("*").alias("words"), F.min("n").alias("least")).first()
-    return 1 if row["words"] < max_words - 1 else int(row["least"]) + 1
+def fitted_words(train: DataFrame, text: str = "cleaned_text", key: str = "post_id", max_words: int = MAX_WORDS) -> list[str]:
+    """The capped vocabulary of the train rows in order of its ids: at most ``max_words - 2`` words on the driver."""
+    return [r["word"] for r in fit_vocabulary(train, text, key, max_words=max_words).orderBy("idx").select("word").collect()]
 
 
-def fit_word_vectors(train: DataFrame, text: str = "cleaned_text", key: str = "post_id", size: int = VECTOR_SIZE,
-                     max_words: int = MAX_WORDS, partitions: int | None = None, seed: int = SEED) -> Word2VecModel:
-    """Word vectors from the train texts. Partitions learn side by side and are averaged."""
-    if partitions is None:
-        partitions = max(1, min(train.sparkSession.sparkContext.defaultParallelism, len(train.inputFiles())))
-    stage = Word2Vec(vectorSize=size, seed=seed, inputCol="tokens", outputCol="vector", numPartitions=partitions,
-                     minCount=vector_min_count(train, text, key, max_words))
-    return stage.fit(train.select("tokens"))
+def known_words(words: list[str]) -> SQLTransformer:
+    """Tokens as ``known``: words outside the vocabulary become the one unknown word. Saved with the pipeline."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in [*words, UNKNOWN])
+    return SQLTransformer(statement=f"SELECT *, transform(tokens, w -> if(w IN ({quoted}), w, '{UNKNOWN}')) AS known FROM __THIS__")
 
 
-def logistic_member(reg: float = 0.01, max_iter: int = 50, max_words: int = MAX_WORDS) -> Pipeline:
+def fit_word_vectors(train: DataFrame, words: list[str], size: int = VECTOR_SIZE, partitions: int = VECTOR_PARTITIONS,
+                     seed: int = SEED, keys: tuple[str, ...] = ("post_id", "draw_no")) -> PipelineModel:
+    """Word vectors of the vocabulary from the train texts.
+
+    ``partitions`` learn side by side and are averaged. Which rows are dealt together follows from ``keys`` and not
+    from the machine or the files; the learner itself orders equally frequent words as they arrive, so vectors of
+    two runs need not be equal to the last digit.
+    """
+    dealt = train.select(*keys, "tokens").repartition(partitions, *keys).sortWithinPartitions(*keys)
+    vectors = Word2Vec(vectorSize=size, seed=seed, inputCol="known", outputCol="vector", numPartitions=partitions, minCount=1)
+    return Pipeline(stages=[known_words(words), vectors]).fit(dealt.select("tokens"))
+
+
+def drawn_by_weight(train: DataFrame, weight: str = "weight", keys: tuple[str, ...] = ("post_id", "draw_no"), seed: int = SEED) -> DataFrame:
+    """Rows repeated by their weight, for a learner without weights: the whole part, and once more by chance for the rest."""
+    chance = F.conv(F.substring(hashed_order(seed, *keys), 1, 13), 16, 10).cast("double") / float(16 ** 13)
+    times = F.floor(weight) + F.when(chance < F.col(weight) - F.floor(weight), 1).otherwise(0)
+    return train.withColumn("again", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).drop("again")
+
+
+def logistic_member(words: list[str], reg: float = 0.01, max_iter: int = 50) -> Pipeline:
     return Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="tf_1", vocabSize=max_words - 2),
+        known_words(words),
+        CountVectorizerModel.from_vocabulary([*words, UNKNOWN], inputCol="known", outputCol="tf_1"),
         IDF(inputCol="tf_1", outputCol="tfidf_1"),
         LogisticRegression(featuresCol="tfidf_1", labelCol="label_id", weightCol="weight", regParam=reg,
                            maxIter=max_iter, **_outputs(1)),
     ])
 
 
-def ngram_bayes_member(buckets: int = NGRAM_BUCKETS, smoothing: float = 1.0) -> Pipeline:
+def ngram_bayes_member(words: list[str], buckets: int = NGRAM_BUCKETS, smoothing: float = 1.0) -> Pipeline:
     stages = []
     for n in NGRAMS:
-        stages += [NGram(n=n, inputCol="tokens", outputCol=f"grams_{n}"),
+        stages += [NGram(n=n, inputCol="known", outputCol=f"grams_{n}"),
                    HashingTF(numFeatures=buckets, inputCol=f"grams_{n}", outputCol=f"hashed_{n}")]
     return Pipeline(stages=[
+        known_words(words),
         *stages,
         VectorAssembler(inputCols=[f"hashed_{n}" for n in NGRAMS], outputCol="hashed_2_to_5"),
         NaiveBayes(featuresCol="hashed_2_to_5", labelCol="label_id", weightCol="weight", smoothing=smoothing, **_outputs(2)),
     ])
 
 
-def forest_member(vectors: Transformer, trees: int = 20, depth: int = 5, seed: int = SEED) -> Pipeline:
+def _vector_stages(vectors: PipelineModel, name: str) -> list[Transformer]:
+    known, model = vectors.stages
+    return [known, model.copy().setOutputCol(name)]
+
+
+def forest_member(vectors: PipelineModel, trees: int = 20, depth: int = 5, seed: int = SEED) -> Pipeline:
     return Pipeline(stages=[
-        vectors.copy().setOutputCol("vector_3"),
+        *_vector_stages(vectors, "vector_3"),
         RandomForestClassifier(featuresCol="vector_3", labelCol="label_id", weightCol="weight", numTrees=trees,
                                maxDepth=depth, seed=seed, **_outputs(3)),
     ])
 
 
-def perceptron_member(vectors: Transformer, size: int = VECTOR_SIZE, hidden: int = 64, max_iter: int = 60, seed: int = SEED) -> Pipeline:
+def perceptron_member(vectors: PipelineModel, size: int = VECTOR_SIZE, hidden: int = 64, max_iter: int = 60, seed: int = SEED) -> Pipeline:
     return Pipeline(stages=[
-        vectors.copy().setOutputCol("vector_4"),
+        *_vector_stages(vectors, "vector_4"),
         MultilayerPerceptronClassifier(featuresCol="vector_4", labelCol="label_id", layers=[size, hidden, N_CLASSES],
                                        maxIter=max_iter, seed=seed, **_outputs(4)),
     ])
 
 
-def member_pipelines(vectors: Word2VecModel) -> dict[int, Pipeline]:
-    return {1: logistic_member(), 2: ngram_bayes_member(), 3: forest_member(vectors),
-            4: perceptron_member(vectors, vectors.getVectorSize())}
+def member_pipelines(words: list[str], vectors: PipelineModel) -> dict[int, Pipeline]:
+    return {1: logistic_member(words), 2: ngram_bayes_member(words), 3: forest_member(vectors),
+            4: perceptron_member(vectors, vectors.stages[-1].getVectorSize())}
 
 
 def fit_members(train: DataFrame, pipelines: dict[int, Pipeline]) -> dict[int, PipelineModel]:
-    """Fit all members; their jobs share the cluster."""
+    """Fit all members; their jobs share the cluster. Member 4 takes no weights and learns from rows drawn by weight."""
     with ThreadPoolExecutor(len(pipelines)) as pool:
-        fit = inheritable_thread_target(train.sparkSession)(lambda pipeline: pipeline.fit(train))
-        running = {m: pool.submit(fit, pipeline) for m, pipeline in pipelines.items()}
+        fit = inheritable_thread_target(train.sparkSession)(
+            lambda m, pipeline: pipeline.fit(drawn_by_weight(train) if m == 4 else train))
+        running = {m: pool.submit(fit, m, pipeline) for m, pipeline in pipelines.items()}
         return {m: task.result() for m, task in running.items()}
 
 

@@ -10,7 +10,9 @@ from ..functions.patterns import CLASSES, PREVIOUS_BEST, TARGET
 
 
 def accuracy(df: DataFrame, label: str = "label_id", pred: str = "pred") -> DataFrame:
-    return df.agg(F.avg((F.col(pred) == F.col(label)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    """Share of rows that are right; a row without a prediction is a miss."""
+    hit = F.coalesce(F.col(pred) == F.col(label), F.lit(False))
+    return df.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
 def _or_zero(top: Column, bottom: Column) -> Column:
@@ -19,16 +21,23 @@ def _or_zero(top: Column, bottom: Column) -> Column:
 
 
 def confusion_matrix(df: DataFrame, label: str = "label_id", pred: str = "pred", classes: tuple[str, ...] = CLASSES) -> DataFrame:
-    """Rows actual, columns ``pred_<class>``; classes nobody has stay as zeros."""
-    counted = df.groupBy(F.col(label).alias("label_id")).agg(*[
+    """Rows actual, columns ``pred_<class>``; classes nobody has stay as zeros.
+
+    A row whose prediction is missing or in no class is a miss: it counts in ``missed`` only. A label that is in
+    no class is an error.
+    """
+    known = F.coalesce(F.col(label).isin(*range(len(classes))), F.lit(False))
+    wrong = F.concat(F.lit("label in no class: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL")))
+    counted = df.groupBy(F.when(known, F.col(label)).otherwise(F.raise_error(wrong)).alias("label_id")).agg(*[
         F.count(F.when(F.col(pred) == k, 1)).alias(f"pred_{name}") for k, name in enumerate(classes)
-    ])
+    ], F.count_if(~F.coalesce(F.col(pred).isin(*range(len(classes))), F.lit(False))).alias("missed"))
     every = df.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(name) for name in classes])).alias("label_id", "actual")
     )
     # the class list has one row per class
     joined = every.join(counted, "label_id", "left")
-    return joined.select("label_id", "actual", *[F.coalesce(f"pred_{n}", F.lit(0)).alias(f"pred_{n}") for n in classes])
+    return joined.select("label_id", "actual", *[
+        F.coalesce(n, F.lit(0)).alias(n) for n in (*[f"pred_{n}" for n in classes], "missed")])
 
 
 def per_class(matrix: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
@@ -42,7 +51,7 @@ def per_class(matrix: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFram
 
     counted = matrix.select(
         "label_id", "actual", own(columns).alias("hits"), own(totals).alias("predicted"),
-        sum(columns[1:], columns[0]).alias("support"),
+        sum(columns, F.col("missed")).alias("support"),
     )
     rated = counted.withColumns({
         "precision": _or_zero(F.col("hits"), F.col("predicted")),

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _places(vector: str, width: int, function) -> Column:
-    # one aggregate per place of the vector: no exploded rows, and a hot group shrinks to one row per task
-    return F.array(*[function(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(width)])
+def _pooled(df: DataFrame, key: str, vector: str) -> DataFrame:
+    # one buffer for all places, whatever their number; vectors of different lengths in a group are an error
+    values = array_to_vector(F.col(vector).cast("array<double>"))
+    return df.where(F.col(vector).isNotNull()).groupBy(key).agg(Summarizer.metrics("mean", "max").summary(values).alias("s"))
 
 
-def mean_pool(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    return df.groupBy(key).agg(_places(vector, width, F.avg).alias(vector))
+def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return _pooled(df, key, vector).select(key, vector_to_array("s.mean").alias(vector))
 
 
-def max_pool(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    return df.groupBy(key).agg(_places(vector, width, F.max).alias(vector))
+def max_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return _pooled(df, key, vector).select(key, vector_to_array("s.max").alias(vector))
 
 
-def pool_both(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+def pool_both(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Both pools in one pass, as ``mean`` and ``max``."""
-    return df.groupBy(key).agg(_places(vector, width, F.avg).alias("mean"), _places(vector, width, F.max).alias("max"))
+    return _pooled(df, key, vector).select(key, vector_to_array("s.mean").alias("mean"), vector_to_array("s.max").alias("max"))
 
 
 def concat_vectors(*vectors: Column) -> Column:

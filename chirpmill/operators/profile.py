@@ -14,6 +14,7 @@ from ..session import checked_small
 from .labels import MAX_CLASSES
 
 QUARTILES = (0.25, 0.5, 0.75)
+TIMES = (T.DateType, T.TimestampType)
 FIXED_WIDTH = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
                T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8}
 
@@ -143,9 +144,9 @@ def histogram(df: DataFrame, measure: Column, bins: int) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width).cast("int"))
     filled = ranged.groupBy("lo", "hi", place.alias("bin")).agg(F.sum("n").alias("n"))
-    # the range is one pair of numbers, so this collects at most ``bins`` rows
-    per_range = filled.groupBy("lo", "hi").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found")
+    # the range is one pair of numbers, so this collects at most ``bins`` rows; no value at all still gives every bin
+    per_range = filled.agg(
+        F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found")
     )
     return per_range.select("lo", "hi", "found", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
         "bin",
@@ -185,13 +186,17 @@ def _describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric columns, exact at any size.
 
     One pass takes the moments and brackets each quartile with approximate percentiles, whose rank
-    error has a proven bound; its outcome, a few numbers per column, goes through the driver. A second
-    pass counts what lies below and above each bracket and the values inside it. Only the values inside
+    error has a proven bound; its outcome, a few numbers per column, goes through the driver. NaN is a missing
+    value, and times count in seconds since 1970 and have no ``std``. A second pass counts what lies below and above each bracket and the values inside it. Only the values inside
     the brackets, a thin band, are ordered.
     """
     accuracy = 10000
     slack = 4.0 / accuracy
     marks = [m for q in QUARTILES for m in (max(0.0, q - slack), min(1.0, q + slack))]
+    times = {f.name for f in df.schema.fields if isinstance(f.dataType, TIMES)}
+    df = df.select(*[
+        F.when(~_is_missing(f), (F.col(f.name).cast("timestamp") if f.name in times else F.col(f.name)).cast("double")).alias(f.name)
+        for f in df.schema.fields if f.name in columns])
     aggregates = []
     for c in columns:
         d = F.col(c).cast("double")
@@ -211,7 +216,7 @@ def _describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
     known = [c for c in columns if moments[c]["count"]]
     summary = df.sparkSession.createDataFrame(
-        [(c, *moments[c][:5]) for c in columns],
+        [(c, *moments[c][:2], None if c in times else moments[c][2], *moments[c][3:5]) for c in columns],
         "column_name string, count bigint, mean double, std double, min double, max double")
     if not known:
         return summary
@@ -256,24 +261,29 @@ def _describe_strings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     by their keys, which the scan can look up.
     """
     hashed = df.select(F.col(key).alias("k"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.sha2(F.col(c), 256).alias("digest")) for c in columns
+        F.struct(F.lit(c).alias("column_name"), F.sha2(F.col(c).cast("string"), 256).alias("digest")) for c in columns
     ])))
     counted = hashed.groupBy("column_name", "digest").agg(F.count("*").alias("n"), F.min("k").alias("first_key"))
     present = F.col("digest").isNotNull()
-    # larger counts first, then smaller keys, as one number: keys have at most 19 digits
-    order = F.col("n").cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)") - F.col("first_key")
+    # larger counts first, then smaller keys; for whole numbers, of at most 19 digits, as one number
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.IntegralType):
+        order = F.col("n").cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)") - F.col("first_key")
+        first = F.max_by("first_key", F.when(present, order))
+    else:
+        first = F.min(F.when(present, F.struct((-F.col("n")).alias("less"), "first_key"))).getField("first_key")
     summary = counted.groupBy("column_name").agg(
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
         F.count("digest").alias("unique"),
         F.max(F.when(present, F.col("n"))).alias("freq"),
-        F.max_by("first_key", F.when(present, order)).alias("first_key"),
+        first.alias("first_key"),
     ).collect()
     spark = df.sparkSession
-    shape = "column_name string, count bigint, unique bigint, freq bigint, first_key bigint"
+    shape = f"column_name string, count bigint, unique bigint, freq bigint, first_key {kind.simpleString()}"
     rows = [(r["column_name"], r["count"], r["unique"], r["freq"], r["first_key"] if r["freq"] else None) for r in summary]
     keys = sorted({r[4] for r in rows if r[4] is not None})
     values = df.where(F.col(key).isin(keys)).select(F.col(key).alias("k"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).alias("top")) for c in columns
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("top")) for c in columns
     ])))
     named = spark.createDataFrame(rows, shape)
     # as many rows as columns
@@ -282,15 +292,16 @@ def _describe_strings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 
 def describe(df: DataFrame, key: str) -> DataFrame:
-    """The summary of every column: strings get unique/top/freq, numbers moments and quartiles."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    """The summary of every column: strings and booleans get unique/top/freq, numbers and times moments and quartiles."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, *TIMES))]
     parts = []
     if strings:
         parts.append(_describe_strings(df, strings, key))
     if numbers:
         parts.append(_describe_numeric(df, numbers))
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    none = df.sparkSession.createDataFrame([], "column_name string, count bigint")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts or [none])
     wanted = {"column_name": "string", "count": "bigint", "unique": "bigint", "top": "string", "freq": "bigint",
               "mean": "double", "std": "double", "min": "double", "p25": "double", "p50": "double",
               "p75": "double", "max": "double"}

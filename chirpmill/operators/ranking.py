@@ -17,8 +17,9 @@ DIGITS = 3
 
 
 def hashed_order(seed: int, *keys: str) -> Column:
-    """md5 of ``seed:key1:key2...``: the same in every engine and for every partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    """md5 of ``seed:key1:key2...``: the same in every engine and for every partitioning. A key must not be NULL."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.raise_error(F.lit(f"{k} is NULL")).cast("string")) for k in keys]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def bucket_counts(df: DataFrame, order: str, groups: list[str]) -> DataFrame:

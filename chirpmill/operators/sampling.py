@@ -21,6 +21,7 @@ def draw_counts(df: DataFrame, ratios: dict[int, float], label: str = "label_id"
     """Draws per class: the truncated share of the base class; one row per class."""
     sizes = few_class_sizes(df, label)
     base_n = F.max(F.when(F.col(label) == base, F.col("n"))).over(Window.partitionBy())
+    base_n = F.coalesce(base_n, F.raise_error(F.lit(f"no row of the base class {base}")).cast("long"))
     share = F.create_map(*[F.lit(x) for k, r in sorted(ratios.items()) for x in (k, float(r))])
     return (
         sizes.withColumn("draws", F.floor(base_n.cast("double") * F.try_element_at(share, F.col(label))).cast("long"))
@@ -67,8 +68,12 @@ def resample(df: DataFrame, ratios: dict[int, float] | None = None, key: str = "
 
 def balance(df: DataFrame, ratios: dict[int, float] | None = None, key: str = "post_id",
             label: str = "label_id", base: int = 0, seed: int = SEED) -> DataFrame:
-    """The base class as it is (``draw_no`` 0) and the draws of the others; ``(key, draw_no)`` is unique."""
-    kept = df.where(F.col(label) == base).select(key, label, F.lit(0).cast("long").alias("draw_no"))
+    """The base class and classes without a ratio as they are (``draw_no`` 0) and the draws of the others.
+
+    ``(key, draw_no)`` is unique. Without a row of the base class there is nothing to measure by, which is an error.
+    """
+    ratios = ratios or RESAMPLE_RATIOS
+    kept = df.where(~F.coalesce(F.col(label).isin(*ratios), F.lit(False))).select(key, label, F.lit(0).cast("long").alias("draw_no"))
     return kept.unionByName(resample(df, ratios, key, label, base, seed))
 
 

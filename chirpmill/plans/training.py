@@ -75,8 +75,9 @@ def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: boo
     keys = stage(training_keys(prepared, balance_after_split), "keys")
     rows = stage(training_table(prepared, keys), "training", ("split",))
     train = rows.where("split = 'train'")
-    vectors = members.fit_word_vectors(train)
-    pipelines = {m: p for m, p in members.member_pipelines(vectors).items() if m not in (grids or {})}
+    words = members.fitted_words(train)
+    vectors = members.fit_word_vectors(train, words)
+    pipelines = {m: p for m, p in members.member_pipelines(words, vectors).items() if m not in (grids or {})}
     models = members.fit_members(train, pipelines) if pipelines else {}
     for m, candidates in (grids or {}).items():
         models[m], _ = members.select_on_validation(train, rows.where("split = 'val'"), candidates, m)

@@ -9,6 +9,9 @@ from pyspark.sql.types import StringType, StructType
 from ..functions.patterns import CSV_MISSING
 
 
+INFERRED = ("bigint", "double", "boolean", "timestamp")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Quoted CSV that keeps line breaks, quotes and outer white space."""
     (
@@ -22,7 +25,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Read a headed CSV; fields that spell a missing value become NULL.
 
-    Without a schema the types are inferred, which costs a pass over the file. A file whose fields hold
+    Without a schema a column gets the first of ``INFERRED`` that all its values present can be cast to, else string,
+    which costs a pass over the file. A file whose fields hold
     line breaks cannot be split, so large inputs should come as many files and be turned into Parquet
     once (``stage``).
     """
@@ -30,12 +34,25 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
         spark.read.option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"')
     )
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-    return df.select(*[
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    df = df.select(*[
         F.when(~F.col(f.name).isin(*CSV_MISSING), F.col(f.name)).alias(f.name)
         if isinstance(f.dataType, StringType) else F.col(f.name)
         for f in df.schema.fields
     ])
+    return df if schema else _typed(df)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Columns of strings in the narrowest type that holds all of them; one pass for all columns."""
+    fits = df.agg(*[
+        F.array(*[F.every(F.col(c).isNull() | F.col(c).try_cast(t).isNotNull()) for t in INFERRED]).alias(c) for c in df.columns
+    ], *[F.count(c).alias(f"n {i}") for i, c in enumerate(df.columns)]).first()
+    kinds = [
+        next((t for t, ok in zip(INFERRED, fits[i] or []) if ok), "string") if fits[len(df.columns) + i] else "string"
+        for i in range(len(df.columns))
+    ]
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in zip(df.columns, kinds)])
 
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,12 +72,12 @@ def judged(spark):
 
 def test_confusion_matrix_keeps_zeros(judged):
     rows = metrics.confusion_matrix(judged).orderBy("label_id").collect()
-    assert [tuple(r)[2:] for r in rows] == [(5, 2, 0), (1, 3, 0), (4, 0, 0)]
+    assert [tuple(r)[2:] for r in rows] == [(5, 2, 0, 0), (1, 3, 0, 0), (4, 0, 0, 0)]
 
 
 def test_absent_class_has_a_row(spark):
     df = spark.createDataFrame([(0, 0)], "label_id int, pred int")
-    assert [tuple(r)[2:] for r in metrics.confusion_matrix(df).orderBy("label_id").collect()] == [(1, 0, 0), (0, 0, 0), (0, 0, 0)]
+    assert [tuple(r)[2:5] for r in metrics.confusion_matrix(df).orderBy("label_id").collect()] == [(1, 0, 0), (0, 0, 0), (0, 0, 0)]
 
 
 def test_weighted_recall_is_accuracy(judged):
@@ -101,3 +101,12 @@ def test_target_gap(spark):
     a, b = metrics.target_gap(df).collect()
     assert (a["passed"], a["gap"]) == (True, 0.0)
     assert b["passed"] is False and b["gap"] == pytest.approx(5.0) and b["improvement"] == pytest.approx(-4.28)
+
+
+def test_a_row_without_a_prediction_is_a_miss(spark):
+    df = spark.createDataFrame([(0, 0), (0, None), (1, 7), (2, 2)], "label_id int, pred int")
+    assert metrics.accuracy(df).first()["accuracy"] == 0.5
+    report = {r["name"]: r for r in metrics.classification_report(df).collect()}
+    assert report["accuracy"]["f1"] == 0.5 and report["accuracy"]["support"] == 4
+    with pytest.raises(Exception, match="label in no class"):
+        metrics.confusion_matrix(spark.createDataFrame([(9, 0)], "label_id int, pred int")).collect()

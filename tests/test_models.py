@@ -42,18 +42,40 @@ def test_members_beat_the_largest_class_on_train(spark):
         [(i, 0, i % 3, "train", f"{['sad grey', 'plain dull', 'glad bright'][i % 3]} day number w{i % 7}") for i in range(90)],
         "post_id bigint, draw_no bigint, label_id int, split string, cleaned_text string")
     rows = members.with_tokens(rows.withColumn("weight", F.lit(1.0)))
-    vectors = members.fit_word_vectors(rows, size=16, partitions=1)
-    models = members.fit_members(rows, members.member_pipelines(vectors))
+    words = members.fitted_words(rows)
+    vectors = members.fit_word_vectors(rows, words, size=16, partitions=1)
+    models = members.fit_members(rows, members.member_pipelines(words, vectors))
     for m, model in models.items():
         found = model.transform(rows).select("label_id", F.col(f"prediction_{m}").cast("int").alias("pred"))
         assert metrics.accuracy(found).first()["accuracy"] > 0.5, members.NAMES[m]
 
 
-def test_vector_vocabulary_stays_below_the_cap(spark):
-    texts = spark.createDataFrame([(1, "a a a b b c d e f g"), (2, "b c c")], "post_id bigint, cleaned_text string")
-    least = members.vector_min_count(texts, max_words=4)
-    assert least == 3 + 1 or least == 4
-    assert members.vector_min_count(texts, max_words=100) == 1
+def test_the_cap_keeps_as_many_words_as_it_says(spark):
+    texts = spark.createDataFrame([(i, 0, f"w{i} it's") for i in range(1001)], "post_id bigint, draw_no int, cleaned_text string")
+    rows = members.with_tokens(texts)
+    words = members.fitted_words(rows, max_words=500)
+    assert len(words) == 498 and words[0] == "it's" and words[1:] == [f"w{i}" for i in range(497)]
+    vectors = members.fit_word_vectors(rows, words, size=4).stages[-1].getVectors()
+    assert {r["word"] for r in vectors.collect()} == {*words, members.UNKNOWN}
+    counted = members.logistic_member(words).getStages()[1].transform(members.known_words(words).transform(rows))
+    assert counted.where("post_id = 1000").first()["tf_1"].toArray()[-1] == 1.0
+
+
+def test_word_vectors_have_the_same_words_for_any_partitioning(spark):
+    rows = members.with_tokens(spark.createDataFrame(
+        [(i, 0, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(120)], "post_id bigint, draw_no int, cleaned_text string"))
+    found = []
+    for n in (1, 7):
+        some = rows.repartition(n)
+        model = members.fit_word_vectors(some, members.fitted_words(some), size=4).stages[-1]
+        found.append(sorted(r["word"] for r in model.getVectors().collect()))
+    assert found[0] == found[1] and len(found[0]) == 15
+
+
+def test_rows_drawn_by_weight(spark):
+    rows = spark.createDataFrame([(i, 0, 0.25 if i % 2 else 2.5) for i in range(2000)], "post_id bigint, draw_no int, weight double")
+    n = {r["weight"]: r["count"] for r in members.drawn_by_weight(rows).groupBy("weight").count().collect()}
+    assert abs(n[0.25] - 250) < 60 and abs(n[2.5] - 2500) < 100
 
 
 def test_saved_model_scores_the_same(spark, trained, folder, tmp_path):
@@ -85,6 +107,7 @@ def test_stream_equals_batch(spark, trained, folder, tmp_path):
 def test_first_best_candidate_is_kept(spark, trained):
     rows = spark.createDataFrame([(i, i % 3, f"w{i % 3} x") for i in range(60)], "post_id bigint, label_id int, cleaned_text string")
     rows = members.with_tokens(rows.withColumn("weight", F.lit(1.0)))
-    grid = [("a", members.logistic_member(reg=0.01)), ("b", members.logistic_member(reg=0.02))]
+    words = members.fitted_words(rows)
+    grid = [("a", members.logistic_member(words, reg=0.01)), ("b", members.logistic_member(words, reg=0.02))]
     _, tried = members.select_on_validation(rows, rows, grid, 1)
     assert [(r["candidate"], r["chosen"]) for r in tried.collect()] == [("a", True), ("b", False)]

@@ -71,5 +71,35 @@ def test_sections_follow_the_columns(spark, folder, tmp_path):
 
 
 def test_histogram_reads_the_text_once(spark, folder):
-    plan = profiling.sections(posts(spark, folder))["text_length_hist"]._jdf.queryExecution().executedPlan().toString()
+    plan = profiling.sections(posts(spark, folder))["text_length_hist"]()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("documents.parquet") == 1
+
+
+def test_describe_counts_nan_as_missing(spark):
+    import datetime
+
+    nan, day = float("nan"), datetime.date(1970, 1, 3)
+    df = spark.createDataFrame(
+        [("k1", nan, True, day, "x"), ("k2", 1.0, False, None, "y"), ("k3", 3.0, True, day, "y"), ("k4", None, None, None, "x")],
+        "key string, v double, flag boolean, day date, s string")
+    rows = {r["column_name"]: r for r in profile.describe(df, "key").collect()}
+    v = rows["v"]
+    assert (v["count"], v["mean"], v["std"], v["p25"], v["p75"], v["max"]) == (2, 2.0, 1.414214, 1.5, 2.5, 3.0)
+    assert (rows["flag"]["count"], rows["flag"]["unique"], rows["flag"]["top"], rows["flag"]["freq"]) == (3, 2, "true", 2)
+    assert (rows["s"]["top"], rows["s"]["freq"]) == ("x", 2)
+    assert (rows["day"]["count"], rows["day"]["mean"], rows["day"]["std"]) == (2, 172800.0, None)
+    assert profile.describe(df.select(F.array("key").alias("a")), "a").collect() == []
+
+
+def test_histogram_of_nothing_has_its_bins(spark):
+    rows = profile.histogram(spark.createDataFrame([], "v int"), F.col("v"), 4).collect()
+    assert [(r["bin"], r["n"]) for r in rows] == [(i, 0) for i in range(4)]
+
+
+def test_sections_start_no_job(spark, folder):
+    tracker = spark.sparkContext.statusTracker()
+    full = posts(spark, folder)
+    spark.sparkContext.setJobGroup("sections", "sections")
+    profiling.sections(full)
+    assert not tracker.getJobIdsForGroup("sections")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

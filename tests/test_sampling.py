@@ -120,3 +120,17 @@ def test_too_many_classes_is_an_error_not_a_cut(spark, monkeypatch):
     monkeypatch.setattr(labels, "MAX_CLASSES", 2)
     with pytest.raises(ValueError):
         labels.class_weights(_classes(spark, [5, 3, 8]))
+
+
+def test_a_class_without_a_ratio_stays_and_the_base_must_be_there(spark):
+    df = sampling.balance(_classes(spark, [20, 20, 20, 20]))
+    n = {r["label_id"]: r["count"] for r in df.groupBy("label_id").count().collect()}
+    assert n == {0: 20, 1: 14, 2: 12, 3: 20}
+    with pytest.raises(Exception, match="base class"):
+        sampling.balance(_classes(spark, [0, 20, 20])).collect()
+
+
+def test_a_null_key_is_an_error(spark):
+    rows = spark.createDataFrame([(None, 0), (1, 0)], "post_id bigint, label_id int")
+    with pytest.raises(Exception, match="post_id is NULL"):
+        sampling.shuffle_rank(rows, ["post_id"]).collect()

@@ -43,3 +43,10 @@ def test_stage_writes_below_the_shared_folder(spark):
     df = stage(spark.range(5), "probe")
     assert df.count() == 5
     assert all(shared_dir(spark).split("://")[-1] in f for f in df.inputFiles())
+
+
+def test_types_are_inferred_past_missing_markers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,x,b,t,none\n1,1.5,true,"a, b",NA\nNA,NA,,NA,\n3,2.5,false,2,\n')
+    df = files.scan_csv(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"n": "bigint", "x": "double", "b": "boolean", "t": "string", "none": "string"}
+    assert [r["x"] for r in df.collect()] == [1.5, None, 2.5]

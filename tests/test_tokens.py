@@ -61,8 +61,8 @@ def test_vocabulary_size_caps(spark):
 
 def test_pools(spark):
     df = spark.createDataFrame([("a", [1.0, 5.0]), ("a", [3.0, 1.0]), ("b", [2.0, 2.0])], "k string, v array<double>")
-    assert {r["k"]: r["v"] for r in pooling.mean_pool(df, "k", "v", 2).collect()} == {"a": [2.0, 3.0], "b": [2.0, 2.0]}
-    assert {r["k"]: r["v"] for r in pooling.max_pool(df, "k", "v", 2).collect()} == {"a": [3.0, 5.0], "b": [2.0, 2.0]}
+    assert {r["k"]: r["v"] for r in pooling.mean_pool(df, "k", "v").collect()} == {"a": [2.0, 3.0], "b": [2.0, 2.0]}
+    assert {r["k"]: r["v"] for r in pooling.max_pool(df, "k", "v").collect()} == {"a": [3.0, 5.0], "b": [2.0, 2.0]}
 
 
 def test_softmax_of_large_scores(spark):
