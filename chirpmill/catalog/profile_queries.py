@@ -10,7 +10,7 @@ from ..functions.text import text_length, word_count
 from ..operators import profile
 from ..session import work_path
 from ..sources import files
-from ..sources.posts import documents, posts, spread, table, with_sentiment
+from ..sources.posts import documents, measured, posts, spread, table, with_sentiment
 from . import sql as q
 from .literals import literal_posts
 from .registry import register
@@ -51,7 +51,7 @@ select count(*) as n_rows, cast(5 as integer) as n_columns,
        round(sum(8 + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(brand), 0)
                  + coalesce(strlen(sentiment), 0)) / (1024.0::double * 1024.0::double), 6) as size_mb from posts""")
 def profile_basic(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.basic(posts(spark, folder))
+    return profile.basic(measured(spark, folder, F.octet_length), ("text",))
 
 
 @register("profile_schema", """select cast(0 as integer) as position, 'doc_id' as column_name, 'bigint' as data_type, count(doc_id) as n_present from documents
@@ -72,7 +72,7 @@ def profile_schema(spark: SparkSession, folder: str) -> DataFrame:
 select column_name, missing_count, round(missing_count / n_rows::double * 100, 6) as percentage
 from counted where missing_count > 0""")
 def profile_missing(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.missing(posts(spark, folder))
+    return profile.missing(measured(spark, folder, F.octet_length))
 
 
 def _describe_number(c: str) -> str:
@@ -95,7 +95,8 @@ wide as (select p.*, d.n_chars from posts p join documents d on p.post_id = d.do
 """ + " union all ".join([_describe_number("post_id"), _describe_number("n_chars")]
                          + [_describe_string(c) for c in ("text", "lang", "brand", "sentiment")]))
 def profile_describe(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.describe(posts(spark, folder, ("n_chars",)), "post_id")
+    digests = measured(spark, folder, lambda c: F.sha2(c, 256), ("n_chars",))
+    return profile.describe(digests, "post_id", documents(spark, folder).select("post_id", "text"))
 
 
 @register("sentiment_counts", f"with {q.POSTS} select sentiment, count(*) as n from posts where sentiment is not null group by sentiment")

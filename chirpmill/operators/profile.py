@@ -31,10 +31,14 @@ def _is_missing(field: T.StructField) -> Column:
     return c.isNull()
 
 
-def basic(df: DataFrame) -> DataFrame:
-    """Rows, columns and data size in MB: bytes of the strings plus the width of the other columns."""
+def basic(df: DataFrame, measured: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, columns and data size in MB: bytes of the strings plus the width of the other columns.
+
+    Columns in ``measured`` hold the bytes of a string instead of the string, so that it need not go through a join.
+    """
     sizes = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType)
+        F.coalesce(F.col(f.name), F.lit(0)) if f.name in measured
+        else F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType)
         else F.lit(FIXED_WIDTH.get(type(f.dataType), 8))
         for f in df.schema.fields
     ]
@@ -253,15 +257,17 @@ def _describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return summary.join(F.broadcast(spread), "column_name", "left")
 
 
-def _describe_strings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+def _describe_strings(df: DataFrame, columns: list[str], key: str, texts: DataFrame | None = None) -> DataFrame:
     """count, unique, top and freq of string columns; among equal counts the first seen by ``key``.
 
     Values are grouped by a 256-bit digest, so digests and keys are shuffled, never the texts, in one
     pass. Its outcome, one row per column, goes through the driver, and the winning texts are then read
     by their keys, which the scan can look up.
     """
+    given = [c for c in texts.columns if c in columns] if texts is not None else []
     hashed = df.select(F.col(key).alias("k"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.sha2(F.col(c).cast("string"), 256).alias("digest")) for c in columns
+        F.struct(F.lit(c).alias("column_name"),
+                 (F.col(c) if c in given else F.sha2(F.col(c).cast("string"), 256)).alias("digest")) for c in columns
     ])))
     counted = hashed.groupBy("column_name", "digest").agg(F.count("*").alias("n"), F.min("k").alias("first_key"))
     present = F.col("digest").isNotNull()
@@ -282,22 +288,30 @@ def _describe_strings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     shape = f"column_name string, count bigint, unique bigint, freq bigint, first_key {kind.simpleString()}"
     rows = [(r["column_name"], r["count"], r["unique"], r["freq"], r["first_key"] if r["freq"] else None) for r in summary]
     keys = sorted({r[4] for r in rows if r[4] is not None})
-    values = df.where(F.col(key).isin(keys)).select(F.col(key).alias("k"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("top")) for c in columns
-    ])))
+    def tops(source: DataFrame, names: list[str]) -> DataFrame:
+        return source.where(F.col(key).isin(keys)).select(F.col(key).alias("k"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("top")) for c in names
+        ])))
+
+    own = [c for c in columns if c not in given]
+    values = reduce(DataFrame.unionByName, [*([tops(df, own)] if own else []), *([tops(texts, given)] if given else [])])
     named = spark.createDataFrame(rows, shape)
     # as many rows as columns
     joined = named.join(F.broadcast(values), (F.col("k") == F.col("first_key")) & (F.col("c") == F.col("column_name")), "left")
     return joined.select("column_name", "count", "unique", "top", "freq")
 
 
-def describe(df: DataFrame, key: str) -> DataFrame:
-    """The summary of every column: strings and booleans get unique/top/freq, numbers and times moments and quartiles."""
+def describe(df: DataFrame, key: str, texts: DataFrame | None = None) -> DataFrame:
+    """The summary of every column: strings and booleans get unique/top/freq, numbers and times moments and quartiles.
+
+    String columns that ``texts`` has beside the key hold sha2 digests of 256 bits in ``df``, so that they need not
+    go through a join; their few winning values are read from ``texts``.
+    """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, *TIMES))]
     parts = []
     if strings:
-        parts.append(_describe_strings(df, strings, key))
+        parts.append(_describe_strings(df, strings, key, texts))
     if numbers:
         parts.append(_describe_numeric(df, numbers))
     none = df.sparkSession.createDataFrame([], "column_name string, count bigint")

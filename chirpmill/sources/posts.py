@@ -51,6 +51,11 @@ def posts(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> Data
     return with_sentiment(documents(spark, folder, extra), folder)
 
 
+def measured(spark: SparkSession, folder: str, measure, extra: tuple[str, ...] = ()) -> DataFrame:
+    """All posts with ``measure`` of the text in place of the text: what it gives is all that the join moves."""
+    return with_sentiment(documents(spark, folder, extra).withColumn("text", measure("text")), folder)
+
+
 def labeled(spark: SparkSession, folder: str) -> DataFrame:
     """Posts with a sentiment and its id (alphabetical, from 0)."""
     label_id = F.when(F.col("sentiment") == "negative", 0).when(F.col("sentiment") == "neutral", 1).otherwise(2)

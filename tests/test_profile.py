@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from chirpmill.operators import profile
 from chirpmill.plans import profiling
 from chirpmill.sources.posts import posts
@@ -103,3 +104,26 @@ def test_sections_start_no_job(spark, folder):
     profiling.sections(full)
     assert not tracker.getJobIdsForGroup("sections")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _crosses(plan: str) -> list[str]:
+    """What the exchanges of a plan move."""
+    return [line for line in plan.splitlines() if "Exchange hash" in line]
+
+
+def test_reports_move_no_text(spark, folder):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("profile_basic", "profile_missing"):
+            df = contract.queries()[name](spark, folder)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert _crosses(plan)
+            # the scan is the only place that names the text itself
+            text = next(line for line in plan.splitlines() if "documents.parquet" in line).split("[")[1].split("]")[0]
+            column = next(c for c in text.split(",") if c.startswith("text#"))
+            above = plan[:plan.index("FileScan")]
+            moved = [line for line in above.splitlines() if "Exchange" in line]
+            assert not any(column in line for line in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
