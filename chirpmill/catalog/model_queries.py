@@ -6,9 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import MAX_WORDS, VECTOR_SIZE
+from ..functions.patterns import BLANK_MESSAGE, MAX_WORDS, VECTOR_SIZE
 from ..operators import members
 from ..plans import training
+from ..plans import scoring
 from ..plans.scoring import score
 from ..session import stage, work_path
 from ..sources.posts import labeled, table
@@ -158,3 +159,30 @@ def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
         *training.ROW_KEYS, "label_id", "split", "model_id",
         (F.abs(sum(shares[1:], shares[0]) - 1.0) < 1e-9).alias("sums_to_one"),
         ((F.least(*shares) >= 0) & (F.greatest(*shares) <= 1)).alias("in_range"))
+
+
+@register("score_ensemble", f"with {q.TEXTS} select text_key, true as same_after_reload, true as named from texts")
+def score_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts scored by the chosen combination, before and after the ensemble is saved and loaded."""
+    found = scoring.ensemble_of(training.fit(labeled(spark, folder)))
+    path = work_path(spark, "ensemble")
+    scoring.save_ensemble(found, spark, path)
+    texts = all_texts(spark, folder)
+    one = scoring.score_ensemble(texts, found, ["text_key"])
+    two = scoring.score_ensemble(texts, scoring.load_ensemble(spark, path), ["text_key"])
+    return one.join(two.withColumnRenamed("predicted_sentiment", "again"), "text_key").select(
+        "text_key", (F.col("predicted_sentiment") == F.col("again")).alias("same_after_reload"),
+        F.col("predicted_sentiment").isin("Negative", "Neutral", "Positive", BLANK_MESSAGE).alias("named"))
+
+
+@register("score_ensemble_stream", "select doc_id, true as same_as_batch from documents")
+def score_ensemble_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents scored as a stream by the chosen combination, compared with the batch."""
+    found = scoring.ensemble_of(training.fit(labeled(spark, folder)))
+    docs = table(spark, folder, "documents")
+    posts = streaming.read_posts(spark, folder, docs.schema, glob="documents.parquet")
+    sink = work_path(spark, "scored")
+    streaming.score_ensemble_stream(posts, found, ["doc_id"], sink, work_path(spark, "scored-checkpoint")).awaitTermination()
+    streamed = spark.read.schema("doc_id bigint, predicted_sentiment string").parquet(sink)
+    batch = scoring.score_ensemble(docs, found, ["doc_id"]).withColumnRenamed("predicted_sentiment", "batch")
+    return streamed.join(batch, "doc_id").select("doc_id", (F.col("predicted_sentiment") == F.col("batch")).alias("same_as_batch"))

@@ -64,7 +64,9 @@ def _average(models: tuple[int, ...], n_classes: int) -> list[Column]:
     return [reduce(add, [F.col(_p(m, k)) for m in models]) / len(models) for k in range(n_classes)]
 
 
-def _weighted(models: tuple[int, ...], n_classes: int, weights: DataFrame) -> list[Column]:
+def _weighted(models: tuple[int, ...], n_classes: int, weights: DataFrame | dict[int, float]) -> list[Column]:
+    if isinstance(weights, dict):
+        return [reduce(add, [F.col(_p(m, k)) * F.lit(weights[m]) for m in models]) for k in range(n_classes)]
     # one row per member, read as one small map
     table = weights.agg(F.map_from_entries(F.collect_list(F.struct("model_id", "weight")))).scalar()
     return [reduce(add, [F.col(_p(m, k)) * F.element_at(table, F.lit(m)) for m in models]) for k in range(n_classes)]
@@ -80,7 +82,7 @@ def _confidences(models: tuple[int, ...], n_classes: int) -> list[Column]:
     return [reduce(add, [F.when(pred == k, top).otherwise(0.0) for pred, top in own]) for k in range(n_classes)]
 
 
-def combine(wide: DataFrame, method: str, weights: DataFrame | None = None,
+def combine(wide: DataFrame, method: str, weights: DataFrame | dict[int, float] | None = None,
             models: tuple[int, ...] = MEMBERS, n_classes: int = N_CLASSES) -> Column:
     """The class scores of one method as an array column for ``wide``; ties go to the lowest class."""
     if method == "Average":
@@ -96,7 +98,7 @@ def combine(wide: DataFrame, method: str, weights: DataFrame | None = None,
     return F.array(*scores)
 
 
-def with_methods(wide: DataFrame, weights: DataFrame, models: tuple[int, ...] = MEMBERS, n_classes: int = N_CLASSES) -> DataFrame:
+def with_methods(wide: DataFrame, weights: DataFrame | dict[int, float], models: tuple[int, ...] = MEMBERS, n_classes: int = N_CLASSES) -> DataFrame:
     """Add the prediction of every method, ``pred_<method>``, in one pass."""
     return wide.withColumns({f"pred_{m}": argmax(combine(wide, m, weights, models, n_classes)) for m in METHODS})
 

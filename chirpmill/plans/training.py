@@ -62,6 +62,7 @@ class Trained:
     members: DataFrame
     compared: DataFrame
     best: DataFrame
+    weights: dict[int, float]
 
 
 def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: bool = False, select_on: str = "test",
@@ -86,10 +87,11 @@ def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: boo
     wide = stage(members.predict_proba(held_out, models, [*ROW_KEYS, "label_id", "split"]), "scores")
     scores = ensemble.long_scores(wide, [*ROW_KEYS, "label_id", "split"])
     accuracies = ensemble.member_accuracy(scores, ["model_id", "split"])
-    weights = ensemble.ensemble_weights(scores.where("split = 'val'"))
+    # a row for each member
+    weights = {r["model_id"]: r["weight"] for r in ensemble.ensemble_weights(scores.where("split = 'val'")).collect()}
     predicted = ensemble.with_methods(wide, weights)
     compared = ensemble.compare_methods(predicted.where(F.col("split") == select_on))
-    return Trained(models, cleaner, scores, predicted.where("split = 'test'"), accuracies, compared, ensemble.best_method(compared))
+    return Trained(models, cleaner, scores, predicted.where("split = 'test'"), accuracies, compared, ensemble.best_method(compared), weights)
 
 
 def final_report(trained: Trained) -> DataFrame:
