@@ -28,7 +28,7 @@ from chirpmill.session import work_path
 
 BLOCK_IDS = 1 << 18
 #: Parts of texts, and letter runs in them, remembered with their ids by each worker, and the longest that is.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 750_000, 48
 #: Marks that end a part without touching the letters before them; the apostrophe can (it opens contractions).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
