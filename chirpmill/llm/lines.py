@@ -45,20 +45,24 @@ def trimmed(line: Column) -> Column:
 
 
 def segment_hashes(edits: int) -> Column:
-    """Hashes of the substrings of ``line`` (of ``size`` characters) by which lines within ``edits`` edits meet."""
-    parts, made = edits + 1, []
+    """Hashes of the substrings of ``line`` (of ``size`` characters) by which lines within ``edits`` edits meet.
+
+    One rule over a short list of cases (characters fewer, segment, shift); written out case by case it would be
+    too much code for one compiled method.
+    """
+    parts, cases = edits + 1, []
     for less in range(edits + 1):
-        length = F.col("size") - less
-        base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-        for i in range(1, parts + 1):
-            plain = parts - longer  # the first so many segments have the base length, the rest one more
-            begin = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - plain)
-            width = base + F.when(F.lit(i) > plain, 1).otherwise(0)
-            low, high = max(-(i - 1), less - (parts - i)), min(i - 1, less + parts - i)
+        for i in range(parts):
+            low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
             # equal lengths meet in one direction: the other line has the opposite shift
-            for shift in range(0 if less == 0 else low, high + 1):
-                made.append(F.xxhash64(length, F.lit(i), F.substring("line", begin + shift + 1, width)))
-    return F.array_distinct(F.array(*made))
+            cases += [f"struct({less} as less, {i} as i, {shift} as shift)" for shift in range(0 if less == 0 else low, high + 1)]
+    # the first segments have the base length, the last ``n % parts`` one character more
+    longer = f"greatest(0, c.i - {parts} + (size - c.less) % {parts})"
+    width = f"((size - c.less) div {parts} + if(c.i >= {parts} - (size - c.less) % {parts}, 1, 0))"
+    begin = f"(c.i * ((size - c.less) div {parts}) + {longer} + c.shift + 1)"
+    return F.expr(
+        f"array_distinct(transform(array({', '.join(cases)}), c -> xxhash64(size - c.less, c.i,"
+        f" substring(line, cast({begin} as int), cast({width} as int)))))")
 
 
 def repeated(lines: DataFrame) -> DataFrame:
