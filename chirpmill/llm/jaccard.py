@@ -146,7 +146,9 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def blocks(docs: DataFrame, made: DataFrame, text_col: str) -> DataFrame:
     """``block, sid, n, shared``: sets that share one of their first shingles; blocks with equal members are one."""
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sent_rows, "token bigint, sid bigint").repartition("token")
+    # the join below asks for this filter: given here, counts and join are made from one and the same shuffle
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sent_rows, "token bigint, sid bigint").where(
+        "token is not null").repartition("token")
     held = sent.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
     common = sent.join(held, "token")
@@ -274,7 +276,7 @@ def links(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataF
     source = made.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("of"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     whole = stage(
-        texts.join(stage(source, "set-sources"), F.expr("doc_id <=> of")).select("sid", "text")
+        texts.join(stage(source, "set-sources").hint("merge"), F.expr("doc_id <=> of")).select("sid", "text")
         .mapInArrow(_whole_rows, f"sid bigint, n bigint, bits array<bigint>, hidden bigint, tokens binary"), "whole-sets")
     centre = member.groupBy("block").agg(F.max(F.struct("shared", "sid")).alias("c")).select("block", F.col("c.sid").alias("centre"))
     around = stage(member.join(centre, "block").where("sid <> centre"), "around")

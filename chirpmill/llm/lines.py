@@ -82,7 +82,9 @@ def candidates(lines: DataFrame, again: DataFrame, edits: int) -> DataFrame:
     """``key, n, at, head``: the places of different lines that share a hash, with the earliest of them."""
     parts = (
         _first_places(lines, again, segment_hashes(edits).alias("keys"))
-        .select(F.explode("keys").alias("key"), F.struct("doc_id", "no").alias("at")).repartition("key")
+        .select(F.explode("keys").alias("key"), F.struct("doc_id", "no").alias("at"))
+        # the join below asks for this filter: given here, heads and join are made from one and the same shuffle
+        .where("key is not null").repartition("key")
     )
     heads = parts.groupBy("key").agg(F.min("at").alias("head"), F.count("*").alias("n")).where("n > 1")
     return stage(parts.join(heads, "key").select("key", "n", "at", "head"), "line-candidates")
