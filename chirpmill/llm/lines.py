@@ -1,7 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Lines are compared trimmed; those of fewer than ``MIN_CHARS`` characters are left alone. A line goes if the same line
-stands earlier (by document id, then by line number), or if an earlier line is within ``EDITS`` edits of it.
+Lines are compared trimmed. A line goes if the same line stands earlier (by document id, then by line number), or if
+it has ``MIN_CHARS`` characters or more and an earlier such line is within ``EDITS`` edits of it. Repeats are looked for
+among lines of ``exact_from`` characters or more: with 1 these are all lines but blank ones, as the registered query and
+the pipeline have it; by default shorter lines than ``MIN_CHARS`` are left alone.
 
 Two strings within t edits, cut into t + 1 segments, share a segment near its place. Each different line gives
 the hashes of its own segments and of those substrings of it that could be a segment of a line up to t characters
@@ -30,13 +32,13 @@ EDITS = 2
 CLASSES = 61
 
 
-def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, no, line, size``: the lines that take part."""
+def split_lines(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, no, line, size``: the lines that take part, those of ``least`` characters or more."""
     # trimmed and measured before they are exploded: what comes later reads a column and not the rule for it
     cut = F.transform(F.transform(F.split(F.col(text_col), "\n", -1), trimmed), lambda x: F.struct(x.alias("line"), F.length(x).alias("size")))
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("no", "x"))
-        .select("doc_id", "no", "x.line", "x.size").where(F.col("size") >= MIN_CHARS)
+        .select("doc_id", "no", "x.line", "x.size").where(F.col("size") >= least)
     )
 
 
@@ -164,11 +166,12 @@ def near_places(docs: DataFrame, lines: DataFrame, again: DataFrame, id_col: str
     return by_head.unionByName(near(pairs, texts, edits)).select("at.doc_id", "at.no").distinct()
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
+            exact_from: int = MIN_CHARS) -> DataFrame:
     """``doc_id, no, near``: the places of lines that go; ``near`` tells an edited line from a repeated one."""
-    lines = split_lines(docs, id_col, text_col)
+    lines = split_lines(docs, id_col, text_col, exact_from)
     again = repeated(lines)
-    close = near_places(docs, lines, again, id_col, text_col, edits)
+    close = near_places(docs, lines.where(F.col("size") >= MIN_CHARS), again, id_col, text_col, edits)
     same = (
         lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "no")
         .join(again, ["h1", "h2"]).where("not (doc_id <=> first_id and no = first_no)").select("doc_id", "no")
@@ -177,12 +180,12 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-          keep_emptied: bool = True) -> tuple[DataFrame, DataFrame]:
+          keep_emptied: bool = True, exact_from: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """All columns of ``docs`` with the lines that stay in ``text_col``, and ``doc_id, n_same, n_near`` of texts that lose some.
 
     Without ``keep_emptied``, rows that lose every line but blank ones go.
     """
-    gone = dropped(docs, id_col, text_col, edits)
+    gone = dropped(docs, id_col, text_col, edits, exact_from)
     by_doc = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(
         F.sort_array(F.collect_set("no")).alias("gone_nos"),
         F.count_if(~F.col("near")).alias("n_same"), F.count_if("near").alias("n_near"))

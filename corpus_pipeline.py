@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier, or nearly so; those with no line left go."""
     importable(spark)
-    kept, _ = lines.dedup(docs, keep_emptied=False)
+    kept, _ = lines.dedup(docs, keep_emptied=False, exact_from=1)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as contract
 from test_packing import check_bins
@@ -30,3 +32,12 @@ def test_each_stage_keeps_the_columns_and_does_its_work(spark, folder, tmp_path)
     for name, stage in corpus_pipeline.STAGES[1:4]:
         again = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), folder)
         assert again.count() == spark.read.parquet(f"{tmp_path}/{name}").count(), name
+
+
+def test_an_exact_copy_with_short_lines_goes_as_a_whole(spark):
+    long = "these words stand in one line that is long enough"
+    rows = [(1, f"Head\n{long}\n\n  Les. \n"), (2, f"Head\n{long}\n\n  Les. \n"), (3, f"{long}\nonly here"), (4, "only here\nHead")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    # no word is lost: the short line that stands nowhere earlier stays, though its document lost all others
+    assert got == {1: rows[0][1], 3: "only here"}
