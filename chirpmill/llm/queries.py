@@ -173,7 +173,7 @@ def op7_quotations(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    kept, lost = lines.dedup(docs)
+    kept, lost = lines.dedup(docs, exact_from=1)
     return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5")).join(
         lost.withColumnRenamed("doc_id", "lost_id"), F.expr("doc_id <=> lost_id"), "left").select(
         "doc_id", "n_chars_kept", "text_md5", F.coalesce("n_same", F.lit(0)).cast("long").alias("n_same"),

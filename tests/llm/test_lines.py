@@ -3,6 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from chirpmill.llm import lines
+from chirpmill.llm.queries import QUERIES
+from sql import write
 
 
 def distance(a, b):
@@ -89,3 +91,30 @@ def test_drops_what_the_rule_drops(spark):
 def test_nothing(spark):
     kept, lost = lines.dedup(spark.createDataFrame([], "doc_id long, text string"))
     assert kept.collect() == [] and lost.collect() == []
+
+
+def test_query_drops_short_repeats_but_compares_only_long_lines_by_edits(spark, tmp_path):
+    rng = random.Random(4)
+    short = ["Les.", "And ornd.", "x", "Les", "a line of 19 chars.", "é", " \t", ""]
+    long = ["this line has twenty-five", "this line has twenty five", "quite another line, and long"]
+    rows = [(i, "\n".join(rng.choice(["", " "]) + rng.choice(short + long) + rng.choice(["", " \r"]) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    rows += [(50, None), (51, "Les."), (None, "Les.\nonly null")]
+    seen, first, want = set(), [], {}
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        kept, same, near = [], 0, 0
+        for raw in (text or "").split("\n"):
+            line = raw.strip()
+            if line in seen:
+                same += 1
+            elif len(line) >= lines.MIN_CHARS and any(distance(line, other) <= lines.EDITS for other in first):
+                near += 1
+            else:
+                kept.append(raw)
+            if line and line not in seen:
+                seen.add(line)
+                first += [line] if len(line) >= lines.MIN_CHARS else []
+        want[doc] = (None if text is None else len("\n".join(kept)), same, near)
+    folder = write(spark, tmp_path, documents=(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_chars_kept"], r["n_same"], r["n_near"]) for r in QUERIES["op5_line_dedup"](spark, folder).collect()}
+    assert {d: v for d, v in got.items() if v != want[d]} == {} and len(got) == len(rows)
+    assert got[51] == (0, 1, 0) and sum(n for _, _, n in got.values()) > 0
