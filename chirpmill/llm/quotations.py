@@ -6,7 +6,8 @@ is joined to the first message of its conversation whose own words are that pass
 or paragraphs. A message answers the message that its least nested linked quote comes from (the longest such passage,
 then the earliest message, if there are several). Threads are the trees of answers, found by pointer jumping;
 conversations are ordered by thread and turn, so an answer never stands before what it answers, and quotes and the
-lines that announce them (``... wrote:``) are taken out.
+lines that announce them (``... wrote:``) are taken out. A line that announces a deeper quote inside a quote is taken
+out of that passage too, as its writer did not say it in their own words.
 
 A conversation may hold any number of rows: no window or list ever gathers one. Places come from a sort over all
 messages in ranges and the counts of the ranges.
@@ -50,17 +51,22 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), lines.alias("lines"))
         .select("conv_id", "turn", "role", levels.alias("levels"), bodies.alias("bodies"))
         .select("conv_id", "turn", "role", "levels", "bodies", begins.alias("begins"))
-        .select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", runs.alias("runs"))
+        .select("conv_id", "turn", "role", runs.alias("runs"))
+        .select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", unannounced(F.col("runs")).alias("runs"))
     )
 
 
+def unannounced(runs: Column) -> Column:
+    """Runs without the line that announces a deeper quote right after them."""
+    announced = lambda r, i: F.coalesce(F.get(runs, i + 1)["level"] > r["level"], F.lit(False))
+    return F.transform(runs, lambda r, i: F.struct(
+        r["level"].alias("level"),
+        F.when(announced(r, i), F.regexp_replace(r["body"], "(?m)" + ANNOUNCED[:-1] + r"\s*\z", "")).otherwise(r["body"]).alias("body")))
+
+
 def own_text(runs: Column) -> Column:
-    """A message without its quotes and the lines that announce them."""
-    kept = F.transform(
-        F.filter(F.transform(runs, lambda r, i: F.struct(
-            r["level"].alias("level"), r["body"].alias("body"),
-            F.coalesce(F.get(runs, i + 1)["level"] > 0, F.lit(False)).alias("before_quote"))), lambda r: r["level"] == 0),
-        lambda r: F.when(r["before_quote"], F.regexp_replace(r["body"], "(?m)" + ANNOUNCED[:-1] + r"\s*\z", "")).otherwise(r["body"]))
+    """A message without its quotes."""
+    kept = F.transform(F.filter(runs, lambda r: r["level"] == 0), lambda r: r["body"])
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\A\s+|\s+\z", ""))
 
 

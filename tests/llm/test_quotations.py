@@ -45,3 +45,24 @@ def test_odd_rows(spark):
     for conv in (None, 3):
         assert sorted(r["position"] for r in got if r["conv_id"] == conv) == list(range(sum(1 for x in rows if x[0] == conv)))
     assert quotations.conversations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def found(spark, talk):
+    rows = quotations.conversations(spark.createDataFrame([(1, k, "u", t) for k, t in enumerate(talk)], SCHEMA)).collect()
+    return {r["turn"]: (r["parent_turn"], r["depth"], r["n_quotes"], r["n_linked"], r["text"]) for r in rows}
+
+
+def test_announcing_lines_inside_quotes(spark):
+    talk = [
+        "text of Ann",
+        "reply\n\nOn Mon Ann wrote:\n> text of Ann",
+        "more\nOn Tue Bob wrote:\n> reply\n>\n> On Mon Ann wrote:\n>> text of Ann",
+        "last\nCy wrote:\n> more\n> On Tue Bob wrote:\n>> reply\n>>\n>> On Mon Ann wrote:\n>>\n>>> text of Ann",
+        "> On Tue Bob wrote:\n>> reply\nyes",
+        # announced without a deeper quote: these are words
+        "Dan said:",
+        "> Dan said:\n\nhe did",
+    ]
+    assert found(spark, talk) == {
+        0: (None, 0, 0, 0, "text of Ann"), 1: (0, 1, 1, 1, "reply"), 2: (1, 2, 2, 2, "more"), 3: (2, 3, 3, 3, "last"),
+        4: (1, 2, 1, 1, "yes"), 5: (None, 0, 0, 0, "Dan said:"), 6: (5, 1, 1, 1, "he did")}
