@@ -3,7 +3,7 @@
 Lines that begin with ``>`` marks are quotes; the number of marks is the level. Neighbouring lines of one level make a
 passage. Passages and messages are normalised (lower case, runs of white space as one blank) and hashed; a passage
 is joined to the first message of its conversation whose own words are that passage, or hold it as one of their lines
-or paragraphs. A message answers the message that its least nested linked quote comes from (the longest such passage,
+or paragraphs, or as lines that follow each other (blank lines aside). A message answers the message that its least nested linked quote comes from (the longest such passage,
 then the earliest message, if there are several). Threads are the trees of answers, found by pointer jumping;
 conversations are ordered by thread and turn, so an answer never stands before what it answers, and quotes and the
 lines that announce them (``... wrote:``) are taken out. A line that announces a deeper quote inside a quote is taken
@@ -38,6 +38,16 @@ def _key(text: Column) -> Column:
     return F.md5(text)
 
 
+def line_keys(text: Column) -> Column:
+    """Hashes of the normalised lines of a text, without blank ones."""
+    return F.transform(F.filter(F.transform(F.split(text, "\n", -1), normal), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def _run_key(keys: Column) -> Column:
+    """What two runs of lines must share; never what ``_key`` gives for a text of one passage."""
+    return _key(F.concat(F.lit("\n"), F.array_join(keys.cast("array<string>"), "\n")))
+
+
 def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """``row, conv_id, turn, role, runs``: the text of each message as runs of lines of one quote level (0: its own)."""
     lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n", -1)
@@ -71,29 +81,59 @@ def own_text(runs: Column) -> Column:
 
 
 def originals(rows: DataFrame) -> DataFrame:
-    """``conv_id, key, source``: the first turn of a conversation that says a passage, whole or as a line or paragraph."""
+    """``conv_id, key, turn``: the passages that messages say, whole or as a line or paragraph."""
     said = F.array_distinct(F.concat(
         F.array(normal(F.col("own"))), F.transform(F.split("own", "\n", -1), normal),
         F.transform(F.split("own", r"\n[ \t]*\n", -1), normal)))
     return (
         rows.select("conv_id", "turn", F.explode(said).alias("passage")).where("passage <> ''")
-        .groupBy("conv_id", _key(F.col("passage")).alias("key")).agg(F.min("turn").alias("source"))
+        .select("conv_id", _key(F.col("passage")).alias("key"), "turn")
+    )
+
+
+def line_runs(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``conv_id, key, turn``: the runs of lines in messages, of those numbers of lines that quotes of the conversation have.
+
+    Messages travel as hashes of their lines. The numbers asked for are at most as many as the longest quote has lines.
+    """
+    asked = (
+        quotes.where("n_lines > 1").groupBy(F.col("conv_id").alias("asked_id")).agg(F.collect_set("n_lines").alias("spans"))
+    )
+    windows = F.expr(
+        "flatten(transform(filter(spans, n -> n <= size(keys)), n -> transform(sequence(1, size(keys) - n + 1), i -> slice(keys, i, n))))")
+    return (
+        rows.select("conv_id", "turn", line_keys(F.col("own")).alias("keys")).where("size(keys) > 1")
+        .join(asked, F.expr("conv_id = asked_id"))
+        .select("conv_id", "turn", F.explode(windows).alias("run"))
+        .select("conv_id", _run_key(F.col("run")).alias("key"), "turn")
     )
 
 
 def linked(rows: DataFrame) -> DataFrame:
     """``row, level, source``: each quoted passage with the turn it comes from, null where there is none."""
     quotes = (
-        rows.select("row", "conv_id", "turn", F.explode(F.filter("runs", lambda r: r["level"] > 0)).alias("q"))
-        .select("row", "conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.body")).alias("passage"))
-        .where("passage <> ''").withColumn("key", _key(F.col("passage")))
+        rows.select("row", "conv_id", "turn", F.posexplode("runs").alias("place", "q")).where("q.level > 0")
+        .select("row", "place", "conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.body")).alias("passage"),
+                line_keys(F.col("q.body")).alias("lines"))
+        .where("passage <> ''")
+        .select("row", "place", "conv_id", "turn", "level", F.length("passage").alias("size"), F.size("lines").alias("n_lines"),
+                F.when(F.size("lines") > 1, F.array(_key(F.col("passage")), _run_key(F.col("lines"))))
+                .otherwise(F.array(_key(F.col("passage")))).alias("keys"))
     )
+    quotes = stage(quotes, "chat-quotes")
+    keyed = quotes.withColumn("key", F.explode("keys"))
     # only conversations that quote need an index of what they say
-    asked = quotes.select("conv_id", "key").distinct()
-    found = originals(rows.where("conv_id is not null and turn is not null")).join(asked, ["conv_id", "key"], "left_semi")
+    asked = keyed.select("conv_id", "key").distinct()
+    known = rows.where("conv_id is not null and turn is not null")
+    found = (
+        originals(known).unionByName(line_runs(known, quotes)).groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
+        .join(asked, ["conv_id", "key"], "left_semi")
+    )
+    # a quote has one key or two
     return (
-        quotes.join(found, ["conv_id", "key"], "left")
-        .select("row", "level", F.length("passage").alias("size"), F.when(F.col("source") < F.col("turn"), F.col("source")).alias("source"))
+        keyed.join(found, ["conv_id", "key"], "left")
+        .groupBy("row", "place", "level", "size").agg(F.min(F.when(F.col("source") < F.col("turn"), F.col("source"))).alias("source"))
+        .select("row", "level", "size", "source")
     )
 
 

@@ -66,3 +66,22 @@ def test_announcing_lines_inside_quotes(spark):
     assert found(spark, talk) == {
         0: (None, 0, 0, 0, "text of Ann"), 1: (0, 1, 1, 1, "reply"), 2: (1, 2, 2, 2, "more"), 3: (2, 3, 3, 3, "last"),
         4: (1, 2, 1, 1, "yes"), 5: (None, 0, 0, 0, "Dan said:"), 6: (5, 1, 1, 1, "he did")}
+
+
+def test_quotes_of_some_lines_or_paragraphs(spark):
+    talk = [
+        "one a\none b\none c\none d\n\npara two\ngoes on\n\npara three",
+        "> one b\n> One   C\nyes",
+        "> para two\n> goes on\n>\n> para three\nand",
+        # not in this order, and with a line between: nobody said that
+        "> one c\n> one b\nno",
+        "> one a\n> one c\nneither",
+        "one b\none c\nlater too",
+        # the first who said it, and the earlier of both ways of saying it
+        "> one b\n> one c\nagain",
+        # wrapped anew: whole paragraphs only
+        "> para two goes\n> on\nwrapped",
+    ]
+    assert found(spark, talk) == {
+        0: (None, 0, 0, 0, talk[0]), 1: (0, 1, 1, 1, "yes"), 2: (0, 1, 1, 1, "and"), 3: (None, 0, 1, 0, "no"),
+        4: (None, 0, 1, 0, "neither"), 5: (None, 0, 0, 0, talk[5]), 6: (0, 1, 1, 1, "again"), 7: (0, 1, 1, 1, "wrapped")}
