@@ -1,5 +1,8 @@
 """Best-fit packing of texts into sequences of several permitted lengths.
 
+Lengths and capacities are counted in words and an end token, unless another count is given: a sequence that is full by
+words can be longer than its capacity once a tokenizer has cut the words into pieces.
+
 A text's tokens are cut into pieces of the longest permitted length and a rest. Best-fit decreasing sees pieces of equal
 length as alike, so it runs on their counts alone: a table with a row for each length up to the longest permitted
 one, whatever the corpus. Going down the lengths, pieces fill the open bins of least room that still take them, each
