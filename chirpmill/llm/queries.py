@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import decontaminate, importable, jaccard, licenses, lines, neighbours, packing, quality, quotations, token_files, warc
+from . import (decontaminate, importable, jaccard, licenses, lines, multiset, neighbours, packing, quality,
+               quotations, token_files, warc)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -195,3 +196,56 @@ from d left join n using (doc_id) join (select doc_id, min(other) component_id f
 """)
 def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(_table(spark, folder, "documents"))
+
+
+def _multiset_sql() -> str:
+    k, bits, lane_at = multiset.RUN, multiset.BITS, multiset.BITS - multiset.LANE_BITS
+    run = " + ".join(f"coalesce(h[s + {j}], 0) * {f}" for j, f in enumerate(multiset.FACTORS))
+    near = ("case when {a} = {b} then 1.0 when coalesce({p}, 0) <= 0 then 0.0 "
+            "else least(1.0, {p}::double / ({x} + {y} - {p})::double) end::double")
+    return f"""
+with d as materialized (
+  select row_number() over (order by doc_id desc nulls last, md5(coalesce(text, ''))) - 1 i, doc_id, coalesce(text, '') text
+  from documents),
+pair as materialized (
+  select d.i, d.doc_id, d.text, length(d.text) n_chars, later.i next_i,
+         left(d.text, length(d.text) - length(d.text) // 2) || left(later.text, length(d.text) // 2) edited
+  from d join d later on later.i = (d.i + 1) % (select count(*) from d)),
+texts as (select i, 0 kind, text from pair union all select i, 1, edited from pair),
+paragraphs as materialized (select i, kind, p from texts, unnest(string_split(text, chr(10))) t(p)),
+digests as (select i, kind, salt, sha256(salt || ':' || sha256(p)) d from paragraphs, range({multiset.SALTS}) s(salt)),
+equal_lanes as (
+  select i, kind, salt * 8 + part lane, sum(('0x' || substr(d, part::bigint * 8 + 1, 8))::bigint) v
+  from digests, range(8) r(part) group by all),
+hashed as (
+  select i, kind, list_transform(regexp_extract_all(p, '{_SPACED}'), lambda w: ('0x' || left(md5(w), {bits // 4}))::bigint::hugeint) h
+  from paragraphs),
+runs as (select i, kind, ({run}) % {2 ** bits} r from hashed, unnest(range(1, greatest(len(h) - {k - 1}, 1) + 1)) t(s) where len(h) > 0),
+alike as materialized (
+  select i, kind, (r // {2 ** lane_at})::bigint lane, sum(case when (r // {2 ** (lane_at - 1)}) % 2 = 1 then 1 else -1 end) v
+  from runs group by all),
+lanes as (
+  select i, kind, lane, v from equal_lanes union all select i, kind, lane + {multiset.EQUAL}, v from alike),
+prints as materialized (
+  select i, kind, string_agg(printf('%08x', ((coalesce(v, 0) % 4294967296 + 4294967296) % 4294967296)::bigint), '' order by lane) f
+  from (select i, kind, lane from pair, range(2) k(kind), range({multiset.LANES}) l(lane)) left join lanes using (i, kind, lane)
+  group by i, kind),
+squares as materialized (select i, kind, sum(v * v) q from alike group by i, kind),
+by_edit as (select a.i, sum(a.v * b.v) p from alike a join alike b on a.i = b.i and a.lane = b.lane where a.kind = 0 and b.kind = 1 group by a.i),
+by_next as (
+  select pair.i, sum(a.v * b.v) p from pair join alike a on a.i = pair.i join alike b on b.i = next_i and a.lane = b.lane
+  where a.kind = 0 and b.kind = 0 group by pair.i)
+select doc_id, n_chars, sha256(edited) edited_sha256, f.f fingerprint, e.f edited_fingerprint,
+       {near.format(a="f.f", b="e.f", p="by_edit.p", x="fq.q", y="eq.q")} near_edited,
+       {near.format(a="f.f", b="l.f", p="by_next.p", x="fq.q", y="lq.q")} near_next
+from pair join prints f on f.i = pair.i and f.kind = 0 join prints e on e.i = pair.i and e.kind = 1
+join prints l on l.i = next_i and l.kind = 0
+left join squares fq on fq.i = pair.i and fq.kind = 0 left join squares eq on eq.i = pair.i and eq.kind = 1
+left join squares lq on lq.i = next_i and lq.kind = 0
+left join by_edit on by_edit.i = pair.i left join by_next on by_next.i = pair.i
+"""
+
+
+@query("op11_fingerprints", _multiset_sql())
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset.edited(_table(spark, folder, "documents"))
