@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chirpmill.session import work_path
 
 from . import (decontaminate, importable, jaccard, licenses, lines, multiset, neighbours, packing, quality,
-               quotations, token_files, warc)
+               quotations, token_files, trie, warc)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -249,3 +249,48 @@ left join by_edit on by_edit.i = pair.i left join by_next on by_next.i = pair.i
 @query("op11_fingerprints", _multiset_sql())
 def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return multiset.edited(_table(spark, folder, "documents"))
+
+
+#: The remainder of crc32 of a conversation's id, bit by bit, as SQL has no such function.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4"""
+
+
+@query("op12_prefix_trie", f"""
+with t as (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') text, turn from conversations where conv_id is not null),
+own as materialized (
+  select conv_id, md5(length(role) || ':' || role || text) digest, len(regexp_extract_all(text, '{_SPACED}')) words,
+         row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) place from t),
+c as materialized (
+  select conv_id, count(*) n_own, conv_id - conv_id % 20 base, {_CRC} h from own group by conv_id),
+sized as materialized (
+  select c.conv_id, c.base, c.h, least(c.h, coalesce(b.n_own, 0)) used, c.n_own from c left join c b on b.conv_id = c.base),
+turns as (
+  select s.conv_id, o.place depth, digest, words from sized s join own o on o.conv_id = s.base and o.place <= h
+  union all
+  select s.conv_id, o.place - h + used, digest, words from sized s join own o on o.conv_id = s.conv_id and o.place > h),
+r as materialized (
+  select conv_id, depth, words, list(digest) over (partition by conv_id order by depth) path from turns
+  union all select conv_id, 0, 0, [] from c),
+n as materialized (
+  select depth, path, min(conv_id) conv_id, count(*) n_convs, (count(*) - 1) * max(words) saved from r group by depth, path),
+up as materialized (
+  select n.depth, n.path, p.path up_path, p.conv_id parent_conv_id from n join r on r.conv_id = n.conv_id and r.depth = n.depth - 1
+  join n p on p.depth = r.depth and p.path = r.path),
+children as materialized (select depth - 1 depth, up_path path, count(*) n_children from up group by all),
+subtree as (
+  select r.depth, r.path, sum(case when children.path is null then 1 else 0 end) n_leaves, sum(saved) saved_tokens
+  from n left join children on children.depth = n.depth and children.path = n.path
+  join r on r.conv_id = n.conv_id and r.depth <= n.depth group by r.depth, r.path),
+ends as (
+  select depth, path, string_agg(conv_id::varchar, ',' order by conv_id) ids
+  from (select r.* from r join (select conv_id, max(depth) depth from r group by conv_id) using (conv_id, depth)) group by depth, path)
+select n.conv_id, n.depth::bigint depth, parent_conv_id, n_convs, coalesce(n_children, 0) n_children, n_leaves::bigint n_leaves,
+       saved_tokens::bigint saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+from n left join up using (depth, path) left join children using (depth, path) join subtree using (depth, path)
+left join ends using (depth, path)
+""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.nodes(_table(spark, folder, "conversations"))
