@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
-from . import (decontaminate, importable, jaccard, licenses, lines, multiset, neighbours, packing, quality,
+from . import (collocations, decontaminate, importable, jaccard, licenses, lines, multiset, neighbours, packing, quality,
                quotations, token_files, trie, warc)
 
 QUERIES: dict = {}
@@ -294,3 +294,35 @@ left join ends using (depth, path)
 """)
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.nodes(_table(spark, folder, "conversations"))
+
+
+_PIECES = r"[.,;:!?\x0A-\x0D]"
+
+
+@query("op13_collocations", f"""
+with pieces as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_PIECES}')) p
+  from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces),
+f as materialized (
+  select lang, array_to_string(w[i:i + k - 1], ' ') phrase, k, count(*) f
+  from w, range(1, 4) s(k), unnest(range(1, len(w) - k + 2)) t(i) group by all),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+c as materialized (
+  select lang, phrase, string_split(phrase, ' ') w, k, f a from f where k > 1 and f >= {collocations.LEAST}),
+covered as (
+  select distinct lang, phrase from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase from c where k = 3) long
+  join (select lang, phrase, f from f where k = 2) using (lang, phrase) where 100 * a >= {collocations.COVER} * f),
+cuts as (
+  select c.lang, c.phrase, a, cut, lf.f l, rf.f r, ({collocations.SCALE}::hugeint * a * a) // (lf.f::hugeint * rf.f) score
+  from c, range(1, 3) t(cut) join f lf on lf.lang = c.lang and lf.phrase = array_to_string(c.w[1:cut], ' ')
+  join f rf on rf.lang = c.lang and rf.phrase = array_to_string(c.w[cut + 1:c.k], ' ') where cut < c.k),
+best as (
+  select * from cuts anti join covered using (lang, phrase)
+  qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from best)
+select lang, rank, phrase, a, l, r, n, score::bigint score from ranked join n using (lang) where rank <= {collocations.TOP}
+""")
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
