@@ -6,9 +6,12 @@ are counted, together with the ends of pieces: the last two words and the last w
 behind them. All shorter counts follow from the flow: a pair stands as often as edges leave its node plus pieces end there,
 a word as often as the pairs that it opens plus pieces end with it.
 
-Tasks count runs before the shuffle (``run_counts``), words coded as numbers. The one large shuffle deals runs by their
-first two words, which puts all edges that leave a node into one place, where their sum is taken. What a node hands on is
-small: itself and its frequent edges if it is frequent, otherwise a count for its first word.
+Tasks count runs before the shuffle (``run_blocks``), words coded as numbers; all runs of a chunk of text that open with the
+same word are one row, so a row of the shuffle stands for many runs. The one large shuffle deals rows by their first word, so
+that the edges that leave a node, and the nodes that leave a word, meet in one place, where their sums are taken
+(``merged``). Words that stand more than ``HEAVY_RUNS`` times, and open more than one in ``MOST_HEAVY`` of all runs, are
+found beforehand; their runs are dealt over as many shares as they fill, by the two words behind, and the sums of the shares
+are added up afterwards (``flows``).
 
 Frequent edges are then compacted (``paths``): edges u -> v -> x are parts of one path if v is entered and left by nothing
 else (both edges weigh as much as v). Paths are found by pointer jumping and kept in blocks of ``BLOCK`` edges. Such a link
@@ -20,11 +23,14 @@ shares; the top rows of a language are cut in each task before the shuffle, so n
 
 Edge cases: null texts are empty, a null language is ``und``; texts without words, empty tables and languages without a
 frequent pair give no row; repeated rows count as often; only the two named columns are read, so none can clash. A text
-larger than ``CHUNK_BYTES`` is cut between pieces, so memory follows the longest piece.
+larger than ``CHUNK_BYTES`` is cut between pieces, so memory follows the longest piece and the largest share of a word.
 """
 
 from __future__ import annotations
 
+import zlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,7 +45,11 @@ TOP = 2000
 SCALE = 1_000_000
 BLOCK = 1024
 SALTS = 16
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Runs are merged so many bytes of rows at a time, or a word's share if that is more.
+MERGE_BYTES = 6 << 20
+HEAVY_RUNS = 1_000_000
+MOST_HEAVY = 10_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -71,8 +81,18 @@ def _chunks(offsets: np.ndarray, data: np.ndarray):
         row = last
 
 
-def _counted(lang: pa.Array, offsets: np.ndarray, raw: np.ndarray) -> pa.RecordBatch | None:
-    """The different runs of a chunk and how often each stands there."""
+class _Coded(NamedTuple):
+    """The words of a chunk in order: codes (from 1) in ``known``, languages in ``spoken``, and those behind in the piece (0: none)."""
+
+    known: pa.Array
+    spoken: pa.Array
+    lang: np.ndarray
+    word: np.ndarray
+    second: np.ndarray
+    third: np.ndarray
+
+
+def _coded(lang: pa.Array, offsets: np.ndarray, raw: np.ndarray) -> _Coded | None:
     inside = ~_BREAKS[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -88,79 +108,205 @@ def _counted(lang: pa.Array, offsets: np.ndarray, raw: np.ndarray) -> pa.RecordB
     at = np.append(kept[start] - 1, kept[-1])
     words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(_LOWER[raw[inside]]))
     coded = words.dictionary_encode()
-    code, known = coded.indices.to_numpy().astype(np.int64) + 1, len(coded.dictionary) + 1
+    code = coded.indices.to_numpy().astype(np.int64) + 1
     langs = lang.dictionary_encode()
-    spoken = langs.indices.to_numpy().astype(np.int64)[text]
     # a word is followed in its piece if no cut and no other text lies between
     cuts = np.cumsum(_CUTS[raw])[start]
     follows = np.append((text[1:] == text[:-1]) & (cuts[1:] == cuts[:-1]), False)
     second = np.where(follows, np.append(code[1:], 0), 0)
     third = np.where(follows & np.append(follows[1:], False), np.append(second[1:], 0), 0)
-    pair = (spoken * known + code) * known + second
-    if pair.max(initial=0) > (2 ** 62) // known:
-        _, pair = np.unique(pair, return_inverse=True)
-    _, first, times = np.unique(pair * known + third, return_index=True, return_counts=True)
-    word = coded.dictionary.cast(pa.string())
+    return _Coded(coded.dictionary.cast(pa.string()), langs.dictionary.cast(pa.string()),
+                  langs.indices.to_numpy().astype(np.int64)[text], code, second, third)
+
+
+def _different(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and number of the row of each different row of some columns of small numbers, in their order."""
+    key = columns[0]
+    for c in columns[1:]:
+        wide = int(c.max(initial=0)) + 1
+        if int(key.max(initial=0)) > (2 ** 62) // wide:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * wide + c
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return first, number
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before."""
+    moved = np.zeros(len(columns[0]), bool)
+    moved[:1] = True
+    for c in columns:
+        moved[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(moved)
+
+
+def _chunked(batch: pa.RecordBatch):
+    column = batch.column(1).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for row, last, at, end in _chunks(offsets, data):
+        found = _coded(batch.column(0).slice(row, last - row), np.clip(offsets[row:last + 1], at, end) - at, data[at:end])
+        if found is not None:
+            yield found
+
+
+def _word_rows(batches):
+    for c in (c for batch in batches if batch.num_rows for c in _chunked(batch)):
+        first, number = _different(c.lang, c.word)
+        yield pa.RecordBatch.from_arrays(
+            [c.spoken.take(pa.array(c.lang[first])), c.known.take(pa.array(c.word[first] - 1)), pa.array(np.bincount(number), pa.int64())],
+            names=["lang", "word", "f"])
+
+
+def _block(c: _Coded, heavy: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    first, number = _different(c.lang, c.word, c.second, c.third)
+    lang, word, second, third, times = c.lang[first], c.word[first], c.second[first], c.third[first], np.bincount(number)
+    share = np.zeros(len(first), np.int64)
+    place = {w: i for i, w in enumerate(c.known.to_pylist(), 1)} if heavy else {}
+    tongues = {t: i for i, t in enumerate(c.spoken.to_pylist())}
+    spread = [(tongues[t], place[w], n) for (t, w), n in heavy.items() if t in tongues and w in place]
+    if spread:
+        hashed = np.array([0] + [zlib.crc32(w.encode()) for w in place], np.int64)
+        for t, w, n in spread:
+            own = (lang == t) & (word == w)
+            share[own] = (hashed[second[own]] * 31 + hashed[third[own]]) % n
+        order = np.lexsort((third, second, share, word, lang))
+        lang, word, second, third, times, share = (x[order] for x in (lang, word, second, third, times, share))
+    texts = pa.concat_arrays([pa.array([""]), c.known])
+    runs = pc.binary_join_element_wise(
+        texts.take(pa.array(second)), texts.take(pa.array(third)), pa.array(times).cast(pa.string()), pa.scalar(" "))
+    at = _starts(lang, word, share)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(runs)), pa.int32()), runs)
+    return pa.RecordBatch.from_arrays(
+        [c.spoken.take(pa.array(lang[at])), c.known.take(pa.array(word[at] - 1)), pa.array(share[at], pa.int32()),
+         pc.binary_join(lists, "\n")], names=["lang", "word", "share", "runs"])
+
+
+def _source(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def heavy_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[tuple[str, str], int]:
+    """Words that would be too much for one task, and over how many shares their runs go; ``MOST_HEAVY`` at most."""
+    words = stage(
+        _source(docs, text_col, lang_col).mapInArrow(_word_rows, "lang string, word string, f long")
+        .groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") > HEAVY_RUNS), "heavy-words")
+    # fewer than MOST_HEAVY words can each hold more than that part of what they hold together
+    n = words.agg(F.sum("f")).first()[0] or 0
+    most = max(HEAVY_RUNS, n // MOST_HEAVY)
+    return {(r.lang, r.word): int(-(-r.f // HEAVY_RUNS)) for r in words.where(F.col("f") > most).collect()}
 
-    def taken(which: np.ndarray) -> pa.Array:
-        return word.take(pa.array(which[first] - 1, mask=which[first] == 0))
 
-    opened = pc.binary_join_element_wise(taken(code), taken(second), pa.scalar(" "), null_handling="skip")
+def run_blocks(docs: DataFrame, heavy: dict[tuple[str, str], int], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, word, share, runs``: the runs of a chunk that open with a word, a line each: the two words behind and how often.
+
+    At the end of a piece these words are empty.
+    """
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for c in _chunked(batch):
+                    out = _block(c, heavy)
+                    # some rows at a time, as Spark takes a batch as a whole
+                    for i in range(0, out.num_rows, 1 << 14):
+                        yield out.slice(i, 1 << 14)
+
+    return _source(docs, text_col, lang_col).mapInArrow(rows, "lang string, word string, share int, runs string")
+
+
+def _told(kind: str, lang, pair, third, total) -> pa.RecordBatch:
+    n = len(total)
+    third = pa.nulls(n, pa.string()) if third is None else third
     return pa.RecordBatch.from_arrays(
-        [langs.dictionary.cast(pa.string()).take(pa.array(spoken[first])), opened, taken(third), pa.array(times, pa.int64())],
-        names=[*_EDGE, "c"])
-
-
-def _run_rows(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lang = batch.column(0)
-        column = batch.column(1).cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        for row, last, at, end in _chunks(offsets, data):
-            inner = np.clip(offsets[row:last + 1], at, end) - at
-            out = _counted(lang.slice(row, last - row), inner, data[at:end])
-            if out is not None:
-                # a few rows at a time, as Spark takes a batch as a whole
-                for i in range(0, out.num_rows, 1 << 16):
-                    yield out.slice(i, 1 << 16)
-
-
-def run_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, pair, third, c``: runs as counted by the tasks; at the end of a piece ``third`` is null, and ``pair`` one word."""
-    source = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(_run_rows, "lang string, pair string, third string, c long")
-
-
-def flows(runs: DataFrame, least: int = LEAST) -> DataFrame:
+        [pa.array([kind]).take(pa.array(np.zeros(n, np.int64))), lang, pair, third, pa.array(total, pa.int64())],
+        names=["kind", *_EDGE, "total"])
+
+
+def _merge(rows: pa.Table, least: int, shared: set[tuple[str, str]]):
+    """The counts of all runs of some whole shares: frequent edges and nodes, and how often each first word stands."""
+    rows = rows.combine_chunks()
+    lang, word = (rows.column(c).combine_chunks() for c in ("lang", "word"))
+    coded = [x.dictionary_encode() for x in (lang, word)]
+    ids = [x.indices.to_numpy().astype(np.int64) for x in coded]
+    starts = _starts(*ids, rows.column("share").to_numpy())
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids[0]))))
+    lines = pc.split_pattern(rows.column("runs").combine_chunks(), "\n")
+    group = np.repeat(group, pc.list_value_length(lines).to_numpy(zero_copy_only=False))
+    fields = pc.split_pattern(lines.flatten(), " ").flatten()
+    places = np.arange(0, len(fields), 3)
+    second, third = (fields.take(pa.array(places + i)).dictionary_encode() for i in (0, 1))
+    times = fields.take(pa.array(places + 2)).cast(pa.int64()).to_numpy()
+    two, three = (x.indices.to_numpy().astype(np.int64) for x in (second, third))
+    first, number = _different(group, two, three)
+    c = np.bincount(number, weights=times).astype(np.int64)  # exact below 2 ** 53
+    group, two, three = group[first], two[first], three[first]
+    # runs are in the order of group and second word
+    opens = _starts(group, two)
+    flow = np.add.reduceat(c, opens)
+    heads = _starts(group)
+    no_second = pc.equal(second.dictionary, "").to_numpy(zero_copy_only=False)
+    no_third = pc.equal(third.dictionary, "").to_numpy(zero_copy_only=False)
+    in_shares = np.array([pair in shared for pair in zip(lang.take(pa.array(starts)).to_pylist(), word.take(pa.array(starts)).to_pylist())]) \
+        if shared else np.zeros(len(starts), bool)
+
+    def of(at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        row = pa.array(starts[group[at]])
+        return lang.take(row), pc.binary_join_element_wise(word.take(row), second.dictionary.take(pa.array(two[at])), " ")
+
+    edge = np.flatnonzero((c >= least) & ~no_third[three])
+    node = ~no_second[two[opens]] & ((flow >= least) | in_shares[group[opens]])
+    at = opens[node]
+    yield _told("edge", *of(edge), third.dictionary.take(pa.array(three[edge])), c[edge])
+    yield _told("node", *of(at), None, flow[node])
+    row = pa.array(starts[group[heads]])
+    yield _told("word", lang.take(row), word.take(row), None, np.add.reduceat(c, heads))
+
+
+def merged(blocks: DataFrame, heavy: dict[tuple[str, str], int], least: int = LEAST) -> DataFrame:
+    """``kind, lang, pair, third, total``: sums over each share of a first word; of a heavy word all pairs, as parts."""
+    shared = set(heavy)
+
+    def rows(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < MERGE_BYTES:
+                continue
+            # all but the last share are whole
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "word")]
+            last = int(_starts(*key, table.column("share").to_numpy())[-1])
+            if last:
+                yield from _merge(table.slice(0, last), least, shared)
+            rest = pa.Table.from_batches(table.slice(last).to_batches())
+            held, size = rest.to_batches(), 0
+        if held:
+            yield from _merge(pa.Table.from_batches(held), least, shared)
+
+    keys = ["lang", "word", "share"]
+    return blocks.repartition(*keys).sortWithinPartitions("word", "lang", "share").mapInArrow(
+        rows, "kind string, lang string, pair string, third string, total long")
+
+
+def flows(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``kind, lang, pair, third, total``, written once.
 
-    ``node``: a pair that stands ``least`` times; ``edge``: a run of three that does; ``rest``: how often a word (in
-    ``pair``) opens a pair that is not frequent, or ends a piece.
+    ``node``: a pair that stands ``least`` times; ``edge``: a run of three that does; ``word``: a word (in ``pair``).
     """
-    leaving = Window.partitionBy("lang", "pair")
-    edges = (
-        runs.repartition("lang", "pair").groupBy(*_EDGE).agg(F.sum("c").alias("c"))
-        .select(*_EDGE, "c", F.sum("c").over(leaving).alias("flow"), F.min("third").over(leaving).alias("least_third"))
-    )
-    frequent = F.contains("pair", F.lit(" ")) & (F.col("flow") >= least)
-    row = lambda kind, pair, third, total: F.struct(
-        F.lit(kind).alias("kind"), F.col("lang").alias("lang"), pair.alias("pair"), third.cast("string").alias("third"), total.alias("total"))
-    told = F.array(
-        F.when(frequent & F.col("third").eqNullSafe(F.col("least_third")), row("node", F.col("pair"), F.lit(None), F.col("flow"))),
-        F.when(frequent & F.col("third").isNotNull() & (F.col("c") >= least), row("edge", F.col("pair"), F.col("third"), F.col("c"))),
-        F.when(~frequent, row("rest", F.substring_index("pair", " ", 1), F.lit(None), F.col("c"))))
-    return stage(
-        edges.select(F.explode(F.filter(told, lambda t: t.isNotNull())).alias("t")).select("t.*")
-        .groupBy("kind", "lang", "pair", "third").agg(F.sum("total").alias("total")), "flows", ("kind",))
+    heavy = heavy_words(docs, text_col, lang_col)
+    parts = merged(run_blocks(docs, heavy, text_col, lang_col), heavy, least)
+    if heavy:
+        parts = parts.groupBy("kind", "lang", "pair", "third").agg(F.sum("total").alias("total")).where(
+            (F.col("kind") == "word") | (F.col("total") >= least))
+    return stage(parts, "flows", ("kind",))
 
 
 def word_counts(told: DataFrame) -> DataFrame:
     """``lang, word, f`` of all words."""
-    return (
-        told.where("kind <> 'edge'").groupBy("lang", F.substring_index("pair", " ", 1).alias("word")).agg(F.sum("total").alias("f")))
+    return told.where("kind = 'word'").select("lang", F.col("pair").alias("word"), F.col("total").alias("f"))
 
 
 def edges(told: DataFrame) -> DataFrame:
@@ -252,7 +398,7 @@ def scored(told: DataFrame, cover: int = COVER) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language."""
-    rows = scored(flows(run_counts(docs), least), cover)
+    rows = scored(flows(docs, least), cover)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
