@@ -37,9 +37,9 @@ LANES = EQUAL + ALIKE
 #: A run's hash has ``BITS`` bits: the top ones name a lane, the next one the sign.
 BITS, LANE_BITS = 60, 7
 FACTORS = (1, 3, 9)
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 1 << 16
-PIECE_CHARS = 4 << 20
+PIECE_CHARS = 2 << 20
 KEPT_WORDS = 1 << 18
 
 _U = np.uint64
