@@ -370,12 +370,12 @@ def candidates(told: DataFrame, cover: int = COVER) -> DataFrame:
     return triples.unionByName(pairs)
 
 
-def scored(told: DataFrame, cover: int = COVER) -> DataFrame:
+def scored(told: DataFrame, least: int = LEAST, cover: int = COVER) -> DataFrame:
     """``lang, phrase, a, l, r, n, score``: candidates with the counts of the cut that scores lowest."""
     words = stage(word_counts(told), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    # a word that opens or ends very many phrases is looked up in shares
-    shares = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a word that opens or ends very many phrases is looked up in shares; those of a frequent phrase are frequent
+    shares = words.where(F.col("f") >= least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = lambda column: F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
     rows = (
         candidates(told, cover).withColumn("salt", salt("last"))
@@ -398,7 +398,7 @@ def scored(told: DataFrame, cover: int = COVER) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language."""
-    rows = scored(flows(docs, least), cover)
+    rows = scored(flows(docs, least), least, cover)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
