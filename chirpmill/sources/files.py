@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.patterns import CSV_MISSING
+from .csv_records import records
 
 
 INFERRED = ("bigint", "double", "boolean", "timestamp")
@@ -26,21 +30,30 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     """Read a headed CSV; fields that spell a missing value become NULL.
 
     Without a schema a column gets the first of ``INFERRED`` that all its values present can be cast to, else string,
-    which costs a pass over the file. A file whose fields hold
-    line breaks cannot be split, so large inputs should come as many files and be turned into Parquet
-    once (``stage``).
+    which costs a pass over the records. Fields may hold line breaks; a file is read by many tasks all the same, and its
+    lines are written to the shared folder once (``csv_records``).
     """
-    reader = (
-        spark.read.option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"')
-    )
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    df = df.select(*[
-        F.when(~F.col(f.name).isin(*CSV_MISSING), F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, StringType) else F.col(f.name)
-        for f in df.schema.fields
-    ])
-    return df if schema else _typed(df)
+    rows = records(spark, path)
+    if schema is None:
+        schema = StructType([StructField(n, StringType()) for n in _header(rows)])
+        typed = _typed
+    else:
+        typed = lambda df: df
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    fields = rows.where("not header").select(F.from_csv("record", kinds, {"quote": '"', "escape": '"'}).alias("r"))
+    return typed(fields.select(*[
+        F.when(~F.col("r")[f.name].isin(*CSV_MISSING), F.col("r")[f.name]).alias(f.name)
+        if isinstance(f.dataType, StringType) else F.col("r")[f.name].alias(f.name)
+        for f in schema.fields
+    ]))
+
+
+def _header(rows: DataFrame) -> list[str]:
+    """The column names in the first file; a column without a name gets one by its place."""
+    first = rows.where("header").orderBy("file").select("record").first()
+    if first is None:
+        return []
+    return [name or f"_c{i}" for i, name in enumerate(next(csv.reader(io.StringIO(first["record"], newline=""))))]
 
 
 def _typed(df: DataFrame) -> DataFrame:
