@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_WORDS, SEED, VECTOR_SIZE
 from ..functions.text import tokens
+from .dictionary import Dictionary
 from .ensemble import N_CLASSES, _p
 from .ranking import hashed_order
 from .tokens import fit_vocabulary
@@ -51,8 +52,8 @@ def fitted_words(train: DataFrame, text: str = "cleaned_text", key: str = "post_
 
 def known_words(words: list[str]) -> SQLTransformer:
     """Tokens as ``known``: words outside the vocabulary become the one unknown word. Saved with the pipeline."""
-    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in [*words, UNKNOWN])
-    return SQLTransformer(statement=f"SELECT *, transform(tokens, w -> if(w IN ({quoted}), w, '{UNKNOWN}')) AS known FROM __THIS__")
+    known = Dictionary({w: i for i, w in enumerate(words)}).known_sql("tokens", UNKNOWN)
+    return SQLTransformer(statement=f"SELECT *, {known} AS known FROM __THIS__")
 
 
 def fit_word_vectors(train: DataFrame, words: list[str], size: int = VECTOR_SIZE, partitions: int = VECTOR_PARTITIONS,

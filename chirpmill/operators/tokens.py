@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.arrays import attention_mask, pad_left, pad_right
 from ..functions.patterns import MASKED_LENGTH, MAX_LENGTH, MAX_WORDS, OOV_ID
 from ..functions.text import tokens
+from .dictionary import Dictionary
 
 # room for the word position behind the post key in one ordered number
 POSITION_SPAN = 10 ** 10
@@ -51,23 +52,16 @@ def text_to_sequence(df: DataFrame, vocabulary: DataFrame, text: str = "cleaned_
                      last: int | None = None, first: int | None = None) -> DataFrame:
     """``(*keys, sequence)``: word ids in text order, unknown words as 1.
 
-    The vocabulary is capped when it is fitted, which bounds the broadcast. The words of a row sit
-    in one task, so lists are put together before the shuffle by key. ``last`` or ``first`` is for a
-    caller that will pad to that length anyway: words it would cut off are not looked up or shuffled.
+    The vocabulary, capped when it is fitted, becomes a constant of the plan (``Dictionary``) that each row looks its words
+    up in: nothing is shuffled, joined or put together again. A missing text has no words. ``last`` or ``first`` is for a
+    caller that will pad to that length anyway: words it would cut off are not looked up.
     """
-    split = df.select(*keys, tokens(F.col(text)).alias("words"))
-    wanted = F.col("words")
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
     if last is not None:
-        wanted = F.slice("words", F.greatest(F.size("words") - last, F.lit(0)) + 1, F.lit(last))
+        words = F.slice(words, F.greatest(F.size(words) - last, F.lit(0)) + 1, F.lit(last))
     elif first is not None:
-        wanted = F.slice("words", 1, first)
-    words = split.select(*keys, F.posexplode_outer(wanted).alias("pos", "word"))
-    looked_up = words.join(F.broadcast(vocabulary.select("word", "idx")), "word", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(OOV_ID)).alias("idx")))
-    return (
-        looked_up.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-        .select(*keys, F.col("items.idx").alias(name))
-    )
+        words = F.slice(words, 1, first)
+    return df.select(*keys, Dictionary.of(vocabulary).ids_of(words).alias(name))
 
 
 def with_padding(df: DataFrame, sequence: str = "sequence", length: int = MAX_LENGTH) -> DataFrame:
