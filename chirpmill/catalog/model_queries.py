@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BLANK_MESSAGE, MAX_WORDS, VECTOR_SIZE
-from ..operators import members
+from ..operators import members, tokens
+from ..operators import word_vectors as word_vector_ops
 from ..plans import training
 from ..plans import scoring
 from ..plans.scoring import score
@@ -54,6 +55,42 @@ def word_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
+_NEAR = f"""{q.sequences(MAX_WORDS)},
+weighted as (select post_id, count(*) as times from assigned where split = 'train' group by post_id),
+in_order as (
+  select post_id, times, unnest(sequence) as id, generate_subscripts(sequence, 1) as pos from sequences join weighted using (post_id)),
+near as (
+  select least(x.id, y.id) as a, greatest(x.id, y.id) as b, cast(sum({word_vector_ops.NEAR} // (y.pos - x.pos) * x.times) as bigint) as n
+  from in_order x join in_order y on x.post_id = y.post_id and y.pos > x.pos and y.pos <= x.pos + {word_vector_ops.WINDOW} group by all)"""
+
+
+def _near(spark: SparkSession, folder: str) -> DataFrame:
+    ready = prepared(spark, folder)
+    keys = stage(training.training_keys(ready), "keys")
+    texts = training.train_texts(ready, keys)
+    ids = tokens.text_to_sequence(texts, training.vocabulary(ready, keys, MAX_WORDS), keys=("post_id", "times"))
+    return word_vector_ops.cooccurrence(ids, times="times")
+
+
+@register("word_cooccurrence", f"with {_NEAR} select a, b, n from near")
+def word_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
+    return _near(spark, folder)
+
+
+@register("word_information", f"""with {_NEAR},
+both_orders as (
+  select a, b, if(a = b, 2 * n, n) as n from near union all select b, a, n from near where a <> b),
+totals as (select a, cast(sum(n) as bigint) as t from both_orders group by a),
+found as (
+  select x.a, x.b, ln(x.n::double * (select sum(t) from totals)::double / (ta.t::double * tb.t::double)) as v
+  from both_orders x join totals ta on ta.a = x.a join totals tb on tb.a = x.b)
+select a, b, round(v, 6) as value from found where v > 0""")
+def word_information(spark: SparkSession, folder: str) -> DataFrame:
+    rows = word_vector_ops.information(_near(spark, folder))
+    return rows.select("a", F.inline(F.arrays_zip(F.col("places").alias("b"), F.col("values").alias("value")))).select(
+        "a", "b", F.round("value", 6).alias("value"))
+
+
 @register("member_lr")
 def member_lr(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)

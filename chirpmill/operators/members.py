@@ -16,13 +16,14 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, SQLTransformer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_WORDS, SEED, VECTOR_SIZE
 from ..functions.text import tokens
+from . import word_vectors
 from .dictionary import Dictionary
 from .ensemble import N_CLASSES, _p
 from .ranking import hashed_order
@@ -31,8 +32,6 @@ from .tokens import fit_vocabulary
 NAMES = {1: "weighted terms, logistic", 2: "word n-grams, bayes", 3: "word vectors, forest", 4: "word vectors, perceptron"}
 NGRAMS = (2, 3, 4, 5)
 NGRAM_BUCKETS = 1 << 14
-#: Parts that learn word vectors side by side; part of the result, so not taken from the machine.
-VECTOR_PARTITIONS = 4
 UNKNOWN = "<unknown>"
 
 
@@ -56,17 +55,17 @@ def known_words(words: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {known} AS known FROM __THIS__")
 
 
-def fit_word_vectors(train: DataFrame, words: list[str], size: int = VECTOR_SIZE, partitions: int = VECTOR_PARTITIONS,
-                     seed: int = SEED, keys: tuple[str, ...] = ("post_id", "draw_no")) -> PipelineModel:
-    """Word vectors of the vocabulary from the train texts.
+def fit_word_vectors(train: DataFrame, words: list[str], size: int = VECTOR_SIZE, seed: int = SEED) -> PipelineModel:
+    """Vectors of the vocabulary and of the unknown word from what stands near what in the train texts (``word_vectors``).
 
-    ``partitions`` learn side by side and are averaged. Which rows are dealt together follows from ``keys`` and not
-    from the machine or the files; the learner itself orders equally frequent words as they arrive, so vectors of
-    two runs need not be equal to the last digit.
+    They follow from the rows and the seed alone. A row counts as often as it is in ``train``.
     """
-    dealt = train.select(*keys, "tokens").repartition(partitions, *keys).sortWithinPartitions(*keys)
-    vectors = Word2Vec(vectorSize=size, seed=seed, inputCol="known", outputCol="vector", numPartitions=partitions, minCount=1)
-    return Pipeline(stages=[known_words(words), vectors]).fit(dealt.select("tokens"))
+    known = Dictionary({w: i + 1 for i, w in enumerate(words)})
+    ids = train.select(known.ids_of(F.col("tokens"), unknown=0).alias("sequence"))
+    rows = word_vectors.information(word_vectors.cooccurrence(ids))
+    named = [UNKNOWN, *words]
+    vectors = word_vectors.fitted(rows, len(named), size, seed)
+    return PipelineModel([known_words(words), word_vectors.vector_model(train.sparkSession, named, vectors)])
 
 
 def drawn_by_weight(train: DataFrame, weight: str = "weight", keys: tuple[str, ...] = ("post_id", "draw_no"), seed: int = SEED) -> DataFrame:

@@ -43,7 +43,7 @@ def test_members_beat_the_largest_class_on_train(spark):
         "post_id bigint, draw_no bigint, label_id int, split string, cleaned_text string")
     rows = members.with_tokens(rows.withColumn("weight", F.lit(1.0)))
     words = members.fitted_words(rows)
-    vectors = members.fit_word_vectors(rows, words, size=16, partitions=1)
+    vectors = members.fit_word_vectors(rows, words, size=16)
     models = members.fit_members(rows, members.member_pipelines(words, vectors))
     for m, model in models.items():
         found = model.transform(rows).select("label_id", F.col(f"prediction_{m}").cast("int").alias("pred"))
@@ -61,17 +61,6 @@ def test_the_cap_keeps_as_many_words_as_it_says(spark):
     assert counted.where("post_id = 1000").first()["tf_1"].toArray()[-1] == 1.0
 
 
-def test_word_vectors_have_the_same_words_for_any_partitioning(spark):
-    rows = members.with_tokens(spark.createDataFrame(
-        [(i, 0, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(120)], "post_id bigint, draw_no int, cleaned_text string"))
-    found = []
-    for n in (1, 7):
-        some = rows.repartition(n)
-        model = members.fit_word_vectors(some, members.fitted_words(some), size=4).stages[-1]
-        found.append(sorted(r["word"] for r in model.getVectors().collect()))
-    assert found[0] == found[1] and len(found[0]) == 15
-
-
 def test_rows_drawn_by_weight(spark):
     rows = spark.createDataFrame([(i, 0, 0.25 if i % 2 else 2.5) for i in range(2000)], "post_id bigint, draw_no int, weight double")
     n = {r["weight"]: r["count"] for r in members.drawn_by_weight(rows).groupBy("weight").count().collect()}
