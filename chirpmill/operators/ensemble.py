@@ -49,7 +49,8 @@ def member_prediction(scores: DataFrame, n_classes: int = N_CLASSES) -> DataFram
 
 
 def member_accuracy(scores: DataFrame, by: list[str], label: str = "label_id", n_classes: int = N_CLASSES) -> DataFrame:
-    hit = (F.col("pred") == F.col(label)).cast("double")
+    # as in ``metrics.accuracy``, a row without a prediction or label is a miss
+    hit = F.coalesce(F.col("pred") == F.col(label), F.lit(False)).cast("double")
     return member_prediction(scores, n_classes).groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -104,8 +105,9 @@ def with_methods(wide: DataFrame, weights: DataFrame | dict[int, float], models:
 
 
 def compare_methods(predicted: DataFrame, label: str = "label_id") -> DataFrame:
-    """Accuracy of each method from one aggregation over the rows."""
-    row = predicted.agg(*[F.avg((F.col(f"pred_{m}") == F.col(label)).cast("double")).alias(m) for m in METHODS])
+    """Accuracy of each method from one aggregation over the rows; a row without a prediction or label is a miss."""
+    hit = lambda m: F.coalesce(F.col(f"pred_{m}") == F.col(label), F.lit(False)).cast("double")
+    row = predicted.agg(*[F.avg(hit(m)).alias(m) for m in METHODS])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(i + 1).alias("method_order"), F.lit(m).alias("method"), F.col(m).alias("accuracy"))
         for i, m in enumerate(METHODS)

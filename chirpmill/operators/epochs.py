@@ -11,8 +11,6 @@ With the solver ``gd`` the step size halves whenever the loss has not fallen for
 
 from __future__ import annotations
 
-import hashlib
-import json
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
@@ -21,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SEED
+from ..session import read_if_written
+from .manifest import rows_key, text_key
 
-# --- Fixed values: must equal the rules being matched -------------------------------------------
+# --- Fixed values: must equal the rules being matched ---
 EPOCHS = 50
 PATIENCE = 10
 PLATEAU, FACTOR, LEAST_STEP = 3, 0.5, 1e-7
-# ------------------------------------------------------------------------------------------------
+# ---
 STEPS = 5
 LEAST_LOSS = 1e-15
 HISTORY = "epoch int, val_accuracy double, val_loss double, step_size double"
@@ -55,14 +55,6 @@ class EpochRun:
     history: DataFrame
 
 
-def rows_key(df: DataFrame, *columns: str) -> str:
-    """A digest of the values of some columns that does not depend on the order or place of the rows."""
-    values = [vector_to_array(c) if df.schema[c].dataType.typeName() == "vectorudt" else F.col(c) for c in columns]
-    found = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*values)), F.bit_xor(F.xxhash64(F.lit(1), *values)),
-                   F.sum(F.xxhash64(F.lit(2), *values).cast("decimal(20,0)"))).first()
-    return hashlib.sha256(json.dumps([str(v) for v in found]).encode()).hexdigest()
-
-
 def _evaluated(model: MultilayerPerceptronClassificationModel, val: DataFrame, label: str) -> tuple[float, float]:
     probs = vector_to_array(model.getProbabilityCol())
     likely = F.get(probs, F.col(label).cast("int"))
@@ -91,14 +83,11 @@ def _next_step(history: list[tuple], plan: Epochs) -> float:
 
 def _read_history(spark, path: str, key: str) -> list[tuple]:
     """Epochs saved by an earlier run; an epoch counts once its row is written, which comes after its model."""
-    text = spark.createDataFrame([(key,)], "key string")
-    try:
-        said = spark.read.schema("key string").parquet(f"{path}/run").first()
-    except Exception as error:  # nothing was saved there yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        text.coalesce(1).write.parquet(f"{path}/run")
+    written = read_if_written(spark, f"{path}/run", "key string")
+    said = written.first() if written is not None else None
+    if said is None:
         spark.createDataFrame([], HISTORY).write.mode("overwrite").parquet(f"{path}/history")
+        spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/run")
         return []
     if said["key"] != key:
         raise ValueError(f"{path} holds the run of other rows or settings")
@@ -113,8 +102,7 @@ def fit_epochs(train: DataFrame, val: DataFrame, plan: Epochs, path: str, featur
     """
     spark = train.sparkSession
     settings = {k: v for k, v in asdict(plan).items() if k not in ("epochs", "patience")}
-    key = hashlib.sha256(json.dumps(
-        [settings, features, label, outputs, rows_key(train, features, label), rows_key(val, features, label)], sort_keys=True).encode()).hexdigest()
+    key = text_key([settings, features, label, outputs, rows_key(train, features, label), rows_key(val, features, label)])
     history = _read_history(spark, path, key)
     where = lambda epoch: f"{path}/epoch-{epoch}"
     load = MultilayerPerceptronClassificationModel.load

@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_WORDS, SEED, VECTOR_SIZE
 from ..functions.text import tokens
+from ..session import stage
 from . import word_vectors
 from .dictionary import Dictionary
 from .ensemble import N_CLASSES, _p
+from .epochs import Epochs, fit_epochs
+from .manifest import once, pipeline_key, rows_key, text_key
 from .ranking import hashed_order
 from .tokens import fit_vocabulary
 
@@ -33,6 +36,8 @@ NAMES = {1: "weighted terms, logistic", 2: "word n-grams, bayes", 3: "word vecto
 NGRAMS = (2, 3, 4, 5)
 NGRAM_BUCKETS = 1 << 14
 UNKNOWN = "<unknown>"
+#: What members learn from.
+TRAIN_COLUMNS = ("post_id", "draw_no", "tokens", "label_id", "weight")
 
 
 def with_tokens(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
@@ -111,36 +116,63 @@ def forest_member(vectors: PipelineModel, trees: int = 20, depth: int = 5, seed:
     ])
 
 
-def perceptron_member(vectors: PipelineModel, size: int = VECTOR_SIZE, hidden: int = 64, max_iter: int = 60, seed: int = SEED) -> Pipeline:
+def perceptron_member(vectors: PipelineModel, size: int = VECTOR_SIZE, hidden: int = 64, max_iter: int = 60, seed: int = SEED,
+                      n_classes: int = N_CLASSES) -> Pipeline:
     return Pipeline(stages=[
         *_vector_stages(vectors, "vector_4"),
-        MultilayerPerceptronClassifier(featuresCol="vector_4", labelCol="label_id", layers=[size, hidden, N_CLASSES],
+        MultilayerPerceptronClassifier(featuresCol="vector_4", labelCol="label_id", layers=[size, hidden, n_classes],
                                        maxIter=max_iter, seed=seed, **_outputs(4)),
     ])
 
 
-def member_pipelines(words: list[str], vectors: PipelineModel) -> dict[int, Pipeline]:
+def perceptron_by_epochs(train: DataFrame, val: DataFrame, vectors: PipelineModel, path: str, plan: Epochs | None = None,
+                         hidden: int = 64, n_classes: int = N_CLASSES) -> tuple[PipelineModel, DataFrame]:
+    """Member 4 trained epoch by epoch with an early stop, and its history; ``path`` keeps the epochs.
+
+    Vectors of the rows are made once and written; an epoch reads those.
+    """
+    stages = _vector_stages(vectors, "vector_4")
+    front = PipelineModel(stages)
+    ready = [stage(front.transform(rows).select("vector_4", "label_id"), "vectors") for rows in (drawn_by_weight(train), val)]
+    plan = plan or Epochs((vectors.stages[-1].getVectorSize(), hidden, n_classes))
+    run = fit_epochs(*ready, plan, path, features="vector_4", outputs=_outputs(4))
+    return PipelineModel([*stages, run.model]), run.history
+
+
+def member_pipelines(words: list[str], vectors: PipelineModel, n_classes: int = N_CLASSES) -> dict[int, Pipeline]:
     return {1: logistic_member(words), 2: ngram_bayes_member(words), 3: forest_member(vectors),
-            4: perceptron_member(vectors, vectors.stages[-1].getVectorSize())}
+            4: perceptron_member(vectors, vectors.stages[-1].getVectorSize(), n_classes=n_classes)}
+
 
+def fit_members(train: DataFrame, pipelines: dict[int, Pipeline], kept_in: str | None = None) -> dict[int, PipelineModel]:
+    """Fit all members; their jobs share the cluster. Member 4 takes no weights and learns from rows drawn by weight.
+
+    With a folder in ``kept_in`` each member is saved when it is done, and loaded instead when a run over the same rows with
+    the same settings is started again (``manifest``).
+    """
+    spark = train.sparkSession
+    rows = rows_key(train, *TRAIN_COLUMNS) if kept_in else None
+
+    def fit(m: int, pipeline: Pipeline) -> PipelineModel:
+        make = lambda: pipeline.fit(drawn_by_weight(train) if m == 4 else train)
+        return once(spark, kept_in, f"member_{m}", text_key([rows, pipeline_key(pipeline)]), make) if kept_in else make()
 
-def fit_members(train: DataFrame, pipelines: dict[int, Pipeline]) -> dict[int, PipelineModel]:
-    """Fit all members; their jobs share the cluster. Member 4 takes no weights and learns from rows drawn by weight."""
     with ThreadPoolExecutor(len(pipelines)) as pool:
-        fit = inheritable_thread_target(train.sparkSession)(
-            lambda m, pipeline: pipeline.fit(drawn_by_weight(train) if m == 4 else train))
-        running = {m: pool.submit(fit, m, pipeline) for m, pipeline in pipelines.items()}
+        running = {m: pool.submit(inheritable_thread_target(spark)(fit), m, pipeline) for m, pipeline in pipelines.items()}
         return {m: task.result() for m, task in running.items()}
 
 
 def predict_proba(df: DataFrame, models: dict[int, PipelineModel], keep: list[str]) -> DataFrame:
-    """Probabilities of all members beside each other: one pass over the rows, no shuffle."""
+    """Probabilities of all members beside each other: one pass over the rows, no shuffle.
+
+    Each member gives as many as it has learnt classes.
+    """
     for m, model in models.items():
         before = df.columns
         scored = model.transform(df)
         probs = vector_to_array(f"probability_{m}")
         df = scored.withColumn(f"probs_{m}", probs).select(*before, f"probs_{m}")
-    return df.select(*keep, *[F.get(f"probs_{m}", F.lit(k)).alias(_p(m, k)) for m in models for k in range(N_CLASSES)])
+    return df.select(*keep, *[F.get(f"probs_{m}", F.lit(k)).alias(_p(m, k)) for m, model in models.items() for k in range(model.stages[-1].numClasses)])
 
 
 def select_on_validation(train: DataFrame, val: DataFrame, candidates: list[tuple[str, Pipeline]], model_id: int) -> tuple[PipelineModel, DataFrame]:

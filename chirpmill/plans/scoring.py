@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import CLASSES
 from ..functions.text import blank_guard, decode_label
 from ..functions.arrays import argmax
 from ..operators.cleaning import with_cleaned
@@ -16,14 +17,15 @@ from ..operators.members import predict_proba, with_tokens
 from .training import Trained
 
 
-def score(df: DataFrame, model: PipelineModel, model_id: int, cleaner: str, keep: list[str], text: str = "text") -> DataFrame:
+def score(df: DataFrame, model: PipelineModel, model_id: int, cleaner: str, keep: list[str], text: str = "text",
+          classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """Add ``sentiment``: the named class, or the fixed message for a blank text.
 
     Stateless and row by row, with the cleaner the model was trained with.
     """
     given = df.withColumn("given", F.coalesce(F.col(text), F.lit("")))
     scored = model.transform(with_tokens(with_cleaned(given, cleaner, "given")))
-    name = decode_label(F.col(f"prediction_{model_id}").cast("int"))
+    name = decode_label(F.col(f"prediction_{model_id}").cast("int"), classes)
     return scored.select(*keep, blank_guard(F.col("given"), name).alias("predicted_sentiment"))
 
 
@@ -35,29 +37,30 @@ class Ensemble:
     weights: dict[int, float]
     method: str
     cleaner: str
+    classes: tuple[str, ...] = CLASSES
 
 
 def ensemble_of(run: Trained) -> Ensemble:
     """The members of a run with the combination it chose."""
-    return Ensemble(run.models, run.weights, run.best.first()["method"], run.cleaner)
+    return Ensemble(run.models, run.weights, run.best.first()["method"], run.cleaner, run.classes)
 
 
 def save_ensemble(found: Ensemble, spark: SparkSession, path: str) -> None:
     for m, model in found.models.items():
         model.write().overwrite().save(f"{path}/member_{m}")
-    spark.createDataFrame([(m, found.weights[m], found.method, found.cleaner) for m in found.models],
-                          "model_id int, weight double, method string, cleaner string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    spark.createDataFrame([(m, found.weights[m], found.method, found.cleaner, list(found.classes)) for m in found.models],
+                          "model_id int, weight double, method string, cleaner string, classes array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def load_ensemble(spark: SparkSession, path: str) -> Ensemble:
     rows = spark.read.parquet(f"{path}/settings").orderBy("model_id").collect()
     return Ensemble({r["model_id"]: PipelineModel.load(f"{path}/member_{r['model_id']}") for r in rows},
-                    {r["model_id"]: r["weight"] for r in rows}, rows[0]["method"], rows[0]["cleaner"])
+                    {r["model_id"]: r["weight"] for r in rows}, rows[0]["method"], rows[0]["cleaner"], tuple(rows[0]["classes"]))
 
 
 def score_ensemble(df: DataFrame, found: Ensemble, keep: list[str], text: str = "text") -> DataFrame:
     """Add ``sentiment`` as ``score`` does, by the combination of all members; row by row, so for a stream as well."""
     given = with_tokens(with_cleaned(df.withColumn("given", F.coalesce(F.col(text), F.lit(""))), found.cleaner, "given"))
     wide = predict_proba(given, found.models, [*keep, "given"])
-    scores = combine(wide, found.method, found.weights, tuple(found.models))
-    return wide.select(*keep, blank_guard(F.col("given"), decode_label(argmax(scores))).alias("predicted_sentiment"))
+    scores = combine(wide, found.method, found.weights, tuple(found.models), len(found.classes))
+    return wide.select(*keep, blank_guard(F.col("given"), decode_label(argmax(scores), found.classes)).alias("predicted_sentiment"))

@@ -8,9 +8,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import RESAMPLE_RATIOS, SEED, TEST_SHARE, VAL_SHARE
+from ..functions.patterns import CLASSES, RESAMPLE_RATIOS, SEED, TEST_SHARE, VAL_SHARE
 from ..operators import cleaning, ensemble, labels, members, metrics, sampling, tokens
-from ..session import stage
+from ..session import checked_small, stage
 
 ROW_KEYS = ["post_id", "draw_no"]
 
@@ -63,41 +63,67 @@ class Trained:
     compared: DataFrame
     best: DataFrame
     weights: dict[int, float]
+    classes: tuple[str, ...] = CLASSES
+    #: Epochs of member 4, where it was trained by epochs.
+    history: DataFrame | None = None
+
+
+def class_names(prepared: DataFrame, classes: tuple[str, ...] | None = None) -> tuple[str, ...]:
+    """Names of the classes by their ids: ``classes``, or the sentiments that stand beside the ids, or else by number."""
+    sizes = checked_small(prepared.groupBy("label_id").agg(
+        F.min("sentiment") if "sentiment" in prepared.columns else F.lit(None).cast("string")), labels.MAX_CLASSES, "classes")
+    said = dict(sizes.where("label_id is not null").collect())
+    n = max(said, default=0) + 1
+    if classes is None:
+        classes = CLASSES if set(said.values()) <= {*CLASSES} else tuple(said.get(k) or f"class {k}" for k in range(n))
+    if n > len(classes):
+        raise ValueError(f"labels name {n} classes, {len(classes)} are given")
+    return classes
 
 
 def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: bool = False, select_on: str = "test",
-        grids: dict[int, list[tuple[str, Pipeline]]] | None = None) -> Trained:
+        grids: dict[int, list[tuple[str, Pipeline]]] | None = None, classes: tuple[str, ...] | None = None,
+        ratios: dict[int, float] | None = None, epochs_in: str | None = None, kept_in: str | None = None) -> Trained:
     """Train the four members and judge them and their four combinations.
 
     ``select_on`` names the split that picks the combination: 'test' or, free of leaks, 'val'. A member
-    named in ``grids`` is the candidate that does best on the validation rows.
+    named in ``grids`` is the candidate that does best on the validation rows. With a folder in ``epochs_in`` member 4 is
+    trained by epochs and stops early, with one in ``kept_in`` a run that was stopped loads its finished members.
+    ``classes`` names the classes by their ids; without it their number follows from the labels.
     """
     prepared = stage(prepare(labelled, cleaner), "prepared")
-    keys = stage(training_keys(prepared, balance_after_split), "keys")
+    classes = class_names(prepared, classes)
+    n_classes = len(classes)
+    keys = stage(training_keys(prepared, balance_after_split, ratios), "keys")
     rows = stage(training_table(prepared, keys), "training", ("split",))
-    train = rows.where("split = 'train'")
+    train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     words = members.fitted_words(train)
     vectors = members.fit_word_vectors(train, words)
-    pipelines = {m: p for m, p in members.member_pipelines(words, vectors).items() if m not in (grids or {})}
-    models = members.fit_members(train, pipelines) if pipelines else {}
+    apart = {*(grids or {}), *([4] if epochs_in else [])}
+    pipelines = {m: p for m, p in members.member_pipelines(words, vectors, n_classes).items() if m not in apart}
+    models = members.fit_members(train, pipelines, kept_in) if pipelines else {}
     for m, candidates in (grids or {}).items():
-        models[m], _ = members.select_on_validation(train, rows.where("split = 'val'"), candidates, m)
+        models[m], _ = members.select_on_validation(train, val, candidates, m)
+    history = None
+    if epochs_in:
+        models[4], history = members.perceptron_by_epochs(train, val, vectors, epochs_in, n_classes=n_classes)
     models = dict(sorted(models.items()))
     held_out = rows.where("split <> 'train'")
     wide = stage(members.predict_proba(held_out, models, [*ROW_KEYS, "label_id", "split"]), "scores")
-    scores = ensemble.long_scores(wide, [*ROW_KEYS, "label_id", "split"])
-    accuracies = ensemble.member_accuracy(scores, ["model_id", "split"])
+    scores = ensemble.long_scores(wide, [*ROW_KEYS, "label_id", "split"], n_classes=n_classes)
+    accuracies = ensemble.member_accuracy(scores, ["model_id", "split"], n_classes=n_classes)
     # a row for each member
-    weights = {r["model_id"]: r["weight"] for r in ensemble.ensemble_weights(scores.where("split = 'val'")).collect()}
-    predicted = ensemble.with_methods(wide, weights)
+    weights = {r["model_id"]: r["weight"] for r in ensemble.ensemble_weights(scores.where("split = 'val'"), n_classes=n_classes).collect()}
+    predicted = ensemble.with_methods(wide, weights, n_classes=n_classes)
     compared = ensemble.compare_methods(predicted.where(F.col("split") == select_on))
-    return Trained(models, cleaner, scores, predicted.where("split = 'test'"), accuracies, compared, ensemble.best_method(compared), weights)
+    return Trained(models, cleaner, scores, predicted.where("split = 'test'"), accuracies, compared, ensemble.best_method(compared), weights,
+                   classes, history)
 
 
 def final_report(trained: Trained) -> DataFrame:
     """The classification report of the chosen combination on the test rows."""
     method = trained.best.first()["method"]
-    return metrics.classification_report(trained.predictions, pred=f"pred_{method}").withColumn("method", F.lit(method))
+    return metrics.classification_report(trained.predictions, pred=f"pred_{method}", classes=trained.classes).withColumn("method", F.lit(method))
 
 
 def vocabulary(prepared: DataFrame, keys: DataFrame, max_words: int) -> DataFrame:

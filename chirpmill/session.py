@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +46,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chirpmill/{name}-{uuid.uuid4().hex}"
 
 
+def read_if_written(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def checked_small(df: DataFrame, limit: int, what: str) -> DataFrame:
     """The rows of ``df`` as a local table, once they are known to be few.
 
