@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BLANK_MESSAGE, MAX_WORDS, VECTOR_SIZE
-from ..operators import members, tokens
+from ..operators import members, ngrams, tokens
 from ..operators import word_vectors as word_vector_ops
 from ..plans import training
 from ..plans import scoring
@@ -64,12 +64,15 @@ near as (
   from in_order x join in_order y on x.post_id = y.post_id and y.pos > x.pos and y.pos <= x.pos + {word_vector_ops.WINDOW} group by all)"""
 
 
-def _near(spark: SparkSession, folder: str) -> DataFrame:
+def _ids(spark: SparkSession, folder: str) -> DataFrame:
     ready = prepared(spark, folder)
     keys = stage(training.training_keys(ready), "keys")
     texts = training.train_texts(ready, keys)
-    ids = tokens.text_to_sequence(texts, training.vocabulary(ready, keys, MAX_WORDS), keys=("post_id", "times"))
-    return word_vector_ops.cooccurrence(ids, times="times")
+    return tokens.text_to_sequence(texts, training.vocabulary(ready, keys, MAX_WORDS), keys=("post_id", "times"))
+
+
+def _near(spark: SparkSession, folder: str) -> DataFrame:
+    return word_vector_ops.cooccurrence(_ids(spark, folder), times="times")
 
 
 @register("word_cooccurrence", f"with {_NEAR} select a, b, n from near")
@@ -91,6 +94,26 @@ def word_information(spark: SparkSession, folder: str) -> DataFrame:
         "a", "b", F.round("value", 6).alias("value"))
 
 
+_runs = " union all ".join(
+    f"select {n} as size, array_to_string(sequence[i:i + {n - 1}], ' ') as ids, sequence[i:i + {n - 1}] as run, times "
+    f"from sequences join weighted using (post_id), unnest(range(1, len(sequence) - {n - 2})) t(i)" for n in ngrams.SIZES)
+
+
+@register("frequent_ngrams", f"""with {_NEAR}, runs as ({_runs})
+select size, ids, cast(sum(times) as bigint) as n from runs where not list_contains(run, 1) group by size, ids having sum(times) >= {ngrams.LEAST}""")
+def frequent_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngrams.frequent(_ids(spark, folder), times="times")
+    return found.select("size", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "n")
+
+
+@register("early_stopping")
+def early_stopping(spark: SparkSession, folder: str) -> DataFrame:
+    """Member 4 trained by epochs: what validation said after each, and which epoch was restored."""
+    found = rows(spark, folder)
+    return members.perceptron_by_epochs(
+        _train(found), found.where("split = 'val'"), _vectors(found), work_path(spark, "epochs"))[1]
+
+
 @register("member_lr")
 def member_lr(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
@@ -100,7 +123,8 @@ def member_lr(spark: SparkSession, folder: str) -> DataFrame:
 @register("member_ngram_nb")
 def member_ngram_nb(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
-    return _scored(found, members.ngram_bayes_member(_words(found)), 2)
+    words = _words(found)
+    return _scored(found, members.ngram_bayes_member(words, members.fitted_grams(_train(found), words)), 2)
 
 
 @register("member_rf")
@@ -149,7 +173,8 @@ def _saved(spark: SparkSession, folder: str) -> str:
 def model_save_load(spark: SparkSession, folder: str) -> DataFrame:
     found = rows(spark, folder)
     path = work_path(spark, "model")
-    members.save_model(members.ngram_bayes_member(_words(found)).fit(_train(found)), CLEANER, path)
+    words = _words(found)
+    members.save_model(members.ngram_bayes_member(words, members.fitted_grams(_train(found), words)).fit(_train(found)), CLEANER, path)
     model, _ = members.load_model(spark, path)
     return members.predict_proba(_held_out(found), {2: model}, [*training.ROW_KEYS, "label_id", "split"])
 

@@ -1,7 +1,7 @@
 """The four classifiers of the ensemble as ``pyspark.ml`` pipelines over a ``tokens`` column.
 
 Each member gives a probability per class for every row. Features of every member have a fixed width
-(capped vocabulary, hashed n-grams, fixed vectors), so models and broadcasts do not grow with the data.
+(capped vocabulary, capped n-grams, fixed vectors), so models and broadcasts do not grow with the data.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import MAX_WORDS, SEED, VECTOR_SIZE
+from ..functions.patterns import MAX_WORDS, OOV_ID, SEED, VECTOR_SIZE
 from ..functions.text import tokens
 from ..session import stage
-from . import word_vectors
+from . import ngrams, word_vectors
 from .dictionary import Dictionary
 from .ensemble import N_CLASSES, _p
 from .epochs import Epochs, fit_epochs
@@ -33,8 +33,6 @@ from .ranking import hashed_order
 from .tokens import fit_vocabulary
 
 NAMES = {1: "weighted terms, logistic", 2: "word n-grams, bayes", 3: "word vectors, forest", 4: "word vectors, perceptron"}
-NGRAMS = (2, 3, 4, 5)
-NGRAM_BUCKETS = 1 << 14
 UNKNOWN = "<unknown>"
 #: What members learn from.
 TRAIN_COLUMNS = ("post_id", "draw_no", "tokens", "label_id", "weight")
@@ -90,16 +88,28 @@ def logistic_member(words: list[str], reg: float = 0.01, max_iter: int = 50) ->
     ])
 
 
-def ngram_bayes_member(words: list[str], buckets: int = NGRAM_BUCKETS, smoothing: float = 1.0) -> Pipeline:
-    stages = []
-    for n in NGRAMS:
-        stages += [NGram(n=n, inputCol="known", outputCol=f"grams_{n}"),
-                   HashingTF(numFeatures=buckets, inputCol=f"grams_{n}", outputCol=f"hashed_{n}")]
+def fitted_grams(train: DataFrame, words: list[str], keys: tuple[str, ...] = ("post_id", "draw_no"), least: int = ngrams.LEAST,
+                 most: int = ngrams.MOST) -> dict[int, list[str]]:
+    """The frequent runs of known words in the train rows by their size: at most ``most`` of each on the driver."""
+    known = Dictionary({w: i + OOV_ID + 1 for i, w in enumerate(words)})
+    ids = train.select(*keys, known.ids_of(F.col("tokens")).alias("sequence"))
+    return ngrams.most_frequent(ngrams.frequent(ids, keys=keys, least=least), words, OOV_ID + 1, most)
+
+
+def ngram_bayes_member(words: list[str], grams: dict[int, list[str]], smoothing: float = 1.0) -> Pipeline:
+    """Counts of the frequent runs of two to five words, each run in a place of its own."""
+    steps, counted = [], []
+    for n in ngrams.SIZES:
+        # a size without a frequent run keeps one place that no text fills
+        kept = grams.get(n) or [" ".join([UNKNOWN] * n)]
+        steps += [NGram(n=n, inputCol="known", outputCol=f"grams_{n}"),
+                  CountVectorizerModel.from_vocabulary(kept, inputCol=f"grams_{n}", outputCol=f"counts_{n}")]
+        counted.append(f"counts_{n}")
     return Pipeline(stages=[
         known_words(words),
-        *stages,
-        VectorAssembler(inputCols=[f"hashed_{n}" for n in NGRAMS], outputCol="hashed_2_to_5"),
-        NaiveBayes(featuresCol="hashed_2_to_5", labelCol="label_id", weightCol="weight", smoothing=smoothing, **_outputs(2)),
+        *steps,
+        VectorAssembler(inputCols=counted, outputCol="grams_2_to_5"),
+        NaiveBayes(featuresCol="grams_2_to_5", labelCol="label_id", weightCol="weight", smoothing=smoothing, **_outputs(2)),
     ])
 
 
@@ -139,8 +149,8 @@ def perceptron_by_epochs(train: DataFrame, val: DataFrame, vectors: PipelineMode
     return PipelineModel([*stages, run.model]), run.history
 
 
-def member_pipelines(words: list[str], vectors: PipelineModel, n_classes: int = N_CLASSES) -> dict[int, Pipeline]:
-    return {1: logistic_member(words), 2: ngram_bayes_member(words), 3: forest_member(vectors),
+def member_pipelines(words: list[str], vectors: PipelineModel, grams: dict[int, list[str]], n_classes: int = N_CLASSES) -> dict[int, Pipeline]:
+    return {1: logistic_member(words), 2: ngram_bayes_member(words, grams), 3: forest_member(vectors),
             4: perceptron_member(vectors, vectors.stages[-1].getVectorSize(), n_classes=n_classes)}
 
 

@@ -99,8 +99,9 @@ def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: boo
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     words = members.fitted_words(train)
     vectors = members.fit_word_vectors(train, words)
+    grams = members.fitted_grams(train, words)
     apart = {*(grids or {}), *([4] if epochs_in else [])}
-    pipelines = {m: p for m, p in members.member_pipelines(words, vectors, n_classes).items() if m not in apart}
+    pipelines = {m: p for m, p in members.member_pipelines(words, vectors, grams, n_classes).items() if m not in apart}
     models = members.fit_members(train, pipelines, kept_in) if pipelines else {}
     for m, candidates in (grids or {}).items():
         models[m], _ = members.select_on_validation(train, val, candidates, m)

@@ -44,7 +44,7 @@ def test_members_beat_the_largest_class_on_train(spark):
     rows = members.with_tokens(rows.withColumn("weight", F.lit(1.0)))
     words = members.fitted_words(rows)
     vectors = members.fit_word_vectors(rows, words, size=16)
-    models = members.fit_members(rows, members.member_pipelines(words, vectors))
+    models = members.fit_members(rows, members.member_pipelines(words, vectors, members.fitted_grams(rows, words)))
     for m, model in models.items():
         found = model.transform(rows).select("label_id", F.col(f"prediction_{m}").cast("int").alias("pred"))
         assert metrics.accuracy(found).first()["accuracy"] > 0.5, members.NAMES[m]

@@ -48,6 +48,7 @@ def train(spark):
 
 def test_a_run_killed_after_two_members_fits_the_other_two_only(spark, train, tmp_path, monkeypatch):
     words = members.fitted_words(train)
+    grams = members.fitted_grams(train, words)
     fits, dead = [], {3, 4}
     real = Pipeline.fit
 
@@ -62,7 +63,7 @@ def test_a_run_killed_after_two_members_fits_the_other_two_only(spark, train, tm
     monkeypatch.setattr(Pipeline, "fit", fit)
 
     def run(reg=0.01):
-        pipelines = members.member_pipelines(words, members.fit_word_vectors(train, words, size=4))
+        pipelines = members.member_pipelines(words, members.fit_word_vectors(train, words, size=4), grams)
         return members.fit_members(train, pipelines | {1: members.logistic_member(words, reg=reg)}, str(tmp_path / "kept"))
 
     with pytest.raises(RuntimeError, match="killed"):
@@ -81,7 +82,7 @@ def test_a_run_killed_after_two_members_fits_the_other_two_only(spark, train, tm
     assert fits == [1]
     fits.clear()
     changed = train.withColumn("weight", F.col("weight") * 2)
-    members.fit_members(changed, {2: members.ngram_bayes_member(words)}, str(tmp_path / "kept"))
+    members.fit_members(changed, {2: members.ngram_bayes_member(words, grams)}, str(tmp_path / "kept"))
     assert fits == [2]
 
 
@@ -91,7 +92,7 @@ def test_a_step_that_was_stopped_while_it_saved_is_done_anew(spark, train, tmp_p
 
     def make():
         made.append(1)
-        return members.ngram_bayes_member(words).fit(train)
+        return members.ngram_bayes_member(words, {}).fit(train)
 
     model = manifest.once(spark, str(tmp_path), "m", "k" * 64, make)
     manifest.once(spark, str(tmp_path), "m", "k" * 64, make)
