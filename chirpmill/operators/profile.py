@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import text_length, word_count
 from ..session import checked_small
 from .labels import MAX_CLASSES
+from .selection import values_at
 
 QUARTILES = (0.25, 0.5, 0.75)
 TIMES = (T.DateType, T.TimestampType)
@@ -189,72 +191,30 @@ def samples_per_class(df: DataFrame, column: str, text: str, key: str, n: int =
 def _describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric columns, exact at any size.
 
-    One pass takes the moments and brackets each quartile with approximate percentiles, whose rank
-    error has a proven bound; its outcome, a few numbers per column, goes through the driver. NaN is a missing
-    value, and times count in seconds since 1970 and have no ``std``. A second pass counts what lies below and above each bracket and the values inside it. Only the values inside
-    the brackets, a thin band, are ordered.
+    One pass takes the moments; the values around the quartile ranks are then found by counting passes (``selection``),
+    without a window or a sort over values. NaN is a missing value, and times count in seconds since 1970 and have no
+    ``std``. A few numbers per column go through the driver.
     """
-    accuracy = 10000
-    slack = 4.0 / accuracy
-    marks = [m for q in QUARTILES for m in (max(0.0, q - slack), min(1.0, q + slack))]
     times = {f.name for f in df.schema.fields if isinstance(f.dataType, TIMES)}
     df = df.select(*[
         F.when(~_is_missing(f), (F.col(f.name).cast("timestamp") if f.name in times else F.col(f.name)).cast("double")).alias(f.name)
         for f in df.schema.fields if f.name in columns])
-    aggregates = []
-    for c in columns:
-        d = F.col(c).cast("double")
-        aggregates.append(F.struct(
-            F.count(c).alias("count"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"),
-            F.max(d).alias("max"), F.percentile_approx(d, marks, accuracy).alias("marks"),
-        ).alias(c))
-    moments = df.agg(*aggregates).first()
-
-    def brackets(c: str, value: Column) -> list[Column]:
-        found = []
-        for i, q in enumerate(QUARTILES):
-            lo, hi = moments[c]["marks"][2 * i: 2 * i + 2]
-            side = F.when(value < F.lit(lo), -1).when(value > F.lit(hi), 1).otherwise(0)
-            found.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("i"), side.alias("side"), value.alias("v")))
-        return found
-
-    known = [c for c in columns if moments[c]["count"]]
-    summary = df.sparkSession.createDataFrame(
-        [(c, *moments[c][:2], None if c in times else moments[c][2], *moments[c][3:5]) for c in columns],
-        "column_name string, count bigint, mean double, std double, min double, max double")
-    if not known:
-        return summary
-    rows = [b for c in known for b in brackets(c, F.col(c).cast("double"))]
-    # what lies below and above a bracket shrinks to one row each, which keeps its nearest value
-    banded = (
-        df.select(F.inline(F.array(*rows))).where("v is not null")
-        .select("column_name", "i", "side", "v", F.when(F.col("side") == 0, F.col("v")).alias("inside"))
-        .groupBy("column_name", "i", "side", "inside")
-        .agg(F.count("*").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
-    )
-    order = Window.partitionBy("column_name", "i").orderBy("side", "inside")
-    ranked = banded.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))
-    places = F.create_map(*[F.lit(x) for c in known for i, q in enumerate(QUARTILES)
-                            for x in (f"{c}/{i}", (moments[c]["count"] - 1) * q)])
-    ranked = ranked.withColumn("place", F.element_at(places, F.concat_ws("/", "column_name", "i")))
-
-    def value_at(rank: Column) -> Column:
-        here = (
-            F.when((F.col("side") == 0) & (F.col("before") <= rank) & (rank < F.col("upto")), F.col("inside"))
-            .when((F.col("side") == -1) & (rank == F.col("upto") - 1), F.col("v_max"))
-            .when((F.col("side") == 1) & (rank == F.col("before")), F.col("v_min"))
-        )
-        return F.max(here)
-
-    quartiles = ranked.groupBy("column_name", "i", "place").agg(
-        value_at(F.floor("place")).alias("v_low"), value_at(F.ceil("place")).alias("v_high")
-    )
-    value = F.col("v_low") + (F.col("v_high") - F.col("v_low")) * (F.col("place") - F.floor("place"))
-    spread = quartiles.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("i") == i, value)).alias(f"p{int(q * 100)}") for i, q in enumerate(QUARTILES)]
-    )
-    # one row per column
-    return summary.join(F.broadcast(spread), "column_name", "left")
+    moments = df.agg(*[
+        F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c)
+        for c in columns]).first()
+    places = {c: [(moments[c]["count"] - 1) * q for q in QUARTILES] for c in columns if moments[c]["count"]}
+    wanted = {c: (moments[c]["count"], moments[c]["min"], moments[c]["max"], [r for p in at for r in (math.floor(p), math.ceil(p))])
+              for c, at in places.items()}
+    found = values_at(df, wanted)
+
+    def quartile(c: str, place: float) -> float:
+        low, high = found[c, math.floor(place)], found[c, math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
+
+    rows = [(c, *moments[c][:2], None if c in times else moments[c][2], *moments[c][3:5],
+             *([quartile(c, p) for p in places[c]] if c in places else [None] * len(QUARTILES))) for c in columns]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count bigint, mean double, std double, min double, max double, p25 double, p50 double, p75 double")
 
 
 def _describe_strings(df: DataFrame, columns: list[str], key: str, texts: DataFrame | None = None) -> DataFrame:

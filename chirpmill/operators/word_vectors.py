@@ -25,7 +25,7 @@ from ..session import stage, work_path
 WINDOW = 5
 #: The least common multiple of the distances.
 NEAR = 60
-ROUNDS = 8
+ROUNDS = 5
 
 
 def cooccurrence(df: DataFrame, sequence: str = "sequence", times: str | None = None, window: int = WINDOW) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,8 +100,10 @@ def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: boo
     rows = stage(training_table(prepared, keys), "training", ("split",))
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     words = members.fitted_words(train)
-    vectors = members.fit_word_vectors(train, words)
-    grams = members.fitted_grams(train, words)
+    with ThreadPoolExecutor(2) as pool:  # two runs of jobs that do not wait for each other
+        both = [pool.submit(inheritable_thread_target(train.sparkSession)(f), train, words)
+                for f in (members.fit_word_vectors, members.fitted_grams)]
+        vectors, grams = (task.result() for task in both)
     apart = {*(grids or {}), *([4] if epochs_in else [])}
     pipelines = {m: p for m, p in members.member_pipelines(words, vectors, grams, n_classes).items() if m not in apart}
     models = members.fit_members(train, pipelines, kept_in) if pipelines else {}
