@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import MASKED_LENGTH, MAX_LENGTH, MAX_WORDS
+from ..functions.patterns import MASKED_LENGTH, MAX_LENGTH, MAX_WORDS, OOV_ID, TOKEN
 from ..operators import pooling, tokens
 from ..plans import training
 from ..session import stage
@@ -16,6 +16,7 @@ from ..sources.posts import table
 from . import sql as q
 from .registry import register
 from .sampling_queries import prepared
+from .text_queries import all_texts
 
 
 
@@ -66,6 +67,25 @@ def pad_right_mask(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.with_mask(_sequences(spark, folder, first=MASKED_LENGTH)).select("post_id", _shown("input_ids"), _shown("attention_mask"))
 
 
+_any_ids = f"list_resize(ids[:{MASKED_LENGTH}], {MASKED_LENGTH}, 0)"
+_any_mask = f"list_resize(list_resize([]::integer[], least(len(ids), {MASKED_LENGTH}), 1), {MASKED_LENGTH}, 0)"
+
+
+@register("encode_any_text", f"""with {q.vocabulary(MAX_WORDS)}, {q.TEXTS},
+said as (select text_key, regexp_extract_all(coalesce({q.clean_enhanced('text')}, ''), {q.quoted(TOKEN)}) as words from texts),
+pieces as (select text_key, unnest(words) as word, generate_subscripts(words, 1) as pos from said),
+found as (
+  select text_key, list(coalesce(idx, {OOV_ID}) order by pos) as ids from pieces left join vocabulary using (word) group by text_key),
+every as (select text_key, coalesce(ids, []::integer[]) as ids from said left join found using (text_key))
+select text_key, {q.joined(_any_ids)} as input_ids, {q.joined(_any_mask)} as attention_mask from every""")
+def encode_any_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every post, page and conversation, labelled or not, as ids and mask."""
+    rows = prepared(spark, folder)
+    vocabulary = stage(training.vocabulary(rows, training.training_keys(rows), MAX_WORDS), "vocabulary")
+    found = tokens.encode(all_texts(spark, folder), vocabulary, keys=("text_key",))
+    return found.select("text_key", _shown("input_ids"), _shown("attention_mask"))
+
+
 def _by_place(df: DataFrame, key: str, array: str) -> DataFrame:
     return df.select(key, F.posexplode(array).alias("place", "value")).select(key, "place", F.round("value", 6).alias("value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.arrays import attention_mask, pad_left, pad_right
 from ..functions.patterns import MASKED_LENGTH, MAX_LENGTH, MAX_WORDS, OOV_ID
 from ..functions.text import tokens
+from .cleaning import with_cleaned
 from .dictionary import Dictionary
 
 # room for the word position behind the post key in one ordered number
@@ -73,3 +74,15 @@ def with_mask(df: DataFrame, sequence: str = "sequence", length: int = MASKED_LE
         "input_ids": pad_right(F.col(sequence), length),
         "attention_mask": attention_mask(F.col(sequence), length),
     })
+
+
+def encode(df: DataFrame, vocabulary: DataFrame, cleaner: str = "enhanced", text: str = "text", keys: tuple[str, ...] = ("post_id",),
+           length: int = MASKED_LENGTH) -> DataFrame:
+    """``(*keys, input_ids, attention_mask)`` of any text that is to be scored, labelled or not.
+
+    Cleaned, cut to the first ``length`` words, looked up and padded on the right, row by row and without a shuffle; a
+    missing text or one of which nothing is left is all padding.
+    """
+    cleaned = with_cleaned(df.select(*keys, text), cleaner, text)
+    ids = text_to_sequence(cleaned, vocabulary, keys=keys, first=length)
+    return with_mask(ids, length=length).select(*keys, "input_ids", "attention_mask")
