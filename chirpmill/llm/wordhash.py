@@ -16,8 +16,6 @@ PIECE_BYTES = 2 << 20
 
 _U = np.uint64
 _ONE = _U(0x9E3779B97F4A7C15)
-_FACTOR = 0xD6E8FEB86659FD93
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,7 +27,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _ONE)[_LOWER]
+#: A number for each byte at each place of a word, for the first places; those behind are worked out.
+PLACES = 64
+_AT = mix((np.arange(PLACES * 256, dtype=_U) + _U(1)) * _ONE)
 
 #: Bytes that end a word: ASCII white space, or everything in ASCII but letters and digits.
 SPACED = np.ones(256, bool)
@@ -37,17 +37,6 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 LETTERED = np.zeros(256, bool)
 LETTERED[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) <= n:
-        for key, factor in (("up", _FACTOR), ("down", _INVERSE)):
-            steps = np.full(n + 1, factor, _U)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
-
 
 class Words(NamedTuple):
     """Words of some texts in order: number of the text in the batch, byte start and end in it, hash."""
@@ -86,10 +75,19 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     ends[1:] = inside[:-1] & ~inside[1:]
     ends[edges[edges > 0]] |= inside[edges[edges > 0] - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
-    value = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+    # the sum of a number for each (place in the word, byte): two words agree by chance alone, whatever they look like
+    inner = np.flatnonzero(inside)
+    size = end - start
+    key = ((inner - np.repeat(start, size)) << 8) + _LOWER[data[inner]]
+    near = key < len(_AT)
+    part = _AT[np.where(near, key, 0)]
+    if not near.all():
+        far = np.flatnonzero(~near)
+        part[far] = mix((key[far].astype(_U) + _U(1)) * _ONE)
+    total = np.zeros(len(inner) + 1, _U)
+    np.cumsum(part, out=total[1:])
+    last = np.cumsum(size)
+    value = mix(total[last] - total[last - size] + size.astype(_U))
     text = np.searchsorted(offsets, start, "right") - 1
     return Words(text, start - offsets[text], end - offsets[text], value)
 
