@@ -45,9 +45,9 @@ TOP = 2000
 SCALE = 1_000_000
 BLOCK = 1024
 SALTS = 16
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 #: Runs are merged so many bytes of rows at a time, or a word's share if that is more.
-MERGE_BYTES = 6 << 20
+MERGE_BYTES = 3 << 20
 HEAVY_RUNS = 1_000_000
 MOST_HEAVY = 10_000
 
@@ -92,6 +92,10 @@ class _Coded(NamedTuple):
     third: np.ndarray
 
 
+def _count_type(raw: np.ndarray) -> type:
+    return np.int32 if len(raw) < 2 ** 31 else np.int64
+
+
 def _coded(lang: pa.Array, offsets: np.ndarray, raw: np.ndarray) -> _Coded | None:
     inside = ~_BREAKS[raw]
     begins = inside.copy()
@@ -104,14 +108,14 @@ def _coded(lang: pa.Array, offsets: np.ndarray, raw: np.ndarray) -> _Coded | Non
     if not n:
         return None
     text = np.searchsorted(offsets, start, "right") - 1
-    kept = np.cumsum(inside)
+    kept = np.cumsum(inside, dtype=_count_type(raw))
     at = np.append(kept[start] - 1, kept[-1])
     words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(_LOWER[raw[inside]]))
     coded = words.dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64) + 1
     langs = lang.dictionary_encode()
     # a word is followed in its piece if no cut and no other text lies between
-    cuts = np.cumsum(_CUTS[raw])[start]
+    cuts = np.cumsum(_CUTS[raw], dtype=_count_type(raw))[start]
     follows = np.append((text[1:] == text[:-1]) & (cuts[1:] == cuts[:-1]), False)
     second = np.where(follows, np.append(code[1:], 0), 0)
     third = np.where(follows & np.append(follows[1:], False), np.append(second[1:], 0), 0)
