@@ -146,17 +146,30 @@ v as (select *, len(mark) - len(replace(mark, '>', '')) lv, regexp_replace(line,
 g as (select *, sum(case when lv = prev then 0 else 1 end) over (partition by conv_id, turn order by i) run
       from (select *, lag(lv) over (partition by conv_id, turn order by i) prev from v)),
 r as (select conv_id, turn, role, run, any_value(lv) lv, string_agg(body, chr(10) order by i) body from g group by conv_id, turn, role, run),
-n as (select *, coalesce(lead(lv) over (partition by conv_id, turn order by run) > 0, false) before_quote from r),
+n as (select *, coalesce(lead(lv) over (partition by conv_id, turn order by run) > lv, false) announces from r),
+e as (select conv_id, turn, role, run, lv, case when announces
+        then regexp_replace(body, '(?m)^.*\b(wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:[ \t]*\s*\z', '') else body end body from n),
 o as (select conv_id, turn, any_value(role) role, regexp_replace(regexp_replace(coalesce(string_agg(
-        case when before_quote then regexp_replace(body, '(?m)^.*\b(wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:[ \t]*\s*\z', '') else body end,
-        chr(10) order by run) filter (lv = 0), ''), '\A\s+|\s+\z', '', 'g'), '^ +| +$', '', 'g') own
-      from n group by conv_id, turn),
+        body, chr(10) order by run) filter (lv = 0), ''), '\A\s+|\s+\z', '', 'g'), '^ +| +$', '', 'g') own
+      from e group by conv_id, turn),
 said as (select distinct conv_id, turn, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) passage
   from o, unnest(list_concat([own], string_split(own, chr(10)), regexp_split_to_array(own, '\n[ \t]*\n'))) t(p)),
 source as (select conv_id, passage, min(turn) source from said where passage <> '' group by conv_id, passage),
-q as (select conv_id, turn, run, lv, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) passage from r where lv > 0),
-k as (select q.conv_id, q.turn, q.lv, len(q.passage) size, case when source < q.turn then source end source
-      from q left join source s on q.conv_id = s.conv_id and q.passage = s.passage where q.passage <> ''),
+own_lines as (select conv_id, turn, list_filter(list_transform(string_split(own, chr(10)),
+        lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') ls from o),
+q as (select conv_id, turn, run, lv, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) passage,
+        list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') ls
+      from e where lv > 0),
+sizes as (select distinct conv_id, len(ls) n from q where len(ls) > 1),
+said_lines as (
+  select conv_id, turn, array_to_string(ls[i:i + n - 1], chr(10)) said
+  from own_lines join sizes using (conv_id), unnest(range(1, len(ls) - n + 2)) t(i)),
+line_source as (select conv_id, said, min(turn) source from said_lines group by conv_id, said),
+k as (select q.conv_id, q.turn, q.lv, len(q.passage) size,
+             least(case when s.source < q.turn then s.source end, case when z.source < q.turn then z.source end) source
+      from q left join source s on q.conv_id = s.conv_id and q.passage = s.passage
+      left join line_source z on q.conv_id = z.conv_id and len(q.ls) > 1 and array_to_string(q.ls, chr(10)) = z.said
+      where q.passage <> ''),
 b as (select conv_id, turn, count(*) n_quotes, count(source) n_linked,
              arg_min(source, row(lv, -size, source)) filter (source is not null) parent_turn from k group by conv_id, turn),
 tree as (

@@ -43,9 +43,23 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(text, "\n", -1), normal), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def _run_key(keys: Column) -> Column:
-    """What two runs of lines must share; never what ``_key`` gives for a text of one passage."""
-    return _key(F.concat(F.lit("\n"), F.array_join(keys.cast("array<string>"), "\n")))
+def power(n: str) -> str:
+    """The largest k with ``2 ** k <= n``."""
+    return f"length(bin({n})) - 1"
+
+
+def doubled(keys: str, k: str) -> str:
+    """Hashes of all runs of ``2 ** k`` lines (k from 1), by hashing neighbouring runs of half that many k times over."""
+    half = "shiftleft(1, j - 1)"
+    return (f"aggregate(sequence(1, {k}), {keys}, (a, j) -> transform(slice(a, 1, size(a) - {half}), (x, i) -> xxhash64(x, a[i + {half}])))")
+
+
+def _run_key(n: Column, first: Column, last: Column) -> Column:
+    """What two runs of lines must share: their number and the hashes of the longest runs of ``2 ** k`` lines at both ends.
+
+    Never what ``_key`` gives for a text of one passage.
+    """
+    return _key(F.concat_ws("\n", F.lit(""), n.cast("string"), first.cast("string"), last.cast("string")))
 
 
 def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -92,20 +106,29 @@ def originals(rows: DataFrame) -> DataFrame:
 
 
 def line_runs(rows: DataFrame, quotes: DataFrame) -> DataFrame:
-    """``conv_id, key, turn``: the runs of lines in messages, of those numbers of lines that quotes of the conversation have.
+    """``conv_id, key, turn``: where messages hold, as lines that follow each other, what quotes of the conversation hold.
 
-    Messages travel as hashes of their lines. The numbers asked for are at most as many as the longest quote has lines.
+    ``quotes`` has ``conv_id, n_lines, k, first, last`` of each quote. Two runs of ``2 ** k`` lines, one at each end, cover any
+    run of up to ``2 ** (k + 1)``: messages give their runs of such lengths as quotes of the conversation have, which is lines
+    times the logarithm of the longest quote, those that no quote opens or ends with go, and the rest meet by their distance.
+    Equal quotes count once and equal sayings are for the caller to shrink, so pairs of a quote and a saying are never made.
     """
-    asked = (
-        quotes.where("n_lines > 1").groupBy(F.col("conv_id").alias("asked_id")).agg(F.collect_set("n_lines").alias("spans"))
+    asked = quotes.where("n_lines > 1").select(
+        F.col("conv_id").alias("asked_id"), F.col("k").alias("asked_k"), "n_lines", "first", "last").distinct()
+    ends = asked.select("asked_id", "asked_k", F.explode(F.array("first", "last")).alias("end")).distinct()
+    said = (
+        rows.select("row", "conv_id", "turn", line_keys(F.col("own")).alias("keys")).where("size(keys) > 1")
+        .join(asked.select("asked_id", F.col("asked_k").alias("k")).distinct(), F.expr("conv_id = asked_id and size(keys) >= shiftleft(1, k)"))
+        .select("row", "conv_id", "turn", "k", F.posexplode(F.expr(doubled("keys", "k"))).alias("at", "run"))
     )
-    windows = F.expr(
-        "flatten(transform(filter(spans, n -> n <= size(keys)), n -> transform(sequence(1, size(keys) - n + 1), i -> slice(keys, i, n))))")
+    said = stage(said.join(ends, F.expr("conv_id = asked_id and k = asked_k and run = end"), "left_semi"), "chat-line-runs")
+    opened = asked.select("asked_id", "asked_k", "n_lines", F.col("first").alias("opens")).distinct()
+    closing = said.select("row", "k", "at", F.col("run").alias("last"))
     return (
-        rows.select("conv_id", "turn", line_keys(F.col("own")).alias("keys")).where("size(keys) > 1")
-        .join(asked, F.expr("conv_id = asked_id"))
-        .select("conv_id", "turn", F.explode(windows).alias("run"))
-        .select("conv_id", _run_key(F.col("run")).alias("key"), "turn")
+        said.join(opened, F.expr("conv_id = asked_id and k = asked_k and run = opens"))
+        .select("row", "conv_id", "turn", "k", "n_lines", "run", F.expr("at + n_lines - shiftleft(1, k)").alias("at"))
+        .join(closing, ["row", "k", "at"])
+        .select("conv_id", _run_key(F.col("n_lines"), F.col("run"), F.col("last")).alias("key"), "turn")
     )
 
 
@@ -116,9 +139,12 @@ def linked(rows: DataFrame) -> DataFrame:
         .select("row", "place", "conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.body")).alias("passage"),
                 line_keys(F.col("q.body")).alias("lines"))
         .where("passage <> ''")
-        .select("row", "place", "conv_id", "turn", "level", F.length("passage").alias("size"), F.size("lines").alias("n_lines"),
-                F.when(F.size("lines") > 1, F.array(_key(F.col("passage")), _run_key(F.col("lines"))))
-                .otherwise(F.array(_key(F.col("passage")))).alias("keys"))
+        .withColumn("n_lines", F.size("lines")).withColumn("k", F.expr(power("n_lines")))
+        .withColumn("ends", F.expr(f"if(n_lines > 1, {doubled('lines', 'k')}, lines)"))
+        .select("row", "place", "conv_id", "turn", "level", F.length("passage").alias("size"), "n_lines", "k",
+                _key(F.col("passage")).alias("whole"), F.get("ends", F.lit(0)).alias("first"), F.expr("get(ends, size(ends) - 1)").alias("last"))
+        .withColumn("keys", F.when(F.col("n_lines") > 1, F.array("whole", _run_key(F.col("n_lines"), F.col("first"), F.col("last"))))
+                    .otherwise(F.array("whole")))
     )
     quotes = stage(quotes, "chat-quotes")
     keyed = quotes.withColumn("key", F.explode("keys"))

@@ -47,12 +47,18 @@ def test_odd_rows(spark):
     assert quotations.conversations(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def agrees(spark, tmp_path, *talks):
+    rows = [(c, k, "u", t) for c, talk in enumerate(talks) for k, t in enumerate(talk)]
+    folder = write(spark, tmp_path, conversations=(rows, SCHEMA))
+    return same_as_sql(spark, folder, "op7_quotations", "conversations") == "ok"
+
+
 def found(spark, talk):
     rows = quotations.conversations(spark.createDataFrame([(1, k, "u", t) for k, t in enumerate(talk)], SCHEMA)).collect()
     return {r["turn"]: (r["parent_turn"], r["depth"], r["n_quotes"], r["n_linked"], r["text"]) for r in rows}
 
 
-def test_announcing_lines_inside_quotes(spark):
+def test_announcing_lines_inside_quotes(spark, tmp_path):
     talk = [
         "text of Ann",
         "reply\n\nOn Mon Ann wrote:\n> text of Ann",
@@ -63,12 +69,13 @@ def test_announcing_lines_inside_quotes(spark):
         "Dan said:",
         "> Dan said:\n\nhe did",
     ]
+    assert agrees(spark, tmp_path, talk)
     assert found(spark, talk) == {
         0: (None, 0, 0, 0, "text of Ann"), 1: (0, 1, 1, 1, "reply"), 2: (1, 2, 2, 2, "more"), 3: (2, 3, 3, 3, "last"),
         4: (1, 2, 1, 1, "yes"), 5: (None, 0, 0, 0, "Dan said:"), 6: (5, 1, 1, 1, "he did")}
 
 
-def test_quotes_of_some_lines_or_paragraphs(spark):
+def test_quotes_of_some_lines_or_paragraphs(spark, tmp_path):
     talk = [
         "one a\none b\none c\none d\n\npara two\ngoes on\n\npara three",
         "> one b\n> One   C\nyes",
@@ -82,6 +89,36 @@ def test_quotes_of_some_lines_or_paragraphs(spark):
         # wrapped anew: whole paragraphs only
         "> para two goes\n> on\nwrapped",
     ]
+    assert agrees(spark, tmp_path, talk, talk[::-1])
     assert found(spark, talk) == {
         0: (None, 0, 0, 0, talk[0]), 1: (0, 1, 1, 1, "yes"), 2: (0, 1, 1, 1, "and"), 3: (None, 0, 1, 0, "no"),
         4: (None, 0, 1, 0, "neither"), 5: (None, 0, 0, 0, talk[5]), 6: (0, 1, 1, 1, "again"), 7: (0, 1, 1, 1, "wrapped")}
+
+
+def quoting(lines, a, n):
+    return "\n".join("> " + x for x in lines[a:a + n]) + "\nyes"
+
+
+def test_runs_of_every_number_of_lines(spark, tmp_path):
+    lines = [f"line {i % 7} {i % 5}" for i in range(40)]
+    same = ["again"] * 20
+    talks = [
+        ["\n".join(lines)] + [quoting(lines, n % 9, n) for n in range(1, 32)],
+        # every line the same: quotes of more lines than were said link to nothing
+        ["\n\n".join(same)] + [quoting(same * 2, 0, n) for n in (2, 3, 5, 8, 19, 20, 21, 33)],
+        # the first who said it, with both ends right and the middle wrong before
+        ["a\nb\nx\nc\nd", "a\nb\nm\nc\nd", "> a\n> b\n> m\n> c\n> d", "> b\n> m\n> c", "> a\n> b\n> c\n> d", "> x\n> c\n> d"],
+    ]
+    assert agrees(spark, tmp_path, *talks)
+    got = found(spark, talks[0])
+    assert all(got[n][0] == 0 for n in range(1, 32))
+    got = found(spark, talks[1])
+    assert [got[i + 1][0] for i in range(8)] == [0] * 6 + [None] * 2
+    got = found(spark, talks[2])
+    assert [got[i][0] for i in (2, 3, 4, 5)] == [1, 1, None, 0]
+
+
+def test_long_message_and_quotes_of_many_lengths(spark):
+    lines = [f"word {i}" for i in range(3000)]
+    got = found(spark, ["\n".join(lines)] + [quoting(lines, 3 * n, 2 + n) for n in range(299)])
+    assert all(got[n][0] == 0 for n in range(1, 300))
