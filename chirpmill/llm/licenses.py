@@ -3,9 +3,10 @@
 The hash of every run of ``K`` words of a text is joined to the places where licence templates hold the same
 run. A hit at word ``p`` of a text and word ``q`` of a template votes for the diagonal ``p - q``: the word at which the
 template would start. Votes are summed by diagonal, neighbouring diagonals (a few words put in or left out) are merged
-into a span, and a span is verified by the words themselves (runs are joined by their words as well as by their
-hash) and by the share of the template's runs that it holds: all of them on one diagonal for the short base
-phrases, ``SHARE`` of them for the longer licence texts.
+into a span, no further from its first than ``GAP`` words or one word in ``DRIFT_PART`` of the template. A span is verified
+by the words themselves (runs are joined by their words as well as by their hash), by their order (a run counts where it
+stands behind all earlier runs of the template) and by the share of the template's runs that it holds so: all of them on
+one diagonal for the short base phrases, ``SHARE`` of them for the longer licence texts.
 
 Runs of the text that are in no template are left out before the join by a set test on the hash, so what is
 exploded and shuffled follows the hits.
@@ -23,6 +24,7 @@ from chirpmill.session import stage
 
 K = 3
 GAP = 4
+DRIFT_PART = 8
 SHARE = 0.75
 
 # Phrases that decide the base labels.
@@ -90,16 +92,26 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
 
 def spans(hits: DataFrame) -> DataFrame:
-    """``row, template, label, base, first, share``: hits on neighbouring diagonals as one span."""
-    order = Window.partitionBy("row", "template").orderBy("diagonal", "place")
-    step = F.col("diagonal") - F.lag("diagonal").over(order)
+    """``row, template, label, base, first, share``: hits on the diagonals from ``first`` on as one span.
+
+    A span may open at every diagonal with a hit and takes hits at most the drift away from it, however many diagonals
+    lie close to each other. Of a template's runs those count that stand behind all the earlier runs found, so words in
+    another order than the template's do not.
+    """
+    drift = f"greatest({GAP}, (n_runs + {K - 1}) div {DRIFT_PART})"
+    firsts = hits.select("row", "template", F.col("diagonal").alias("first")).distinct()
+    near = (
+        hits.withColumn("first", F.explode(F.expr(f"sequence(diagonal - {drift}, diagonal)")))
+        .join(firsts, ["row", "template", "first"])
+        .groupBy("row", "template", "label", "base", "n_runs", "first", "place").agg(F.min(F.col("diagonal") + F.col("place")).alias("at"))
+    )
+    earlier = Window.partitionBy("row", "template", "label", "base", "n_runs", "first").orderBy("place").rowsBetween(
+        Window.unboundedPreceding, -1)
     return (
-        hits.withColumn("opens", F.when(step <= GAP, 0).otherwise(1))
-        .withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("row", "template", "label", "base", "n_runs", "span")
-        .agg(F.min("diagonal").alias("first"), F.count_distinct("place").alias("found"))
+        near.withColumn("behind", F.coalesce(F.col("at") > F.max("at").over(earlier), F.lit(True)))
+        .groupBy("row", "template", "label", "base", "n_runs", "first").agg(F.count_if("behind").alias("found"))
         .withColumn("share", F.col("found") / F.col("n_runs"))
-        .drop("span", "found", "n_runs")
+        .drop("found", "n_runs")
     )
 
 

@@ -77,14 +77,17 @@ places as (
          string_agg(distinct label, ',' order by label) base_labels, list(distinct label) base_set
   from (select doc_id, template, label, diagonal from hits where base
         group by doc_id, template, label, n_runs, diagonal having count(*) = n_runs) group by doc_id),
-steps as (
-  select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal, place) <= {licenses.GAP}
-            then 0 else 1 end opens from hits),
-spans as (
-  select *, sum(opens) over (partition by doc_id, template order by diagonal, place rows unbounded preceding) span from steps),
+firsts as (select distinct doc_id, template, diagonal first from hits),
+near as (
+  select doc_id, template, label, base, n_runs, first, place, min(place + diagonal) word
+  from hits join firsts using (doc_id, template)
+  where diagonal between first and first + greatest({licenses.GAP}, (n_runs + {k - 1}) // {licenses.DRIFT_PART}) group by all),
+behind as (
+  select *, max(word) over (partition by doc_id, template, first order by place rows between unbounded preceding and 1 preceding) before
+  from near),
 shares as (
-  select doc_id, label, base, count(distinct place)::double / n_runs share from spans
-  group by doc_id, template, label, base, n_runs, span),
+  select doc_id, label, base, count(*) filter (before is null or word > before)::double / n_runs share from behind
+  group by doc_id, template, label, base, n_runs, first),
 own as (
   select doc_id, max(share) score, list(distinct label) filter (not base and share >= {licenses.SHARE}) own_set
   from shares group by doc_id)
