@@ -188,14 +188,19 @@ def predict_proba(df: DataFrame, models: dict[int, PipelineModel], keep: list[st
 def select_on_validation(train: DataFrame, val: DataFrame, candidates: list[tuple[str, Pipeline]], model_id: int) -> tuple[PipelineModel, DataFrame]:
     """Fit every candidate on train and keep the one that is best on the fixed validation rows.
 
-    Returns the winner and ``(candidate, val_accuracy, chosen)``; the earlier candidate wins a tie.
+    Returns the winner and ``(candidate, val_accuracy, chosen)``; the earlier candidate wins a tie. Candidates are fitted
+    side by side; a row without a prediction or label is a miss.
     """
     spark = train.sparkSession
-    tried = []
-    for name, pipeline in candidates:
+
+    def attempt(name: str, pipeline: Pipeline) -> tuple[str, PipelineModel, float]:
         model = pipeline.fit(train)
-        hit = (F.col(f"prediction_{model_id}") == F.col("label_id")).cast("double")
-        tried.append((name, model, model.transform(val).agg(F.avg(hit)).first()[0] or 0.0))
+        hit = F.coalesce(F.col(f"prediction_{model_id}") == F.col("label_id"), F.lit(False)).cast("double")
+        return name, model, model.transform(val).agg(F.avg(hit)).first()[0] or 0.0
+
+    with ThreadPoolExecutor(len(candidates)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(attempt), *candidate) for candidate in candidates]
+        tried = [task.result() for task in running]
     best = max(tried, key=lambda t: t[2])
     rows = [(name, float(score), name == best[0]) for name, _, score in tried]
     return best[1], spark.createDataFrame(rows, "candidate string, val_accuracy double, chosen boolean")
