@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chirpmill.session import stage
+from chirpmill.session import checked_small, stage
 
 from .components import components
 from .wordhash import SPACED, grams, mix, pieces, words
@@ -35,6 +35,8 @@ SHINGLE = 5
 SHARE = (75, 100)
 SAMPLE = 0.34
 LEAF, FAN = 32, 8
+#: Sets that may share a 64-bit digest with another set.
+MOST_CLASHES = 10_000
 #: 64-bit words of a signature.
 CELLS = 32
 
@@ -88,34 +90,45 @@ def _sent(text: np.ndarray, token: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return place < sent[text], np.where(sent > low, -sent, sent)
 
 
-def _set_rows(batches):
-    for batch in batches:
-        for first, data, offsets in pieces(batch.column(1)):
-            text, token, size = shingle_sets(data, offsets)
-            one, two = _digests(text, token, size)
-            _, sent = _sent(text, token, size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(size)), pa.array(one), pa.array(two), pa.array(size), pa.array(sent)],
-                names=["doc_id", "sid", "second", "n", "sent"])
+def _shortened(digest: np.ndarray, bits: int) -> np.ndarray:
+    return digest if bits == 64 else digest & np.int64((1 << bits) - 1)
 
 
-def _sent_rows(batches):
-    known: set[int] = set()
-    for batch in batches:
-        for _, data, offsets in pieces(batch.column(0)):
-            text, token, size = shingle_sets(data, offsets)
-            one, _ = _digests(text, token, size)
-            use, _ = _sent(text, token, size)
-            # a copy inside a task adds nothing; copies in other tasks are told by their digest
-            new = np.zeros(len(size), bool)
-            for i, s in enumerate(one.tolist()):
-                if size[i] and s not in known:
-                    new[i] = True
-                    known.add(s)
-            if len(known) > 1 << 18:
-                known.clear()
-            use &= new[text]
-            yield pa.RecordBatch.from_arrays([pa.array(token[use].view(np.int64)), pa.array(one[text[use]])], names=["token", "sid"])
+def _set_rows(bits: int):
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in pieces(batch.column(1)):
+                text, token, size = shingle_sets(data, offsets)
+                one, two = _digests(text, token, size)
+                _, sent = _sent(text, token, size)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(size)), pa.array(_shortened(one, bits)), pa.array(two), pa.array(size), pa.array(sent)],
+                    names=["doc_id", "sid", "second", "n", "sent"])
+    return run
+
+
+def _sent_rows(bits: int, renamed: np.ndarray):
+    def run(batches):
+        known: set[int] = set()
+        for batch in batches:
+            for _, data, offsets in pieces(batch.column(0)):
+                text, token, size = shingle_sets(data, offsets)
+                one, two = _digests(text, token, size)
+                one = _shortened(one, bits)
+                if len(renamed):
+                    one = np.where(np.isin(two, renamed), two, one)
+                use, _ = _sent(text, token, size)
+                # a copy inside a task adds nothing; copies in other tasks are told by their digest
+                new = np.zeros(len(size), bool)
+                for i, s in enumerate(one.tolist()):
+                    if size[i] and s not in known:
+                        new[i] = True
+                        known.add(s)
+                if len(known) > 1 << 18:
+                    known.clear()
+                use &= new[text]
+                yield pa.RecordBatch.from_arrays([pa.array(token[use].view(np.int64)), pa.array(one[text[use]])], names=["token", "sid"])
+    return run
 
 
 def _whole_rows(batches):
@@ -134,20 +147,34 @@ def _whole_rows(batches):
                     names=["sid", "n", "bits", "hidden", "tokens"])
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, sid, second, n, sent`` of every row: digests and size of its set."""
+def _shared_digests(made: DataFrame) -> DataFrame:
+    """``sid`` of several different sets."""
+    return made.groupBy("sid").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select("sid")
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """``doc_id, sid, second, n, sent`` of every row: digests and size of its set.
+
+    Different sets that share the first digest are named by the second instead: a few, as chance has it, in 10^10 sets.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    made = stage(source.mapInArrow(_set_rows, f"doc_id {kind}, sid bigint, second bigint, n bigint, sent bigint"), "shingle-sets")
-    if clash := made.groupBy("sid").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").head():
+    made = stage(source.mapInArrow(_set_rows(bits), f"doc_id {kind}, sid bigint, second bigint, n bigint, sent bigint"), "shingle-sets")
+    shared = [r[0] for r in checked_small(_shared_digests(made), MOST_CLASHES, "sets with the digest of another set").collect()]
+    if not shared:
+        return made
+    made = made.withColumn("sid", F.when(F.col("sid").isin(shared), F.col("second")).otherwise(F.col("sid")))
+    if clash := _shared_digests(made).head():
         raise ValueError(f"different sets have the digest {clash['sid']}")
     return made
 
 
-def blocks(docs: DataFrame, made: DataFrame, text_col: str) -> DataFrame:
+def blocks(docs: DataFrame, made: DataFrame, text_col: str, bits: int = 64) -> DataFrame:
     """``block, sid, n, shared``: sets that share one of their first shingles; blocks with equal members are one."""
+    # those of ``sets`` that go by their second digest, at most as many as it allows
+    renamed = np.array([r[0] for r in made.where("sid = second").select("second").distinct().collect()], np.int64)
     # the join below asks for this filter: given here, counts and join are made from one and the same shuffle
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sent_rows, "token bigint, sid bigint").where(
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sent_rows(bits, renamed), "token bigint, sid bigint").where(
         "token is not null").repartition("token")
     held = sent.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
@@ -268,9 +295,9 @@ def tree_pairs(members: DataFrame, whole: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, made: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     """``a, b``: similar sets, as many pairs as it takes to tie together what belongs together."""
-    member = blocks(docs, made, text_col)
+    member = blocks(docs, made, text_col, bits)
     asked = member.select("sid").distinct()
     # one text for each set that is asked for
     source = made.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("of"))
@@ -289,10 +316,13 @@ def links(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataF
     return found.unionByName(verified(tree_pairs(rest, whole), whole))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row; the component is the least id that links lead to."""
-    made = sets(docs, id_col, text_col)
-    label = components(links(docs, made, id_col, text_col))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; the component is the least id that links lead to.
+
+    ``bits`` of the first digest are used, and the second where that is not enough to tell sets apart.
+    """
+    made = sets(docs, id_col, text_col, bits)
+    label = components(links(docs, made, id_col, text_col, bits))
     named = made.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("group"))
     named = stage(named, "set-components")

@@ -56,6 +56,13 @@ def test_trees_alone_find_every_link(spark, monkeypatch):
     assert len(want) > 100 and got == want
 
 
+def test_different_sets_with_one_digest(spark):
+    docs = spark.createDataFrame(corpus(random.Random(10))[:200], SCHEMA)
+    assert jaccard.sets(docs, "doc_id", "text", bits=4).where("sid = second").count() > 100
+    rows = [sorted(map(tuple, jaccard.classes(docs, bits=b).collect())) for b in (4, 64)]
+    assert rows[0] == rows[1]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "x"), (8, "x"), (None, None)], SCHEMA)
     got = sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in
