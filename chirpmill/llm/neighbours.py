@@ -11,15 +11,16 @@ smallest hash of their id): so many lists are probed as hold ``RECALL`` of the t
 vector is indexed. Lists are cut into chunks of about ``CHUNK`` vectors and their queries into chunks as well, and
 equal vectors inside a chunk are compared once, so a list or a vector that holds a third of all rows is many small tasks.
 
-Edge cases: null and zero vectors, those with a null, NaN or infinite component, and those of another length than most
-(the shorter of equally frequent lengths counts) take no part; rows without an id take no part; rows with equal id and vector count once; with fewer
-than k candidates all are returned; ties go to the smaller id; an empty table gives no rows. Only the two named columns
-are read.
+Edge cases: null and zero vectors and those with a null, NaN or infinite component take no part; vectors of different
+lengths have no cosine, so each length has an index of its own, and more than ``MOST_WIDTHS`` lengths are an error; rows without
+an id take no part; rows with equal id and vector count once; with fewer than k candidates all are returned; ties go to
+the smaller id; an empty table gives no rows. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chirpmill.session import stage
+from chirpmill.session import checked_small, stage
 
 FIT = 16384
 MOST_LISTS = 1024
+MOST_WIDTHS = 64
 ROUNDS = 8
 TRIALS = 512
 RECALL = 0.96
@@ -206,18 +208,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, probes: int | None
 
     ``probes`` sets the number of probed lists by hand.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
-    most = widths.orderBy(F.desc("n"), "width").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if most is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("vector") == most["width"])
+    widths = checked_small(rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")), MOST_WIDTHS, "lengths of vectors").collect()
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return reduce(DataFrame.unionByName, [
+        _search_width(rows.where(F.size("vector") == w["width"]), w["width"], w["n"], is_query, k, probes) for w in sorted(widths)])
+
+
+def _search_width(rows: DataFrame, width: int, total: int, is_query: Column, k: int, probes: int | None) -> DataFrame:
+    """``search`` among the ``total`` usable vectors of one length."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).select("vector").toArrow()
-    sample = _matrix(sample["vector"], most["width"])
-    rotation, centres = fit_index(sample, most["n"])
+    sample = _matrix(sample["vector"], width)
+    rotation, centres = fit_index(sample, total)
     fitted = Index(rotation, centres, np.zeros(len(centres)))
     probes = probes or fit_probes(sample, fitted, k)
     share = spark.sparkContext.broadcast(fitted)

@@ -67,3 +67,13 @@ def test_one_vector_in_most_rows(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(300, 400)]
     got = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).where("query_id = 0").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and all(abs(r["score"] - 1) < 1e-12 for r in got)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 9)] + [(50 + i, [1.0, 0.0, float(i)]) for i in range(4)] + [(100, [2.0])]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {50: [51, 52]}
+    few = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id").isin(1, 50), 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in few] == [(1, 2), (1, 3), (50, 51), (50, 52)]
