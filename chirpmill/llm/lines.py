@@ -10,9 +10,16 @@ the hashes of its own segments and of those substrings of it that could be a seg
 shorter (only places that the edits left over on either side allow). Lines that share a hash are candidates.
 
 In a group of candidates every line is first compared with the earliest one, so a group of any size costs a row a
-line; lines that this does not settle are then joined with the other earlier lines of the group, behind a filter on
-lengths and on the parities of character counts that no pair within t edits fails. Pairs are verified by a bit-parallel
-edit distance in a band of 2t + 1 diagonals: a column of the band is two words of bits, kept in one number.
+line. Groups of ``FEW`` lines are then joined with themselves for the lines that this does not settle. The lines of larger
+groups are cut again, into ``t + FINE`` segments: t edits leave ``FINE`` of them as they are, so two near lines agree
+in all but some t segments (those in between moved by what the edits before them put in or take out). Lines that agree so
+are groups again, their earliest line is tried first, and only lines that are open after both rounds are joined with
+all earlier ones of such a group. A filter on lengths and on the parities of character counts that no pair within t
+edits fails stands before every pair. Pairs are verified by a bit-parallel edit distance in a band of 2t + 1 diagonals:
+a column of the band is two words of bits, kept in one number.
+
+Hashes that very many lines share are seen in a sample of the documents, which decides nothing but how the rows of such a
+hash are dealt: over shares, each with an earliest line of its own, of which the earliest is then taken.
 
 Texts are not shuffled for the join: hashes go by line, and only texts of candidates are fetched. Edge cases: null and
 empty texts have no lines to compare; rows may repeat an id (equal lines at one place of one id count as one line);
@@ -21,13 +28,22 @@ null ids come first; empty tables give empty results. Only the two named columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chirpmill.session import stage
 
 MIN_CHARS = 20
 EDITS = 2
+#: Segments that near lines of a large group have alike, at least.
+FINE = 4
+#: Open lines of groups up to this size are compared with all earlier lines of the group.
+FEW = 32
+#: One in so many documents is looked at for hashes to deal over ``SHARES`` shares: those of one in ``HOT`` of its rows.
+LOOKED_AT, HOT, SHARES = 64, 2000, 64
 #: Parities of character counts are kept for characters hashed into so many classes.
 CLASSES = 61
 
@@ -46,63 +62,129 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
 
-def segment_hashes(edits: int) -> Column:
-    """Hashes of the substrings of ``line`` (of ``size`` characters) by which lines within ``edits`` edits meet.
+def _place(doc_id: Column, no: Column, kind: T.DataType) -> Column:
+    """What orders places, null ids first: one number for ids that are whole numbers, so that the least of them is a hash aggregate."""
+    if not isinstance(kind, T.IntegralType):
+        return F.struct(doc_id.alias("doc_id"), no.alias("no"))
+    whole = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(f"{-2**63 - 1}").cast("decimal(19,0)"))
+    return (whole * F.lit("2147483648").cast("decimal(10,0)") + no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
-    One rule over a short list of cases (characters fewer, segment, shift); written out case by case it would be
-    too much code for one compiled method.
-    """
-    parts, cases = edits + 1, []
+
+def _of_place(at: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """Document and line number of a place."""
+    if not isinstance(kind, T.IntegralType):
+        return at.getField("doc_id"), at.getField("no")
+    wide = F.lit("2147483648").cast("decimal(10,0)")
+    no = F.pmod(at, wide).cast("int")
+    doc_id = F.call_function("div", (at - no.cast("decimal(10,0)")).cast("decimal(38,0)"), wide)
+    return F.when(at >= F.lit(f"{-2**94}").cast("decimal(38,0)"), doc_id).cast(kind), no
+
+
+def _begin(segment: str, size: str, parts: int) -> str:
+    """Characters before a segment: the first ones have the base length, the last ``size % parts`` one character more."""
+    return f"({segment} * ({size} div {parts}) + greatest(0, {segment} - {parts} + {size} % {parts}))"
+
+
+def segment_cases(edits: int) -> str:
+    """Characters fewer, segment, shift: the substrings by which lines within ``edits`` edits meet."""
+    cases = []
     for less in range(edits + 1):
-        for i in range(parts):
+        for i in range(edits + 1):
             low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
             # equal lengths meet in one direction: the other line has the opposite shift
             cases += [f"struct({less} as less, {i} as i, {shift} as shift)" for shift in range(0 if less == 0 else low, high + 1)]
-    # the first segments have the base length, the last ``n % parts`` one character more
-    longer = f"greatest(0, c.i - {parts} + (size - c.less) % {parts})"
-    width = f"((size - c.less) div {parts} + if(c.i >= {parts} - (size - c.less) % {parts}, 1, 0))"
-    begin = f"(c.i * ((size - c.less) div {parts}) + {longer} + c.shift + 1)"
-    return F.expr(
-        f"array_distinct(transform(array({', '.join(cases)}), c -> xxhash64(size - c.less, c.i,"
-        f" substring(line, cast({begin} as int), cast({width} as int)))))")
+    return f"array({', '.join(cases)})"
+
+
+def fine_cases(edits: int) -> str:
+    """Characters fewer, number of a choice of ``edits`` segments, and the runs of the other segments with their shifts."""
+    parts, cases = edits + FINE, {}
+    for chosen, less in product(enumerate(combinations(range(parts), edits)), range(edits + 1)):
+        no, out = chosen
+        edges = [-1, *out, parts]
+        for shifts in product(range(-edits, edits + 1), repeat=edits - 1):
+            shifts = (0, *shifts, less)
+            if sum(abs(a - b) for a, b in zip(shifts, shifts[1:])) > edits:
+                continue
+            runs = tuple((a + 1, b, shift) for a, b, shift in zip(edges, edges[1:], shifts) if b - a > 1)
+            moved = [shift for *_, shift in runs if shift]
+            if less or not moved or moved[0] > 0:  # equal lengths meet in one direction
+                cases[less, no, runs] = None
+    texts = (f"struct({less} as less, {no} as no, array({', '.join(f'struct({a} as a, {b} as b, {s} as s)' for a, b, s in runs)}) as runs)"
+             for less, no, runs in cases)
+    return f"array({', '.join(texts)})"
+
+
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``key`` beside the columns of ``lines``: a row for each hash by which ``line`` (of ``size`` characters) may meet others."""
+    begin, end = _begin("c.i", "(size - c.less)", edits + 1), _begin("(c.i + 1)", "(size - c.less)", edits + 1)
+    # a row for each case first: the hash is then plain compiled code
+    return lines.withColumn("c", F.explode(F.expr(segment_cases(edits)))).withColumn("key", F.expr(
+        f"xxhash64(size - c.less, c.i, substring(line, cast({begin} + c.shift + 1 as int), cast({end} - {begin} as int)))")).drop("c")
+
+
+def fine_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``key`` beside the columns of ``lines``: a row for each hash of all segments but ``edits`` of them."""
+    begin, end = _begin("r.a", "(size - c.less)", edits + FINE), _begin("r.b", "(size - c.less)", edits + FINE)
+    return lines.withColumn("c", F.explode(F.expr(fine_cases(edits)))).withColumn("key", F.expr(
+        "xxhash64(size - c.less, c.no, transform(c.runs, r ->"
+        f" substring(line, cast({begin} + r.s + 1 as int), cast({end} - {begin} as int))))")).drop("c")
 
 
 def repeated(lines: DataFrame) -> DataFrame:
-    """``h1, h2, first_id, first_no``: lines that stand at several places, with the earliest."""
+    """``h1, h2, first``: lines that stand at several places, with the earliest."""
+    place = _place(F.col("doc_id"), F.col("no"), lines.schema["doc_id"].dataType)
     return stage(
         lines.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-        .agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        .select("h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.no").alias("first_no")), "lines-repeated")
-
-
-def _first_places(lines: DataFrame, again: DataFrame, *columns) -> DataFrame:
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "no", *columns)
-    return hashed.join(again, ["h1", "h2"], "left").where("first_no is null or (doc_id <=> first_id and no = first_no)")
-
-
-def candidates(lines: DataFrame, again: DataFrame, edits: int) -> DataFrame:
-    """``key, n, at, head``: the places of different lines that share a hash, with the earliest of them."""
-    parts = (
-        _first_places(lines, again, segment_hashes(edits).alias("keys"))
-        .select(F.explode("keys").alias("key"), F.struct("doc_id", "no").alias("at"))
-        # the join below asks for this filter: given here, heads and join are made from one and the same shuffle
-        .where("key is not null").repartition("key")
+        .agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "lines-repeated")
+
+
+def candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """``key, at, head``: the first places of different lines that share a hash, with the earliest of them."""
+    places = lines.select(
+        "doc_id", "line", "size", F.xxhash64("line").alias("h1"),
+        _place(F.col("doc_id"), F.col("no"), lines.schema["doc_id"].dataType).alias("at"))
+    looked_at = stage(
+        segment_keys(places.where(F.pmod(F.xxhash64("doc_id", F.lit("looked at")), F.lit(LOOKED_AT)) == 0), edits)
+        .groupBy("key").agg(F.count("*").alias("n")), "line-keys-looked-at")
+    total = looked_at.agg(F.sum("n")).first()[0] or 0
+    # at most HOT rows, whatever the table
+    hot = looked_at.where(F.col("n") >= max(LOOKED_AT, -(-total // HOT))).select("key", F.lit(True).alias("hot"))
+    dealt = (
+        segment_keys(places, edits).select("key", "h1", "at").join(F.broadcast(hot), "key", "left")
+        .withColumn("share", F.when(F.col("hot"), F.pmod(F.hash("at"), F.lit(SHARES)) + 1).otherwise(0))
     )
-    heads = parts.groupBy("key").agg(F.min("at").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return stage(parts.join(heads, "key").select("key", "n", "at", "head"), "line-candidates")
+    group = Window.partitionBy("key", "share")
+    met = stage(
+        dealt.select("key", "share", "h1", "at", F.min("at").over(group).alias("head"),
+                     F.min("h1").over(group).alias("low"), F.max("h1").over(group).alias("high"))
+        .where("share > 0 or low <> high"), "lines-met")
+    # as many rows as hashes that are dealt
+    joined = met.where("share > 0").groupBy("key").agg(
+        F.min("head").alias("first"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
+    return stage(
+        met.join(F.broadcast(joined), "key", "left").where("share = 0 or lowest <> highest")
+        # the copies of a line share all of its hashes: it goes on once, by its first place
+        .groupBy("key", "h1").agg(F.min("at").alias("at"), F.min(F.coalesce("first", "head")).alias("head"))
+        .select("key", "at", "head"), "line-candidates")
 
 
 def fetched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``at, line, chars, parity`` of the lines at ``places``."""
-    wanted = places.groupBy(F.col("at.doc_id").alias("want_id")).agg(F.collect_set("at.no").alias("nos"))
+    """``at, line, size, parity`` of the lines at ``places``."""
+    kind = docs.schema[id_col].dataType
+    doc_id, no = _of_place(F.col("at"), kind)
+    # which lines are asked for grows with the documents, so the texts are joined in one way at every size
+    wanted = stage(places.select(doc_id.alias("want_id"), no.alias("no")).groupBy("want_id").agg(
+        F.collect_set("no").alias("nos")), "lines-wanted").hint("merge")
     parity = F.aggregate("chars", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(_bit(c)))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n", -1).alias("all"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return stage(
         texts.join(wanted, F.expr("doc_id <=> want_id"))
+        .select("doc_id", "nos", F.split("text", "\n", -1).alias("all"))
         .select("doc_id", F.explode(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get("all", n).alias("line")))).alias("x"))
-        .select(F.struct("doc_id", "x.no").alias("at"), trimmed(F.col("x.line")).alias("line"))
-        .where(F.length("line") >= MIN_CHARS).distinct()
-        .withColumn("chars", F.split("line", "")).withColumn("parity", parity).select("at", "line", "parity"), "line-texts")
+        .select(_place(F.col("doc_id"), F.col("x.no"), kind).alias("at"), trimmed(F.col("x.line")).alias("line"))
+        .withColumn("size", F.length("line")).where(F.col("size") >= MIN_CHARS).distinct()
+        .withColumn("chars", F.split("line", "")).withColumn("parity", parity).select("at", "line", "size", "parity"), "line-texts")
 
 
 def _bit(c: Column) -> Column:
@@ -144,37 +226,62 @@ def near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``at``: those of the pairs ``at, other`` whose lines are within ``edits`` edits."""
     one = texts.select("at", F.col("line").alias("one"), F.col("parity").alias("one_parity"))
     two = texts.select(F.col("at").alias("other"), F.col("line").alias("two"), F.col("parity").alias("two_parity"))
-    return (
+    return stage(
         pairs.distinct().join(one, "at").join(two, "other")
         .where(F.bit_count(F.col("one_parity").bitwiseXOR(F.col("two_parity"))) <= 2 * edits)
-        .where(within("one", "two", edits)).select("at").distinct()
-    )
+        .where(within("one", "two", edits)).select("at").distinct(), "lines-near")
 
 
-def near_places(docs: DataFrame, lines: DataFrame, again: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
-    """``doc_id, no`` of different lines that an earlier line is near to."""
-    found = candidates(lines, again, edits)
-    texts = fetched(docs, found.select("at"), id_col, text_col)
-    by_head = stage(near(found.where("at <> head").select("at", F.col("head").alias("other")), texts, edits), "lines-near")
-    known = texts.select("at", F.length("line").alias("size"), "parity")
-    group = found.where("n > 2 and at <> head").select("key", "at").join(known, "at")
-    left = group.join(by_head, "at", "left_anti")
-    earlier = group.select("key", F.col("at").alias("other"), F.col("size").alias("other_size"), F.col("parity").alias("other_parity"))
-    pairs = left.join(earlier, "key").where(
+def earlier(members: DataFrame, edits: int) -> DataFrame:
+    """``at, other``: open members (``key, at, open, size, parity``) with earlier ones of their group that may be near."""
+    others = members.select("key", F.col("at").alias("other"), F.col("size").alias("other_size"), F.col("parity").alias("other_parity"))
+    return members.where("open").join(others, "key").where(
         (F.col("other") < F.col("at")) & (F.abs(F.col("size") - F.col("other_size")) <= edits)
         & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2 * edits)).select("at", "other")
-    return by_head.unionByName(near(pairs, texts, edits)).select("at.doc_id", "at.no").distinct()
+
+
+def still_open(members: DataFrame, settled: DataFrame) -> DataFrame:
+    """``members`` (``key, at``) of groups of two or more with a member that is not ``settled``; ``open`` marks those, ``n`` counts."""
+    marked = stage(members.join(settled.withColumn("settled", F.lit(True)), "at", "left").select(
+        "key", "at", F.col("settled").isNull().alias("open")), "line-members")
+    groups = marked.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1")
+    return marked.join(groups.select("key", "n"), "key")
+
+
+def near_places(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
+    """``doc_id, no`` of different lines that an earlier line is near to."""
+    found = candidates(lines, edits)
+    texts = fetched(docs, found.select("at"), id_col, text_col)
+    known = texts.select("at", "size", "parity")
+    others = found.where("at <> head")
+    by_head = near(others.select("at", F.col("head").alias("other")), texts, edits)
+
+    left = stage(still_open(others.select("key", "at"), by_head).join(known, "at"), "lines-open")
+    by_few = near(earlier(left.where(F.col("n") <= FEW), edits), texts, edits)
+
+    settled = by_head.unionByName(by_few).distinct()
+    large = left.where(F.col("n") > FEW).select("at").distinct().join(texts.select("at", "line", "size"), "at")
+    fine = stage(fine_keys(large, edits).select("key", "at").distinct(), "line-fine-keys")
+    heads = fine.groupBy("key").agg(F.min("at").alias("head"), F.max("at").alias("last")).where("head <> last").select("key", "head")
+    agreed = fine.join(heads, "key").where("at <> head")
+    by_fine = near(agreed.join(settled, "at", "left_anti").select("at", F.col("head").alias("other")), texts, edits)
+    rest = still_open(agreed.select("key", "at"), settled.unionByName(by_fine).distinct()).join(known, "at")
+    by_rest = near(earlier(rest, edits), texts, edits)
+
+    doc_id, no = _of_place(F.col("at"), docs.schema[id_col].dataType)
+    every = by_head.unionByName(by_few).unionByName(by_fine).unionByName(by_rest)
+    return every.distinct().select(doc_id.alias("doc_id"), no.alias("no"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
             exact_from: int = MIN_CHARS) -> DataFrame:
     """``doc_id, no, near``: the places of lines that go; ``near`` tells an edited line from a repeated one."""
     lines = split_lines(docs, id_col, text_col, exact_from)
-    again = repeated(lines)
-    close = near_places(docs, lines.where(F.col("size") >= MIN_CHARS), again, id_col, text_col, edits)
+    close = near_places(docs, lines.where(F.col("size") >= MIN_CHARS), id_col, text_col, edits)
+    place = _place(F.col("doc_id"), F.col("no"), docs.schema[id_col].dataType)
     same = (
-        lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "no")
-        .join(again, ["h1", "h2"]).where("not (doc_id <=> first_id and no = first_no)").select("doc_id", "no")
+        lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "no", place.alias("at"))
+        .join(repeated(lines).hint("merge"), ["h1", "h2"]).where("at <> first").select("doc_id", "no")
     )
     return stage(same.withColumn("near", F.lit(False)).unionByName(close.withColumn("near", F.lit(True))).distinct(), "lines-dropped")
 
@@ -190,13 +297,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
         F.sort_array(F.collect_set("no")).alias("gone_nos"),
         F.count_if(~F.col("near")).alias("n_same"), F.count_if("near").alias("n_near"))
     lost = stage(by_doc, "lines-by-document")
-    kept = (
-        f"case when gone_nos is null then `{text_col}` else array_join(transform(array_except("
-        f"sequence(0, size(split(`{text_col}`, '\\n', -1)) - 1), gone_nos), i -> split(`{text_col}`, '\\n', -1)[i]), '\\n') end"
-    )
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("whole"), F.col(id_col).alias("own_id")).join(
-        lost.select("gone_id", "gone_nos"), F.expr("own_id <=> gone_id"), "left")
+        lost.select("gone_id", "gone_nos").hint("merge"), F.expr("own_id <=> gone_id"), "left")
     text = F.col("whole").getField(text_col)
     parts = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_nos"))

@@ -118,3 +118,40 @@ def test_query_drops_short_repeats_but_compares_only_long_lines_by_edits(spark,
     got = {r["doc_id"]: (r["n_chars_kept"], r["n_same"], r["n_near"]) for r in QUERIES["op5_line_dedup"](spark, folder).collect()}
     assert {d: v for d, v in got.items() if v != want[d]} == {} and len(got) == len(rows)
     assert got[51] == (0, 1, 0) and sum(n for _, _, n in got.values()) > 0
+
+
+def test_large_groups_and_shared_hashes_drop_what_the_rule_drops(spark, monkeypatch):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)) + "z" for n in (24, 31, 60)]
+    rows = [(i, "\n".join("q" + edited(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(rng.randint(1, 3)))) for i in range(90)]
+    rows += [(None, "q" + base[0]), (-2**63, "q" + base[1]), (2**63 - 1, "q" + base[2] + "\nq" + base[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len(want[1]) > 40
+    monkeypatch.setattr(lines, "FEW", 1)
+    for shared in (False, True):
+        if shared:  # every hash that three rows share is dealt
+            monkeypatch.setattr(lines, "LOOKED_AT", 1)
+            monkeypatch.setattr(lines, "HOT", 10**9)
+        got = {(r["doc_id"], r["no"]): r["near"] for r in lines.dropped(docs).collect()}
+        assert {p for p, n in got.items() if not n} == want[0]
+        assert {p for p, n in got.items() if n} == want[1]
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("b", "a line that stands twice, nearly"), ("a", "a line that stands twice, neatly"), (None, "another that stands here alone"),
+            ("c", "a line that stands twice, neatly")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, lines.dropped(docs).collect())) == [("b", 0, True), ("c", 0, False)]
+
+
+def test_near_lines_share_a_fine_hash(spark):
+    rng = random.Random(7)
+    for edits in (1, 2, 3):
+        rows = []
+        for k in range(120):
+            a = "".join(rng.choice("abc") for _ in range(rng.randint(20, 45)))
+            rows += [(k, 0, a), (k, 1, edited(rng, a, edits, "abc"))]
+        table = spark.createDataFrame(rows, "k int, side int, line string").withColumn("size", F.length("line"))
+        met = {r["k"] for r in lines.fine_keys(table, edits).groupBy("k", "key").agg(F.countDistinct("side").alias("n")).where("n = 2").collect()}
+        assert met == set(range(120)), edits
