@@ -28,6 +28,7 @@ null ids come first; empty tables give empty results. Only the two named columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,6 +81,11 @@ def _of_place(at: Column, kind: T.DataType) -> tuple[Column, Column]:
     return F.when(at >= F.lit(f"{-2**94}").cast("decimal(38,0)"), doc_id).cast(kind), no
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, where a lambda inside it would work it out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _begin(segment: str, size: str, parts: int) -> str:
     """Characters before a segment: the first ones have the base length, the last ``size % parts`` one character more."""
     return f"({segment} * ({size} div {parts}) + greatest(0, {segment} - {parts} + {size} % {parts}))"
@@ -131,12 +137,13 @@ def fine_keys(lines: DataFrame, edits: int) -> DataFrame:
         f" substring(line, cast({begin} + r.s + 1 as int), cast({end} - {begin} as int))))")).drop("c")
 
 
-def repeated(lines: DataFrame) -> DataFrame:
-    """``h1, h2, first``: lines that stand at several places, with the earliest."""
-    place = _place(F.col("doc_id"), F.col("no"), lines.schema["doc_id"].dataType)
-    return stage(
-        lines.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-        .agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "lines-repeated")
+def repeats(lines: DataFrame) -> DataFrame:
+    """``doc_id, no``: places of lines that stand at an earlier place too."""
+    hashed = stage(lines.select(
+        F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "no",
+        _place(F.col("doc_id"), F.col("no"), lines.schema["doc_id"].dataType).alias("at")), "line-hashes")
+    again = stage(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-repeated")
+    return hashed.join(again.hint("merge"), ["h1", "h2"]).where("at <> first").select("doc_id", "no")
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
@@ -278,12 +285,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     """``doc_id, no, near``: the places of lines that go; ``near`` tells an edited line from a repeated one."""
     lines = split_lines(docs, id_col, text_col, exact_from)
     close = near_places(docs, lines.where(F.col("size") >= MIN_CHARS), id_col, text_col, edits)
-    place = _place(F.col("doc_id"), F.col("no"), docs.schema[id_col].dataType)
-    same = (
-        lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "no", place.alias("at"))
-        .join(repeated(lines).hint("merge"), ["h1", "h2"]).where("at <> first").select("doc_id", "no")
-    )
-    return stage(same.withColumn("near", F.lit(False)).unionByName(close.withColumn("near", F.lit(True))).distinct(), "lines-dropped")
+    return stage(repeats(lines).withColumn("near", F.lit(False)).unionByName(close.withColumn("near", F.lit(True))).distinct(), "lines-dropped")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
@@ -301,10 +303,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     inner = docs.select(F.struct(*names).alias("whole"), F.col(id_col).alias("own_id")).join(
         lost.select("gone_id", "gone_nos").hint("merge"), F.expr("own_id <=> gone_id"), "left")
     text = F.col("whole").getField(text_col)
-    parts = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_nos"))
-    rebuilt = F.when(F.col("gone_nos").isNull(), text).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    rebuilt = F.when(F.col("gone_nos").isNull(), text).otherwise(_bound(F.split(text, "\n", -1), lambda parts: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_nos")), lambda i: F.get(parts, i)), "\n")))
     if not keep_emptied:
         inner = inner.withColumn("rebuilt", rebuilt).where(F.col("gone_nos").isNull() | F.col("rebuilt").rlike(r"\S"))
         rebuilt = F.col("rebuilt")
