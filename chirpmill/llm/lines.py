@@ -14,8 +14,8 @@ line. Groups of ``FEW`` lines are then joined with themselves for the lines that
 groups are cut again, into ``t + FINE`` segments: t edits leave ``FINE`` of them as they are, so two near lines agree
 in all but some t segments (those in between moved by what the edits before them put in or take out). Lines that agree so
 are groups again, their earliest line is tried first, and only lines that are open after both rounds are joined with
-all earlier ones of such a group. A filter on lengths and on the parities of character counts that no pair within t
-edits fails stands before every pair. Pairs are verified by a bit-parallel edit distance in a band of 2t + 1 diagonals:
+all earlier ones of such a group. Filters that no pair within t edits fails stand before every such pair: on lengths, and on
+the parities of counts of characters and of pairs of neighbours. Pairs are verified by a bit-parallel edit distance in a band of 2t + 1 diagonals:
 a column of the band is two words of bits, kept in one number.
 
 Hashes that very many lines share are seen in a sample of the documents, which decides nothing but how the rows of such a
@@ -199,6 +199,15 @@ def _bit(c: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(CLASSES)).cast("int"))
 
 
+def neighbour_parity(line: Column) -> Column:
+    """Parities of counts of neighbouring characters, hashed into 64 classes; an edit changes four of them at most."""
+    return _bound(F.split(line, ""), lambda chars: F.aggregate(
+        F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.when(
+            b.isNull(), F.lit(0).cast("long")).otherwise(
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(a, b), F.lit(64)).cast("int")))),
+        F.lit(0).cast("long"), lambda bits, bit: bits.bitwiseXOR(bit)))
+
+
 def _bits(k: int) -> tuple[int, int]:
     return 2 * k + 1, (1 << (2 * k + 1)) - 1
 
@@ -240,11 +249,12 @@ def near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def earlier(members: DataFrame, edits: int) -> DataFrame:
-    """``at, other``: open members (``key, at, open, size, parity``) with earlier ones of their group that may be near."""
-    others = members.select("key", F.col("at").alias("other"), F.col("size").alias("other_size"), F.col("parity").alias("other_parity"))
+    """``at, other``: open members (``key, at, open, size, parity, beside``) with earlier ones of their group that may be near."""
+    others = members.select("key", *[F.col(c).alias(f"other_{c}") for c in ("at", "size", "parity", "beside")])
     return members.where("open").join(others, "key").where(
-        (F.col("other") < F.col("at")) & (F.abs(F.col("size") - F.col("other_size")) <= edits)
-        & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2 * edits)).select("at", "other")
+        (F.col("other_at") < F.col("at")) & (F.abs(F.col("size") - F.col("other_size")) <= edits)
+        & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2 * edits)
+        & (F.bit_count(F.col("beside").bitwiseXOR(F.col("other_beside"))) <= 4 * edits)).select("at", F.col("other_at").alias("other"))
 
 
 def still_open(members: DataFrame, settled: DataFrame) -> DataFrame:
@@ -259,15 +269,17 @@ def near_places(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, e
     """``doc_id, no`` of different lines that an earlier line is near to."""
     found = candidates(lines, edits)
     texts = fetched(docs, found.select("at"), id_col, text_col)
-    known = texts.select("at", "size", "parity")
     others = found.where("at <> head")
     by_head = near(others.select("at", F.col("head").alias("other")), texts, edits)
 
-    left = stage(still_open(others.select("key", "at"), by_head).join(known, "at"), "lines-open")
+    members = stage(still_open(others.select("key", "at"), by_head), "lines-open")
+    known = stage(texts.join(members.select("at").distinct(), "at", "left_semi").select(
+        "at", "size", "parity", neighbour_parity(F.col("line")).alias("beside")), "line-parities")
+    left = members.join(known, "at")
     by_few = near(earlier(left.where(F.col("n") <= FEW), edits), texts, edits)
 
     settled = by_head.unionByName(by_few).distinct()
-    large = left.where(F.col("n") > FEW).select("at").distinct().join(texts.select("at", "line", "size"), "at")
+    large = members.where(F.col("n") > FEW).select("at").distinct().join(texts.select("at", "line", "size"), "at")
     fine = stage(fine_keys(large, edits).select("key", "at").distinct(), "line-fine-keys")
     heads = fine.groupBy("key").agg(F.min("at").alias("head"), F.max("at").alias("last")).where("head <> last").select("key", "head")
     agreed = fine.join(heads, "key").where("at <> head")

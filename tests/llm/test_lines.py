@@ -155,3 +155,15 @@ def test_near_lines_share_a_fine_hash(spark):
         table = spark.createDataFrame(rows, "k int, side int, line string").withColumn("size", F.length("line"))
         met = {r["k"] for r in lines.fine_keys(table, edits).groupBy("k", "key").agg(F.countDistinct("side").alias("n")).where("n = 2").collect()}
         assert met == set(range(120)), edits
+
+
+def test_an_edit_changes_four_parities_of_neighbours_at_most(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdé") for _ in range(rng.randint(3, 60)))
+        edits = rng.randint(0, 3)
+        rows.append((a, edited(rng, a, min(edits, len(a) - 2)), edits))
+    differ = F.bit_count(lines.neighbour_parity(F.col("a")).bitwiseXOR(lines.neighbour_parity(F.col("b"))))
+    got = spark.createDataFrame(rows, "a string, b string, edits int").select("edits", differ.alias("n")).collect()
+    assert all(r["n"] <= 4 * r["edits"] for r in got) and any(r["n"] for r in got)
