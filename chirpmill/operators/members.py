@@ -64,7 +64,7 @@ def fit_word_vectors(train: DataFrame, words: list[str], size: int = VECTOR_SIZE
     They follow from the rows and the seed alone. A row counts as often as it is in ``train``.
     """
     known = Dictionary({w: i + 1 for i, w in enumerate(words)})
-    ids = train.select(known.ids_of(F.col("tokens"), unknown=0).alias("sequence"))
+    ids = train.select(known.numbers_of(F.col("tokens"), unknown=0).alias("sequence"))
     rows = word_vectors.information(word_vectors.cooccurrence(ids))
     named = [UNKNOWN, *words]
     vectors = word_vectors.fitted(rows, len(named), size, seed)
@@ -92,7 +92,7 @@ def fitted_grams(train: DataFrame, words: list[str], keys: tuple[str, ...] = ("p
                  most: int = ngrams.MOST) -> dict[int, list[str]]:
     """The frequent runs of known words in the train rows by their size: at most ``most`` of each on the driver."""
     known = Dictionary({w: i + OOV_ID + 1 for i, w in enumerate(words)})
-    ids = train.select(*keys, known.ids_of(F.col("tokens")).alias("sequence"))
+    ids = train.select(*keys, known.numbers_of(F.col("tokens")).alias("sequence"))
     return ngrams.most_frequent(ngrams.frequent(ids, keys=keys, least=least), words, OOV_ID + 1, most)
 
 
@@ -175,11 +175,15 @@ def fit_members(train: DataFrame, pipelines: dict[int, Pipeline], kept_in: str |
 def predict_proba(df: DataFrame, models: dict[int, PipelineModel], keep: list[str]) -> DataFrame:
     """Probabilities of all members beside each other: one pass over the rows, no shuffle.
 
-    Each member gives as many as it has learnt classes.
+    Each member gives as many as it has learnt classes. Where all open with the same look-up of words, it is done once.
     """
+    opening = [model.stages[0] for model in models.values()]
+    shared = all(isinstance(s, SQLTransformer) for s in opening) and len({s.getStatement() for s in opening}) == 1
+    if shared:
+        df = opening[0].transform(df)
     for m, model in models.items():
         before = df.columns
-        scored = model.transform(df)
+        scored = (PipelineModel(model.stages[1:]) if shared else model).transform(df)
         probs = vector_to_array(f"probability_{m}")
         df = scored.withColumn(f"probs_{m}", probs).select(*before, f"probs_{m}")
     return df.select(*keep, *[F.get(f"probs_{m}", F.lit(k)).alias(_p(m, k)) for m, model in models.items() for k in range(model.stages[-1].numClasses)])

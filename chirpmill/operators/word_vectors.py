@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +27,55 @@ WINDOW = 5
 #: The least common multiple of the distances.
 NEAR = 60
 ROUNDS = 5
+#: Words whose pairs a task holds at once: some 100 MB.
+PLACES = 1 << 19
 
 
 def cooccurrence(df: DataFrame, sequence: str = "sequence", times: str | None = None, window: int = WINDOW) -> DataFrame:
-    """``(a, b, n)`` for ids ``a <= b``: how near and how often they stand together; ``times`` says how often a row counts."""
+    """``(a, b, n)`` for ids ``a <= b``, none below 0: how near and how often they stand together; ``times`` says how often a row counts.
+
+    A task adds up the pairs of ``PLACES`` words at a time before Spark sums them.
+    """
     if NEAR % np.lcm.reduce(np.arange(1, window + 1)):
         raise ValueError(f"{NEAR} is not divided by all distances up to {window}")
-    ids = F.col(sequence)
-    pairs = F.flatten(F.transform(ids, lambda x, i: F.transform(
-        F.slice(ids, i + 2, F.lit(window)), lambda y, d: F.struct(
-            F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.lit(NEAR) / (d + 1)).cast("long").alias("near")))))
+
+    def opened(ids, known, row, often, start, end):
+        # pairs that open at the places from start to end of rows laid behind each other
+        near, far, n = [], [], []
+        for d in range(1, window + 1):
+            x = np.arange(start, min(end, len(ids) - d))
+            x = x[row[x] == row[x + d]]
+            y = x + d
+            # a place without an id stands for the other one
+            x, y = np.where(known[x], x, y), np.where(known[y], y, x)
+            near.append(np.minimum(ids[x], ids[y]) << 32 | np.maximum(ids[x], ids[y]))
+            n.append(often[row[x]] * (NEAR // d))
+            far.append(known[x])
+        key, n, known = np.concatenate(near), np.concatenate(n), np.concatenate(far)
+        lost, key, n = n[~known], key[known], n[known]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        key, n = key[first], np.add.reduceat(n[order], first) if len(first) else n
+        a, b, n = pa.array(key >> 32, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()), pa.array(n, pa.int64())
+        if len(lost):
+            a, b, n = (pa.concat_arrays([v, pa.array([w], v.type)]) for v, w in ((a, None), (b, None), (n, lost.sum())))
+        return pa.RecordBatch.from_arrays([a, b, n], names=["a", "b", "n"])
+
+    def pairs(batches):
+        for batch in batches:
+            found = batch.column(1)
+            flat, sizes = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            ids = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            often = batch.column(0).to_numpy(zero_copy_only=False)
+            for start in range(0, len(ids), PLACES):
+                yield opened(ids, known, row, often, start, start + PLACES)
+
     often = F.col(times) if times else F.lit(1)
-    return (
-        df.select(often.cast("long").alias("often"), F.explode(pairs).alias("p"))
-        .groupBy("p.a", "p.b").agg(F.sum(F.col("p.near") * F.col("often")).alias("n")))
+    near = df.select(often.cast("long").alias("often"), F.col(sequence).cast("array<int>")).where("often is not null")
+    return near.mapInArrow(pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def information(counts: DataFrame) -> DataFrame:

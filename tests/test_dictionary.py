@@ -47,3 +47,12 @@ def test_size_and_words_are_checked(spark):
     for odd in ("", "a b", "a\nb"):
         with pytest.raises(ValueError, match="not one word"):
             Dictionary({odd: 1})
+
+
+def test_numbers_are_the_ids_in_fewer_steps(spark, words):
+    known = Dictionary({w: i + 2 for i, w in enumerate(words[::2])})
+    texts = spark.createDataFrame([(words,), ([],), (None,), (["", "a\tb", None, "a"],), (words[::-1],)], "words array<string>").coalesce(1)
+    for unknown in (0, 1):
+        both = texts.select(known.ids_of(F.col("words"), unknown).alias("x"), known.numbers_of(F.col("words"), unknown).alias("y")).collect()
+        assert len(both) == 5 and all(r.x == r.y for r in both)
+    assert texts.select(Dictionary({}).numbers_of(F.col("words")).alias("y")).collect()[3].y == [1] * 4

@@ -34,6 +34,18 @@ def test_counts_by_brute_force(spark):
         word_vectors.cooccurrence(df, window=7)
 
 
+def test_pairs_are_added_up_before_the_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([([1, None, 2, None, None, 3],), (None,), ([],), ([5],), ([2, 2, 2],), ([7, 2**31 - 1],)] * 50, "sequence array<int>")
+    one = word_vectors.cooccurrence(rows.coalesce(1))
+    said = {(r.a, r.b): r.n for r in one.collect()}
+    assert said[2, 2] == 50 * 300 and said[7, 2**31 - 1] == 50 * 60 and (2, 5) not in said
+    # a missing id stands for the other one, two missing for none
+    assert said[1, 2] == 50 * 30 and said[1, 1] == 50 * 95 and said[None, None] == 50 * 110 and len(said) == 8
+    assert "MapInArrow" in one._jdf.queryExecution().executedPlan().toString() and "Generate" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(word_vectors, "PLACES", 3)
+    assert {(r.a, r.b): r.n for r in word_vectors.cooccurrence(rows.coalesce(1)).collect()} == said
+
+
 def test_information_of_both_orders(spark):
     counts = {(0, 0): 3, (0, 1): 10, (1, 2): 4, (0, 2): 1}
     both = Counter()
