@@ -100,3 +100,20 @@ def test_first_best_candidate_is_kept(spark, trained):
     grid = [("a", members.logistic_member(words, reg=0.01)), ("b", members.logistic_member(words, reg=0.02))]
     _, tried = members.select_on_validation(rows, rows, grid, 1)
     assert [(r["candidate"], r["chosen"]) for r in tried.collect()] == [("a", True), ("b", False)]
+
+
+def test_members_look_words_up_once(spark):
+    said = ["good day", "bad day out", "good good day", "", "bad luck day", "so good"]
+    rows = members.with_tokens(spark.createDataFrame(
+        [(i, 0, t, i % 2, 1.0) for i, t in enumerate(said)], "post_id long, draw_no long, cleaned_text string, label_id int, weight double"))
+    words, grams = ["good", "bad", "day"], {2: ["good day", "bad day"]}
+    found = members.fit_members(rows, {1: members.logistic_member(words, max_iter=3), 2: members.ngram_bayes_member(words, grams)})
+    other = members.fit_members(rows, {3: members.ngram_bayes_member(words[:2], grams)})
+    other[3].stages[-1].setProbabilityCol("probability_3").setPredictionCol("prediction_3").setRawPredictionCol("raw_3")
+    for models, looked_up in ((found, 1), ({2: found[2]}, 1), ({1: found[1], 3: other[3]}, 2)):
+        wide = members.predict_proba(rows, models, ["post_id"])
+        assert wide._jdf.queryExecution().executedPlan().toString().count("crc32(") == looked_up
+        got = {r["post_id"]: r for r in wide.collect()}
+        for m, model in models.items():
+            for r in model.transform(rows).collect():
+                assert [got[r["post_id"]][f"m{m}_p{k}"] for k in range(2)] == list(r[f"probability_{m}"])
