@@ -3,13 +3,16 @@
 A text's set holds the 64-bit hashes of its 5-word shingles; equal sets are one class from the start. A set of n shingles
 that is similar enough to another misses at most n / 4 of them there. So, in any order that all sets share, the first
 n / 4 + 1 shingles of two similar sets have one in common. The order used puts rare shingles first, by how many
-sets hold them, counted over all texts for the lowest ``SAMPLE`` of the hashes (and read off nowhere else).
-Sets that share one of these first shingles form a block, and blocks with equal members are one.
+sets hold them. That is done twice: counted over all texts for the lowest ``SAMPLE`` of the hashes (and read off nowhere
+else), which leaves the sets that may be similar to any other, and then over all shingles of these.
+Sets that share one of these first shingles form a block, and blocks with equal members are one. Two sets whose first shared
+shingle stands behind others in their lists cannot share those, which bounds the size that a partner can have (``most``).
 
 In each block a signature tree is walked. A member's signature is a bitmap of its shingles with its size; inner nodes
-hold the OR of the bitmaps below them and the range of sizes. Node pairs are kept only while the largest possible
-overlap (common bits, and the most shingles that can hide behind shared bits) reaches what their least sizes demand, and
-while they hold members of different components. First, though, every member is compared with the block's
+hold the OR of the bitmaps below them, the range of sizes and the largest ``most``. Node pairs are kept only while the
+largest possible overlap (common bits, and the most shingles that can hide behind shared bits) reaches what their least sizes
+demand, and while they hold members of different components. Members of a pair of leaves are compared by the same tests in
+one row. First, though, every member is compared with the block's
 centre, the member that shares most: copies of one original are tied together by that, so the walk afterwards only
 has what lies apart, and a block of any size costs a row a member. Pairs that remain are verified on the whole sets.
 
@@ -169,31 +172,88 @@ def sets(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFra
     return made
 
 
-def blocks(docs: DataFrame, made: DataFrame, text_col: str, bits: int = 64) -> DataFrame:
-    """``block, sid, n, shared``: sets that share one of their first shingles; blocks with equal members are one."""
-    # those of ``sets`` that go by their second digest, at most as many as it allows
-    renamed = np.array([r[0] for r in made.where("sid = second").select("second").distinct().collect()], np.int64)
-    # the join below asks for this filter: given here, counts and join are made from one and the same shuffle
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sent_rows(bits, renamed), "token bigint, sid bigint").where(
-        "token is not null").repartition("token")
+def _first_shingles(sent: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``sid, n, sent, shared, alone, list``: the first shingles of each set in the common order, those that no other set has left out.
+
+    ``sent`` is ``token, sid`` in one shuffle by ``token``, ``sizes`` is ``sid, n, sent``; ``alone`` counts what is left out.
+    """
     held = sent.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
     common = sent.join(held, "token")
     lists = common.groupBy("sid").agg(F.collect_set(F.struct("df", "token")).alias("list"))
-    sizes = made.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sent").alias("sent"))
     # shingles that no other set has come first in the order, so they use up places
     places = F.when(F.col("sent") < 0, F.size("list")).otherwise(
         F.expr("n div 4 + 1") - (F.col("sent") - F.size("list")))
-    first = stage(
+    return (
         lists.join(sizes, "sid").withColumn("places", places.cast("int")).where("places > 0")
-        .select("sid", "n", (F.size("list") / F.abs("sent")).alias("shared"),
-                F.slice(F.sort_array("list"), F.lit(1), F.col("places")).alias("list")), "first-shingles")
-    members = first.select("sid", "n", "shared", F.explode("list.token").alias("token"))
+        .select("sid", "n", "sent", (F.size("list") / F.abs("sent")).alias("shared"), (F.col("sent") - F.size("list")).alias("alone"),
+                F.slice(F.sort_array("list"), F.lit(1), F.greatest("places", F.lit(0))).alias("list"))
+    )
+
+
+def _by_token(rows: DataFrame) -> DataFrame:
+    """The rows in one shuffle: the joins that follow ask for this filter, so given here it is not made twice."""
+    return rows.where("token is not null and sid is not null").repartition("token")
+
+
+def asked(docs: DataFrame, made: DataFrame, text_col: str, bits: int = 64) -> DataFrame:
+    """``sid`` of sets that share one of their first shingles with another, as far as the sampled shingles tell."""
+    # those of ``sets`` that go by their second digest, at most as many as it allows
+    renamed = np.array([r[0] for r in made.where("sid = second").select("second").distinct().collect()], np.int64)
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sent_rows(bits, renamed), "token bigint, sid bigint")
+    sizes = made.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sent").alias("sent"))
+    members = stage(_first_shingles(_by_token(sent), sizes).select("sid", F.explode("list.token").alias("token")), "first-shingles")
+    met = members.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("token")
+    return stage(members.join(met, "token", "left_semi").select("sid").distinct(), "sets-asked")
+
+
+def _token_rows(batches):
+    for batch in batches:
+        held, size = [], 0
+        for i, (sid, tokens) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            held.append((sid, np.frombuffer(tokens.as_buffer(), np.int64)))
+            size += len(held[-1][1])
+            if size >= 1 << 18 or i + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([t for _, t in held])), pa.array(np.repeat([s for s, _ in held], [len(t) for _, t in held]))],
+                    names=["token", "sid"])
+                held, size = [], 0
+
+
+def whole_sets(docs: DataFrame, made: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """``sid, n, bits, hidden, tokens`` of the sets that may be similar to another, from one text of each."""
+    source = made.join(asked(docs, made, text_col, bits), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("of"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return stage(
+        texts.join(stage(source, "set-sources").hint("merge"), F.expr("doc_id <=> of")).select("sid", "text")
+        .mapInArrow(_whole_rows, "sid bigint, n bigint, bits array<bigint>, hidden bigint, tokens binary"), "whole-sets")
+
+
+def blocks(docs: DataFrame, made: DataFrame, text_col: str, bits: int = 64, id_col: str = "doc_id", whole: DataFrame | None = None) -> DataFrame:
+    """``block, sid, n, shared, most``: sets that share one of their first shingles; blocks with equal members are one.
+
+    All shingles of the ``whole`` sets that were asked for are counted. What stands before the shared shingle in a set's list is not in the other set, so
+    that one has ``most`` shingles at most if it is similar enough and the two do not meet in an earlier block.
+    """
+    if whole is None:
+        whole = whole_sets(docs, made, id_col, text_col, bits)
+    sent = whole.select("sid", "tokens").mapInArrow(_token_rows, "token bigint, sid bigint")
+    first = stage(_first_shingles(_by_token(sent), whole.select("sid", "n", F.col("n").alias("sent"))), "first-shingles")
+    members = first.select("sid", "n", "shared", "alone", F.posexplode("list").alias("place", "x")).select(
+        "sid", "n", "shared", "x.df", "x.token", most_of(F.col("n"), F.col("alone") + F.col("place")).alias("most"))
     prints = members.groupBy("token").agg(
+        F.first("df").alias("df"),
         F.count("*").alias("many"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("p1"),
         F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("p2")).where("many > 1")
-    kept = prints.groupBy("many", "p1", "p2").agg(F.min("token").alias("token")).select("token")
-    return stage(members.join(kept, "token").withColumnRenamed("token", "block"), "blocks")
+    # of blocks with equal members the first in the common order, where ``most`` is largest
+    kept = prints.groupBy("many", "p1", "p2").agg(F.min(F.struct("df", "token")).alias("x")).select("x.token")
+    return stage(members.drop("df").join(kept, "token").withColumnRenamed("token", "block"), "blocks")
+
+
+def most_of(n: Column, before: Column) -> Column:
+    """The most shingles of a similar set, for a set of ``n`` that holds ``before`` of them that are not in the other."""
+    low, full = SHARE
+    return F.call_function("div", (n - before) * (low + full) - n * low, F.lit(low).cast("bigint"))
 
 
 def may_overlap(common: Column, hidden: Column, least_a: Column, least_b: Column) -> Column:
@@ -223,59 +283,96 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that are similar enough, by signature and then by their whole sets."""
+def likely(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that their signatures allow to be similar enough."""
     sign = lambda name: whole.select(*[F.col(c).alias(c if c == name else f"{c}_{name}") for c in ("n", "bits", "hidden")], F.col("sid").alias(name))
-    likely = stage(
+    return stage(
         pairs.distinct().join(sign("a"), "a").join(sign("b"), "b")
         .where(sizes_fit("n_a", "n_a", "n_b", "n_b"))
         .where(may_overlap(common_bits("bits_a", "bits_b"), F.least("hidden_a", "hidden_b"), F.col("n_a"), F.col("n_b")))
         .select("a", "b"), "likely-pairs")
+
+
+def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that are similar enough by their whole sets."""
     return stage(
-        likely.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
+        pairs.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
         .join(whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
         .select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "similar-pairs")
 
 
+def _leaf_side(leaves: pa.Array, row: int) -> tuple[np.ndarray, ...]:
+    leaf = leaves[row].values
+    cells = leaf.field("bits").flatten().to_numpy().reshape(-1, CELLS).view(np.uint64)
+    return *[leaf.field(c).to_numpy() for c in ("sid", "component", "n", "most", "hidden")], cells
+
+
+def _leaf_pairs(batches):
+    """Pairs of members of two leaves that sizes, components, what stands before the shared shingle and signatures allow."""
+    low, full = SHARE
+    for batch in batches:
+        first, second = [], []
+        for row in range(batch.num_rows):
+            a, kin_a, n_a, most_a, hidden_a, bits_a = _leaf_side(batch.column(0), row)
+            b, kin_b, n_b, most_b, hidden_b, bits_b = _leaf_side(batch.column(1), row)
+            fit = (kin_a[:, None] != kin_b) & (n_a[:, None] <= most_b) & (n_b <= most_a[:, None])
+            fit &= (n_a[:, None] * full >= n_b * low) & (n_b * full >= n_a[:, None] * low)
+            i, j = np.nonzero(fit)
+            common = np.zeros(len(i), np.int64)
+            for k in range(CELLS):
+                common += np.bitwise_count(bits_a[i, k] & bits_b[j, k])
+            near = (common + np.minimum(hidden_a[i], hidden_b[j])) * (low + full) >= (n_a[i] + n_b[j]) * low
+            first.append(np.minimum(a[i[near]], b[j[near]]))
+            second.append(np.maximum(a[i[near]], b[j[near]]))
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], names=["a", "b"])
+
+
 def tree_pairs(members: DataFrame, whole: DataFrame) -> DataFrame:
     """``a, b``: members of one block and different components that a walk of the block's tree cannot rule out.
 
-    ``members`` is ``block, sid, component``. Leaves hold members of similar size, and of one component where
-    that has enough of them.
+    ``members`` is ``block, sid, component`` and, where it is known, the ``most`` shingles of a partner. A block of more
+    than a leaf has leaves of members of similar size and ``most``, and of one component where that has enough of them.
     """
+    if "most" not in members.columns:
+        members = members.withColumn("most", F.lit(2**62))
+    members = members.select("block", "sid", "component", "most")
     per = members.groupBy("block", "component").agg(F.count("*").alias("many"))
+    held = members.groupBy("block").agg(F.count("*").alias("held"))
+    band = lambda value: F.floor(F.log(value) / F.log(F.lit(SHARE[1] / SHARE[0]))).cast("int")
     rows = (
-        members.join(per, ["block", "component"]).join(whole.select("sid", "n", "bits", "hidden"), "sid")
-        .withColumn("kin", F.when(F.col("many") >= LEAF, F.col("component")))
-        .withColumn("band", F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0]))).cast("int"))
-        .withColumn("bush", F.xxhash64("band", "kin"))
+        members.join(per, ["block", "component"]).join(held, "block").join(whole.select("sid", "n", "bits", "hidden"), "sid")
+        .withColumn("bush", F.when(F.col("held") > LEAF, F.xxhash64(
+            band("n"), F.when(F.col("many") >= LEAF, F.col("component")),
+            # finer, as a large block of copies of one text has one size
+            F.floor(F.least(F.col("most") / F.col("n"), F.lit(2)) * 16))).otherwise(0))
     )
     counts = rows.groupBy("block", "bush").agg(F.count("*").alias("size"))
     rows = stage(
         rows.join(counts, ["block", "bush"])
         .withColumn("cell", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / LEAF)))
-        .select("block", "bush", "cell", "sid", "component", "n", "bits", "hidden"), "tree-members")
+        .select("block", "bush", "cell", "sid", "component", "n", "most", "bits", "hidden"), "tree-members")
     nodes = rows.groupBy("block", "bush", "cell").agg(
         F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(CELLS)]).alias("bits"), F.max("hidden").alias("hidden"),
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("kin_low"), F.max("component").alias("kin_high"))
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"), F.min("component").alias("kin_low"), F.max("component").alias("kin_high"))
     levels = [stage(nodes, "tree-nodes")]
     while levels[-1].where("cell > 0").head() is not None:
         below = levels[-1].withColumn("cell", F.floor(F.col("cell") / FAN))
         levels.append(stage(below.groupBy("block", "bush", "cell").agg(
             F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(CELLS)]).alias("bits"), F.max("hidden").alias("hidden"),
-            F.min("low").alias("low"), F.max("high").alias("high"),
+            F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"),
             F.min("kin_low").alias("kin_low"), F.max("kin_high").alias("kin_high")), "tree-nodes"))
 
     def side(level: DataFrame, name: str, up: bool) -> DataFrame:
         parent = [F.floor(F.col("cell") / FAN).alias(f"up_{name}")] if up else []
         return level.select("block", *parent, *[F.col(c).alias(f"{c}_{name}") for c in (
-            "bush", "cell", "bits", "hidden", "low", "high", "kin_low", "kin_high")])
+            "bush", "cell", "bits", "hidden", "low", "high", "most", "kin_low", "kin_high")])
 
     def hopeful(pairs: DataFrame) -> DataFrame:
         return (
             pairs.where((F.col("bush_a") < F.col("bush_b")) | ((F.col("bush_a") == F.col("bush_b")) & (F.col("cell_a") <= F.col("cell_b"))))
             .where("not (kin_low_a = kin_high_a and kin_low_b = kin_high_b and kin_low_a = kin_low_b)")
-            .where(sizes_fit("low_a", "high_a", "low_b", "high_b"))
+            .where(sizes_fit("low_a", "high_a", "low_b", "high_b") & (F.col("low_a") <= F.col("most_b")) & (F.col("low_b") <= F.col("most_a")))
             .where(may_overlap(common_bits("bits_a", "bits_b"), F.least("hidden_a", "hidden_b"), F.col("low_a"), F.col("low_b")))
             .select("block", "bush_a", "cell_a", "bush_b", "cell_b")
         )
@@ -286,31 +383,28 @@ def tree_pairs(members: DataFrame, whole: DataFrame) -> DataFrame:
         upper = pairs.withColumnRenamed("cell_a", "up_a").withColumnRenamed("cell_b", "up_b")
         pairs = stage(hopeful(
             upper.join(side(level, "a", True), ["block", "bush_a", "up_a"]).join(side(level, "b", True), ["block", "bush_b", "up_b"])), "tree-pairs")
-    leaf = lambda name: rows.select(
-        "block", *[F.col(c).alias(f"{c}_{name}") for c in ("bush", "cell", "component", "n")], F.col("sid").alias(name))
+    # a row for a leaf, so that a row for a pair of leaves stands for all pairs of their members
+    leaves = rows.groupBy("block", "bush", "cell").agg(F.collect_list(F.struct("sid", "component", "n", "most", "hidden", "bits")).alias("leaf"))
+    leaf = lambda name: leaves.select("block", *[F.col(c).alias(f"{c}_{name}") for c in ("bush", "cell", "leaf")])
     return (
         pairs.join(leaf("a"), ["block", "bush_a", "cell_a"]).join(leaf("b"), ["block", "bush_b", "cell_b"])
-        .where(F.col("component_a") != F.col("component_b")).where(sizes_fit("n_a", "n_a", "n_b", "n_b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .select("leaf_a", "leaf_b").mapInArrow(_leaf_pairs, "a bigint, b bigint").distinct()
     )
 
 
 def links(docs: DataFrame, made: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     """``a, b``: similar sets, as many pairs as it takes to tie together what belongs together."""
-    member = blocks(docs, made, text_col, bits)
-    asked = member.select("sid").distinct()
-    # one text for each set that is asked for
-    source = made.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("of"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    whole = stage(
-        texts.join(stage(source, "set-sources").hint("merge"), F.expr("doc_id <=> of")).select("sid", "text")
-        .mapInArrow(_whole_rows, f"sid bigint, n bigint, bits array<bigint>, hidden bigint, tokens binary"), "whole-sets")
-    centre = member.groupBy("block").agg(F.max(F.struct("shared", "sid")).alias("c")).select("block", F.col("c.sid").alias("centre"))
+    whole = whole_sets(docs, made, id_col, text_col, bits)
+    member = blocks(docs, made, text_col, bits, id_col, whole)
+    centre = member.groupBy("block").agg(F.max(F.struct("shared", "sid", "n")).alias("c")).select(
+        "block", F.col("c.sid").alias("centre"), F.col("c.n").alias("centre_n"))
     around = stage(member.join(centre, "block").where("sid <> centre"), "around")
-    found = verified(around.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")), whole)
+    beside = around.where(sizes_fit("n", "n", "centre_n", "centre_n")).select(
+        F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b"))
+    found = verified(likely(beside, whole), whole)
     known = components(found)
-    labelled = around.select("block", "sid").join(known.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "block", "sid", F.coalesce("component", "sid").alias("component"))
+    labelled = around.select("block", "sid", "most").join(known.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "block", "sid", "most", F.coalesce("component", "sid").alias("component"))
     open_blocks = labelled.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     rest = stage(labelled.join(open_blocks.select("block"), "block", "left_semi"), "open-members")
     return found.unionByName(verified(tree_pairs(rest, whole), whole))

@@ -76,3 +76,34 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(6, 40)] + [(39, 300), (300, 301), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in [*range(5, 40), 300, 301]}}
+
+
+def test_what_stands_before_the_shared_shingle_rules_out_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    monkeypatch.setattr(jaccard, "FAN", 2)
+    docs = spark.createDataFrame(corpus(random.Random(11)), SCHEMA)
+    made = jaccard.sets(docs, "doc_id", "text")
+    whole = jaccard.whole_sets(docs, made, "doc_id", "text").cache()
+    member = jaccard.blocks(docs, made, "text", whole=whole)
+    pairs = jaccard.tree_pairs(member.select("block", "sid", F.col("sid").alias("component"), "most"), whole)
+    got = {(r["a"], r["b"]) for r in jaccard.verified(pairs, whole).collect()}
+    rows = [(r["sid"], set(memoryview(r["tokens"]).cast("Q"))) for r in whole.collect()]
+    want = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if 100 * len(x & y) >= 75 * len(x | y)}
+    assert len(want) > 100 and got == want
+
+
+def test_few_pairs_of_a_large_group_are_looked_at(spark, monkeypatch):
+    """Copies of one text that are similar to no other: pairs grew with the square of the group."""
+    rng, walk, seen = random.Random(12), jaccard.tree_pairs, []
+
+    def counted(members, whole):
+        pairs = walk(members, whole).cache()
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "tree_pairs", counted)
+    base = " ".join(f"v{i}" for i in range(150))
+    rows = [(i, changed(rng, base, 9)) for i in range(250)]
+    got = jaccard.classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 250 and sum(r["component_id"] == r["doc_id"] for r in got) > 240
+    assert len(seen) == 1 and seen[0] < 500
