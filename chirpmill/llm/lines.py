@@ -177,7 +177,7 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def fetched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``at, line, size, parity`` of the lines at ``places``."""
+    """``at, line, size, parity, beside`` of the lines at ``places``."""
     kind = docs.schema[id_col].dataType
     doc_id, no = _of_place(F.col("at"), kind)
     # which lines are asked for grows with the documents, so the texts are joined in one way at every size
@@ -191,7 +191,8 @@ def fetched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> D
         .select("doc_id", F.explode(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get("all", n).alias("line")))).alias("x"))
         .select(_place(F.col("doc_id"), F.col("x.no"), kind).alias("at"), trimmed(F.col("x.line")).alias("line"))
         .withColumn("size", F.length("line")).where(F.col("size") >= MIN_CHARS).distinct()
-        .withColumn("chars", F.split("line", "")).withColumn("parity", parity).select("at", "line", "size", "parity"), "line-texts")
+        .withColumn("chars", F.split("line", "")).withColumn("parity", parity)
+        .select("at", "line", "size", "parity", neighbour_parity(F.col("line")).alias("beside")), "line-texts")
 
 
 def _bit(c: Column) -> Column:
@@ -258,9 +259,9 @@ def earlier(members: DataFrame, edits: int) -> DataFrame:
 
 
 def still_open(members: DataFrame, settled: DataFrame) -> DataFrame:
-    """``members`` (``key, at``) of groups of two or more with a member that is not ``settled``; ``open`` marks those, ``n`` counts."""
+    """``members`` (``key, at`` and more) of groups of two or more with a member that is not ``settled``; ``open`` marks those, ``n`` counts."""
     marked = stage(members.join(settled.withColumn("settled", F.lit(True)), "at", "left").select(
-        "key", "at", F.col("settled").isNull().alias("open")), "line-members")
+        *members.columns, F.col("settled").isNull().alias("open")), "line-members")
     groups = marked.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1")
     return marked.join(groups.select("key", "n"), "key")
 
@@ -272,20 +273,19 @@ def near_places(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, e
     others = found.where("at <> head")
     by_head = near(others.select("at", F.col("head").alias("other")), texts, edits)
 
-    members = stage(still_open(others.select("key", "at"), by_head), "lines-open")
-    known = stage(texts.join(members.select("at").distinct(), "at", "left_semi").select(
-        "at", "size", "parity", neighbour_parity(F.col("line")).alias("beside")), "line-parities")
-    left = members.join(known, "at")
-    by_few = near(earlier(left.where(F.col("n") <= FEW), edits), texts, edits)
+    # what the filters need stays with a member from here on, so that it is fetched once and not again for each side of a join
+    tests = ["at", "size", "parity", "beside"]
+    members = stage(still_open(others.select("key", "at").join(texts.select(tests), "at"), by_head), "lines-open")
+    by_few = near(earlier(members.where(F.col("n") <= FEW), edits), texts, edits)
 
     settled = by_head.unionByName(by_few).distinct()
-    large = members.where(F.col("n") > FEW).select("at").distinct().join(texts.select("at", "line", "size"), "at")
-    fine = stage(fine_keys(large, edits).select("key", "at").distinct(), "line-fine-keys")
+    large = members.where(F.col("n") > FEW).select("at").distinct().join(texts, "at")
+    fine = stage(fine_keys(large, edits).select("key", *tests).distinct(), "line-fine-keys")
     heads = fine.groupBy("key").agg(F.min("at").alias("head"), F.max("at").alias("last")).where("head <> last").select("key", "head")
-    agreed = fine.join(heads, "key").where("at <> head")
+    agreed = stage(fine.join(heads, "key").where("at <> head"), "line-agreed")
     by_fine = near(agreed.join(settled, "at", "left_anti").select("at", F.col("head").alias("other")), texts, edits)
-    rest = still_open(agreed.select("key", "at"), settled.unionByName(by_fine).distinct()).join(known, "at")
-    by_rest = near(earlier(rest, edits), texts, edits)
+    rest = still_open(agreed.drop("head"), settled.unionByName(by_fine).distinct())
+    by_rest = near(earlier(stage(rest, "lines-open"), edits), texts, edits)
 
     doc_id, no = _of_place(F.col("at"), docs.schema[id_col].dataType)
     every = by_head.unionByName(by_few).unionByName(by_fine).unionByName(by_rest)

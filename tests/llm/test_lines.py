@@ -167,3 +167,24 @@ def test_an_edit_changes_four_parities_of_neighbours_at_most(spark):
     differ = F.bit_count(lines.neighbour_parity(F.col("a")).bitwiseXOR(lines.neighbour_parity(F.col("b"))))
     got = spark.createDataFrame(rows, "a string, b string, edits int").select("edits", differ.alias("n")).collect()
     assert all(r["n"] <= 4 * r["edits"] for r in got) and any(r["n"] for r in got)
+
+
+def test_what_the_filters_need_is_fetched_once(spark, monkeypatch):
+    """Members of a group hold sizes and parities; they were joined with them for each side of each comparison."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    places = [rng.randrange(100) for _ in range(150)]
+    rows = [(i, base[:p] + "".join(rng.choice("ijklmnopqrst") for _ in range(5)) + base[p:]) for i, p in enumerate(places)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = lines.earlier
+
+    def looked_at(members, edits):
+        seen.append(members._jdf.queryExecution().optimizedPlan().toString())
+        return real(members, edits)
+
+    monkeypatch.setattr(lines, "earlier", looked_at)
+    same, near = brute(rows)
+    got = {(r["doc_id"], r["no"]): r["near"] for r in lines.dropped(docs).collect()}
+    assert {p for p, n in got.items() if n} == near and {p for p, n in got.items() if not n} == same
+    assert len(seen) == 2 and not any("Join" in plan for plan in seen)
