@@ -21,84 +21,133 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chirpmill.session import work_path
 
 BLOCK_IDS = 1 << 18
-#: Parts of texts, and letter runs in them, remembered with their ids by each worker, and the longest that is.
-REMEMBERED, LONGEST = 750_000, 48
+#: Bytes of text that are cut into parts at once.
+CHUNK_BYTES = 16 << 20
+#: Letter runs, and other parts of texts, remembered with their ids by each worker, and the longest that is.
+REMEMBERED, OTHERS, LONGEST = 1_000_000, 250_000, 48
 #: Marks that end a part without touching the letters before them; the apostrophe can (it opens contractions).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_worker: dict[str, tuple] = {}
+_worker: dict[tuple[str, type], tuple] = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of this worker, and the ids of the parts and of the letter runs that it has seen."""
-    if path not in _worker:
+def _tokenizer(path: str, kind: type):
+    """The tokenizer of this worker, and the ids of the letter runs and of the other parts that it has seen."""
+    if (path, kind) not in _worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _worker[path] = (Tokenizer.from_file(path), {}, {})
-    return _worker[path]
+        _worker[path, kind] = (Tokenizer.from_file(path), {}, {})
+    return _worker[path, kind]
 
 
-def _runs(tokenizer, runs: list[str], kind: type) -> dict[str, bytes]:
+def _runs(tokenizer, runs: list[str], kind: type) -> list[bytes]:
     """Ids of letter runs, many to a call: each is one word to the tokenizer, or they are encoded one by one."""
-    out = {}
-    for a in range(0, len(runs), 2000):
-        some = runs[a:a + 2000]
+    out, wide = [], kind().itemsize
+    for a in range(0, len(runs), 500):
+        some = runs[a:a + 500]
         made = tokenizer.encode(" ".join(some), add_special_tokens=False)
-        word = np.array(made.word_ids)
-        cuts = np.flatnonzero(np.diff(word)) + 1
-        if len(cuts) + 1 == len(some) and len(word):
-            ids = np.array(made.ids, kind)
-            edges = [0, *cuts.tolist(), len(ids)]
-            out.update((r, ids[i:j].tobytes()) for r, i, j in zip(some, edges, edges[1:]))
+        cuts = np.flatnonzero(np.diff(np.array(made.word_ids))) + 1
+        if len(cuts) + 1 == len(some) and made.ids:
+            ids, edges = np.array(made.ids, kind).tobytes(), [0, *(cuts * wide).tolist()]
+            out += [ids[i:j] for i, j in zip(edges, [*edges[1:], len(ids)])]
         else:
-            out.update((r, np.array(e.ids, kind).tobytes()) for r, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            out += _others(tokenizer, some, kind)
     return out
 
 
-def _letters(part: str) -> str:
-    """The letters at the head of a part that is letters and then marks, in ASCII lower case; else nothing.
+def _others(tokenizer, parts: list[str], kind: type) -> list[bytes]:
+    """Ids of parts that are tokenized one by one."""
+    return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    Such a part has the ids of its letters followed by the ids of its marks, for a tokenizer that lower-cases, splits
-    letters from marks and has no special token in the part.
+
+def _plain(run: str) -> bool:
+    """Is it letters that stay letters in lower case?
+
+    A part that is such a run and then marks has the ids of the run followed by the ids of the marks, and A-Z in the run may
+    be lower-cased before, for a tokenizer that lower-cases, splits letters from marks and has no special token in the part.
     """
-    head = part.rstrip(MARKS)
-    if not head.isalpha() or not head.lower().isalpha():
-        return ""
-    return head.lower() if head.isascii() else head
+    return run.isalpha() and run.lower().isalpha()
 
 
-def encode_texts(path: str, texts: list[str], kind: type) -> list[bytes]:
-    """Ids of each text. White space never joins or changes tokens of this kind of tokenizer, so texts are cut at
-    blanks and line ends, and each different run of letters, or other part, is tokenized once."""
-    tokenizer, seen, runs = _tokenizer(path)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    heads = {w: _letters(w) for w in set().union(*parts).difference(seen)}
-    wanted = {h for h in heads.values() if h}.difference(runs)
-    found = _runs(tokenizer, list(wanted), kind)
-    rest = list({w[len(h):] for w, h in heads.items() if not h or len(w) > len(h)})
-    other = {w: np.array(e.ids, kind).tobytes() for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False))}
-    other[""] = b""
-    ids_of = runs if not found else {**{h: runs[h] for h in heads.values() if h in runs}, **found}
-    if len(seen) + len(heads) > REMEMBERED:
-        kept = {w: seen[w] for p in parts for w in p if w in seen}
+def _remembered(seen: dict[str, bytes], parts: list[str], encode, limit: int, fits=None) -> list[bytes | None]:
+    """Ids of different parts, by ``encode`` where they are not in ``seen``; None for new ones that ``fits`` does not take.
+
+    Short ones are kept in ``seen``, up to ``limit`` or as many as are new.
+    """
+    ids = list(map(seen.get, parts))
+    new = [i for i, known in enumerate(ids) if known is None and (not fits or fits(parts[i]))]
+    made = encode([parts[i] for i in new])
+    if len(seen) + len(new) > limit:
         seen.clear()
-        seen.update(kept)
-    seen.update((w, ids_of[h] + other[w[len(h):]] if h else other[w]) for w, h in heads.items())
-    out = [b"".join(map(seen.__getitem__, p)) for p in parts]
-    for w in heads:
-        if len(w) > LONGEST:
-            del seen[w]
-    if len(runs) + len(found) > REMEMBERED:
-        runs.clear()
-    runs.update((h, v) for h, v in found.items() if len(h) <= LONGEST)
-    return out
+    for i, x in zip(new, made):
+        ids[i] = x
+        if len(parts[i]) <= LONGEST:
+            seen[parts[i]] = x
+    return ids
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut(strings: pa.Array, start: np.ndarray) -> pa.Array:
+    """Each string from a byte of its own on."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset)
+    size = offsets[1:] - offsets[:-1] - start
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) + np.repeat(offsets[:-1] + start - ends[:-1], size)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[at]
+    return pa.LargeStringArray.from_buffers(len(strings), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def encode_column(path: str, texts: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some texts behind each other, and where each text starts and ends in them; null is empty.
+
+    White space never joins or changes tokens of this kind of tokenizer, so texts are cut at blanks and line ends. Each
+    different part is looked at once, as letters and the marks behind them, and each different run of letters, or other
+    part, is tokenized once.
+    """
+    tokenizer, runs, others = _tokenizer(path, kind)
+    split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+    parts = split.flatten().dictionary_encode()
+    words = parts.dictionary
+    heads = pc.ascii_rtrim(words, MARKS)
+    lower = pc.ascii_lower(heads).dictionary_encode()
+    binary = pa.large_binary()
+    of_runs = pa.array(_remembered(runs, _strings(lower.dictionary), lambda new: _runs(tokenizer, new, kind), REMEMBERED, _plain), binary)
+    of_heads = of_runs.take(lower.indices)
+    size = pc.if_else(of_heads.is_valid(), pc.binary_length(heads), 0).to_numpy()
+    rest = _cut(words, size).dictionary_encode()
+    of_rest = pa.array(_remembered(others, _strings(rest.dictionary), lambda new: _others(tokenizer, new, kind), OTHERS), binary)
+    of_words = pc.binary_join_element_wise(of_heads.fill_null(b""), of_rest.take(rest.indices), pa.scalar(b"", binary))
+    ids = of_words.take(parts.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[split.offsets.to_numpy()] // kind().itemsize
+    return np.frombuffer(ids.buffers()[2] or b"", kind), ends
+
+
+def encode_texts(path: str, texts: list[str], kind: type) -> list[bytes]:
+    """Ids of each text."""
+    ids, ends = encode_column(path, pa.array(texts, pa.string()), kind)
+    return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
+def _chunks(texts: pa.Array):
+    """``(first, count)`` of rows that hold some ``CHUNK_BYTES`` together, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        yield first, last - first
+        first = last
 
 
 _INTS = pa.list_(pa.int32())
@@ -125,11 +174,12 @@ def _token_blocks(path: str, end_id: int, wide: bool):
         size = 0
         for batch in batches:
             names = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(2).slice(at, 256).to_pylist()]
-                shard = batch.column(0)[at].as_py()
-                for i, ids in enumerate(encode_texts(path, texts, kind)):
-                    held.append((shard, names.slice(at + i, 1), ids + end))
+            for first, count in _chunks(batch.column(2)):
+                shard = batch.column(0)[first].as_py()
+                found, ends = encode_column(path, batch.column(2).slice(first, count), kind)
+                for i in range(count):
+                    ids = found[ends[i]:ends[i + 1]].tobytes()
+                    held.append((shard, names.slice(first + i, 1), ids + end))
                     size += len(ids) + len(end)
                     if size >= BLOCK_IDS * len(end):
                         yield flush()

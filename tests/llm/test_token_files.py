@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,58 @@ def test_words_by_parts_equal_whole_texts():
         assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_columns_by_parts_equal_whole_texts():
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["skipped", "The the THE. don't!", None, "", "J\u030c h. 12 \n ..", "naïve, NAÏVE", "a" * 60 + " b" * 500 + ".", "İ"]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string())):
+        for first, count in token_files._chunks(column.slice(1)):
+            ids, ends = token_files.encode_column(PATH, column.slice(1).slice(first, count), np.uint16)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [
+                tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1 + first:1 + first + count]]
+
+
+def test_chunks_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 10)
+    column = pa.array(["", "x" * 4, "é" * 3, "x" * 40, None, None, "x" * 10, "x", None])
+    found = list(token_files._chunks(column))
+    assert [i for first, count in found for i in range(first, first + count)] == list(range(len(column)))
+    assert found == [(0, 3), (3, 1), (4, 3), (7, 2)]
+    assert list(token_files._chunks(column.slice(0, 0))) == []
+
+
+def test_few_remembered(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 4)
+    monkeypatch.setattr(token_files, "OTHERS", 2)
+    monkeypatch.setitem(token_files._worker, (PATH, np.uint16), (Tokenizer.from_file(PATH), {}, {}))
+    tokenizer = Tokenizer.from_file(PATH)
+    for text in ("one two three", "two four, 5", "six seven one 5 6 7!", "one"):
+        ids = token_files.encode_texts(PATH, [text, text + "."], np.uint16)
+        assert [np.frombuffer(x, np.uint16).tolist() for x in ids] == [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, text + ".")]
+        assert len(token_files._worker[PATH, np.uint16][1]) <= 4 and len(token_files._worker[PATH, np.uint16][2]) <= 4
+
+
+def test_runs_of_many_texts_are_tokenized_together(monkeypatch):
+    class Counting:
+        def __init__(self):
+            self.made, self.calls = Tokenizer.from_file(PATH), 0
+
+        def encode(self, *given, **named):
+            self.calls += 1
+            return self.made.encode(*given, **named)
+
+        def encode_batch_fast(self, *given, **named):
+            return self.made.encode_batch_fast(*given, **named)
+
+    counting = Counting()
+    monkeypatch.setitem(token_files._worker, (PATH, np.uint16), (counting, {}, {}))
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:03d}") for i in range(400)]
+    texts = [f"{words[i % 400]} {words[i * 7 % 400]}. the" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 1000, pa.int32()), pa.array(range(1000)), pa.array(texts)], names=["shard", "doc_id", "text"])
+    made = list(token_files._token_blocks(PATH, 1, False)([batch]))
+    assert counting.calls == 1
+    assert sum(len(b.column(3)[0]) for b in made) == 1000
+
+
 def test_round_trip(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["The", "a.", "zzqx", "é", "12", "!"]) for _ in range(rng.randint(0, 40)))) for i in range(200)]
