@@ -17,8 +17,12 @@ _PUNCT = rf"[^{p.WORD}{_SPACE}]"
 
 
 def _words_pattern(words: tuple[str, ...]) -> str:
-    """A whole white-space token out of ``words``, with the white space before it."""
-    return rf"(?U)[{_SPACE}]({'|'.join(words)})(?![^{_SPACE}])"
+    """A whole white-space token out of ``words``, with the white space before it. Each first letter is tried once."""
+    rests = {}
+    for word in words:
+        rests.setdefault(word[0], []).append(word[1:])
+    listed = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items())
+    return rf"(?U)[{_SPACE}]({listed})(?![^{_SPACE}])"
 
 
 def strip(c: Column) -> Column:
@@ -51,9 +55,11 @@ def letters_only(c: Column) -> Column:
 
 
 def expand_contractions(c: Column) -> Column:
+    written = c
     for short, long in p.CONTRACTIONS:
-        c = F.replace(c, F.lit(short), F.lit(long))
-    return c
+        written = F.replace(written, F.lit(short), F.lit(long))
+    # each of them ends so: one look-up instead of three where a text has none
+    return F.when(F.contains(c, F.lit("'t")), written).otherwise(c)
 
 
 def normalised(c: Column) -> Column:

@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,18 +59,51 @@ class Dictionary:
 
     def numbers_of(self, words: Column, unknown: int = OOV_ID) -> Column:
         """What ``ids_of`` gives, by a hash table in each batch of rows: for passes over many long texts."""
-        listed, numbers = pa.array(list(self.ids), pa.string()), pa.array(list(self.ids.values()), pa.int32())
+        found = self._numbers(unknown)
 
         def numbered(texts):
-            found = pc.fill_null(numbers.take(pc.index_in(texts.flatten(), listed)), unknown)
-            sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+            numbers, sizes = found(texts)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), found, mask=texts.is_null())
+            return pa.ListArray.from_arrays(pa.array(ends), numbers, mask=texts.is_null())
 
         # the type of its argument is said by name: this module's names are not known where it runs
         numbered.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(numbered, "array<int>")(words)
 
+    def counts_of(self, words: Column, unknown: int) -> Column:
+        """How often each id is in an array, as a sparse vector whose last place is ``unknown``: no id is above it.
+
+        Looked up as ``numbers_of`` does and counted where they are found, so that no word goes back to the row.
+        """
+        found, places = self._numbers(unknown), unknown + 1
+
+        def counted(texts):
+            numbers, sizes = found(texts)
+            keys = np.repeat(np.arange(len(texts)), sizes) * places + numbers.to_numpy(zero_copy_only=False)
+            keys.sort()
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            ends = pa.array(np.searchsorted(keys[first], np.arange(len(texts) + 1) * places).astype(np.int32))
+            times = np.diff(first, append=len(keys)).astype(np.float64)
+            return pa.StructArray.from_arrays([
+                pa.array(np.zeros(len(texts), np.int8)),
+                pa.array(np.full(len(texts), places, np.int32)),
+                pa.ListArray.from_arrays(ends, pa.array((keys[first] % places).astype(np.int32))),
+                pa.ListArray.from_arrays(ends, pa.array(times)),
+            ], ["type", "size", "indices", "values"], mask=texts.is_null())
+
+        counted.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(counted, VectorUDT())(words)
+
+    def _numbers(self, unknown: int):
+        """The ids of all words of a batch in a row, and how many each text has."""
+        listed, numbers = pa.array(list(self.ids), pa.string()), pa.array(list(self.ids.values()), pa.int32())
+
+        def found(texts):
+            sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+            return pc.fill_null(numbers.take(pc.index_in(texts.flatten(), listed)), unknown), sizes
+
+        return found
+
     def known_sql(self, words: str, unknown: str) -> str:
         """SQL that keeps the words of an array that have an id and turns the others into ``unknown``."""
         quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"

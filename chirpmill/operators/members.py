@@ -58,6 +58,36 @@ def known_words(words: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {known} AS known FROM __THIS__")
 
 
+def with_counts(df: DataFrame, stages: list) -> tuple[DataFrame, list]:
+    """``df`` with what the opening stages of a member count, and the stages that are left.
+
+    Where these look known words up and count all of them (``logistic_member``), both are one step over ``tokens``. It gives the
+    counts that the stages give; any other opening is left to its stages.
+    """
+    if len(stages) < 2 or not isinstance(stages[0], SQLTransformer) or not isinstance(stages[1], CountVectorizerModel):
+        return df, stages
+    counter = stages[1]
+    *words, last = counter.vocabulary
+    plain = counter.getInputCol() == "known" and counter.getMinTF() == 1.0 and not counter.getBinary()
+    if not plain or last != UNKNOWN or UNKNOWN in words or stages[0].getStatement() != known_words(words).getStatement():
+        return df, stages
+    ids = Dictionary({w: i for i, w in enumerate(words)})
+    return df.withColumn(counter.getOutputCol(), ids.counts_of(F.col("tokens"), len(words))), stages[2:]
+
+
+def fitted(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
+    """``pipeline.fit(rows)``, where words are looked up and counted in one step (``with_counts``) in each pass."""
+    stages = pipeline.getStages()
+    ready, left = with_counts(rows, stages)
+    return PipelineModel([*stages[:len(stages) - len(left)], *Pipeline(stages=left).fit(ready).stages])
+
+
+def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``model.transform(df)`` without the words that are known, looked up and counted in one step (``with_counts``)."""
+    ready, left = with_counts(df, model.stages)
+    return PipelineModel(left).transform(ready)
+
+
 def fit_word_vectors(train: DataFrame, words: list[str], size: int = VECTOR_SIZE, seed: int = SEED) -> PipelineModel:
     """Vectors of the vocabulary and of the unknown word from what stands near what in the train texts (``word_vectors``).
 

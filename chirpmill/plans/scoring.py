@@ -13,7 +13,7 @@ from ..functions.text import blank_guard, decode_label
 from ..functions.arrays import argmax
 from ..operators.cleaning import with_cleaned
 from ..operators.ensemble import combine
-from ..operators.members import predict_proba, with_tokens
+from ..operators.members import predict_proba, predicted, with_tokens
 from .training import Trained
 
 
@@ -24,7 +24,7 @@ def score(df: DataFrame, model: PipelineModel, model_id: int, cleaner: str, keep
     Stateless and row by row, with the cleaner the model was trained with.
     """
     given = df.withColumn("given", F.coalesce(F.col(text), F.lit("")))
-    scored = model.transform(with_tokens(with_cleaned(given, cleaner, "given")))
+    scored = predicted(model, with_tokens(with_cleaned(given, cleaner, "given")))
     name = decode_label(F.col(f"prediction_{model_id}").cast("int"), classes)
     return scored.select(*keep, blank_guard(F.col("given"), name).alias("predicted_sentiment"))
 
