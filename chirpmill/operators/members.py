@@ -6,8 +6,10 @@ Each member gives a probability per class for every row. Features of every membe
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -16,7 +18,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, SQLTransformer, VectorAssembler, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from . import ngrams, word_vectors
 from .dictionary import Dictionary
 from .ensemble import N_CLASSES, _p
 from .epochs import Epochs, fit_epochs
+from .features import Features, with_features
 from .manifest import once, pipeline_key, rows_key, text_key
 from .ranking import hashed_order
 from .tokens import fit_vocabulary
@@ -75,10 +78,98 @@ def with_counts(df: DataFrame, stages: list) -> tuple[DataFrame, list]:
     return df.withColumn(counter.getOutputCol(), ids.counts_of(F.col("tokens"), len(words))), stages[2:]
 
 
-def fitted(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
-    """``pipeline.fit(rows)``, where words are looked up and counted in one step (``with_counts``) in each pass."""
+def words_known(look: Transformer) -> list[str] | None:
+    """The words that a stage of ``known_words`` looks up; None for any other stage."""
+    said = look.getStatement() if isinstance(look, SQLTransformer) else ""
+    text = re.search(r"get\(split\('(.*)', '\\n'\), cast\(crc32\(", said, re.DOTALL)
+    listed = re.findall(r"(\S+)\t(\d+) ", re.sub(r"\\(.)", r"\1", text[1])) if text else []
+    words = [w for w, _ in sorted(listed, key=lambda entry: int(entry[1]))]
+    return words if text and len(words) <= MAX_WORDS and known_words(words).getStatement() == said else None
+
+
+def _counts_known(counter: Transformer, of: str) -> bool:
+    """Whether a stage counts all words of the column ``of`` that it lists."""
+    return (isinstance(counter, CountVectorizerModel) and counter.getInputCol() == of and counter.getMinTF() == 1.0
+            and not counter.getBinary() and len({*counter.vocabulary}) == len(counter.vocabulary))
+
+
+def _reads(stage: Transformer) -> set[str]:
+    """Columns that a stage may read."""
+    named = [stage.getOrDefault(p) for p in stage.params if p.name.endswith(("Col", "Cols")) and stage.isDefined(p)]
+    return {c for n in named for c in ([n] if isinstance(n, str) else n)}
+
+
+def _opening(words: list[str], stages: list, asked: Features) -> list | None:
+    """Adds to ``asked`` what the stages behind the look-up of ``words`` read from it, and gives the stages that are left.
+
+    None where they are others than those of the four members.
+    """
+    number = {w: i for i, w in enumerate([*words, UNKNOWN])}
+    made, left = {"known"}, [*stages]
+    add = []
+    while len(left) > 1 and isinstance(left[0], NGram) and left[0].getInputCol() == "known" and left[0].getN() > 1:
+        n, counter = left[0].getN(), left[1]
+        if not _counts_known(counter, left[0].getOutputCol()):
+            return None
+        runs = [tuple(number.get(w, -1) for w in run.split(" ")) for run in counter.vocabulary]
+        if any(len(run) != n or min(run) < 0 for run in runs):
+            return None
+        made.add(left[0].getOutputCol())
+        add.append(lambda n=n, name=counter.getOutputCol(), runs=runs: asked.runs.update({name: (n, runs)}))
+        left = left[2:]
+    if not add and left and _counts_known(left[0], "known") and left[0].vocabulary == [*number]:
+        add.append(lambda name=left[0].getOutputCol(): asked.counts.append(name))
+        left = left[1:]
+    elif not add and left and isinstance(left[0], Word2VecModel) and left[0].getInputCol() == "known":
+        add.append(lambda model=left[0]: asked.add_mean(_vectors_of(model, [*number]), model.getOutputCol()))
+        left = left[1:]
+    if not add or any(made & _reads(s) for s in left):
+        return None
+    for each in add:
+        each()
+    return left
+
+
+def _vectors_of(model: Word2VecModel, words: list[str]) -> np.ndarray:
+    """The vectors of some words, in their order; zeros for a word without one."""
+    found = model.getVectors().select("word", "vector").toArrow()
+    rows = np.concatenate([part.field("values").flatten().to_numpy() for part in found["vector"].chunks]).reshape(-1, model.getVectorSize())
+    at = {w: i for i, w in enumerate(found["word"].to_pylist())}
+    place = np.array([at.get(w, -1) for w in words])
+    return np.where(place[:, None] >= 0, rows[place], 0.0).astype(np.float32)
+
+
+def opened(df: DataFrame, stages: dict[int, list]) -> tuple[DataFrame, dict[int, list]]:
+    """``df`` with what the opening stages of members make from ``tokens``, and the stages that are left of each.
+
+    Members that know the same words share one step (``with_features``) for the look-up, the counts of words and of runs and
+    the means of vectors, which gives what the stages give. A member that opens otherwise keeps its stages.
+    """
+    looks, asked, left = {}, {}, dict(stages)
+    for m, (look, *rest) in ((m, s) for m, s in stages.items() if s and isinstance(s[0], SQLTransformer)):
+        said = look.getStatement()
+        if said not in looks:
+            looks[said] = words_known(look)
+        words = looks[said]
+        if words is None or UNKNOWN in words:
+            continue
+        own = _opening(words, rest, asked.setdefault(said, Features(words)))
+        left[m] = left[m] if own is None else own
+    for wanted in asked.values():
+        if wanted.counts or wanted.runs or wanted.means:
+            df = with_features(df, wanted)
+    return df, left
+
+
+def fitted(pipeline: Pipeline, rows: DataFrame, drawn: bool = False) -> PipelineModel:
+    """``pipeline.fit(rows)``, where the opening stages are one step (``opened``) in each pass.
+
+    With ``drawn`` it learns from rows drawn by weight (``drawn_by_weight``).
+    """
     stages = pipeline.getStages()
-    ready, left = with_counts(rows, stages)
+    ready, left = opened(rows, {0: stages})
+    left = left[0]
+    ready = drawn_by_weight(ready) if drawn else ready
     return PipelineModel([*stages[:len(stages) - len(left)], *Pipeline(stages=left).fit(ready).stages])
 
 
@@ -194,7 +285,7 @@ def fit_members(train: DataFrame, pipelines: dict[int, Pipeline], kept_in: str |
     rows = rows_key(train, *TRAIN_COLUMNS) if kept_in else None
 
     def fit(m: int, pipeline: Pipeline) -> PipelineModel:
-        make = lambda: pipeline.fit(drawn_by_weight(train) if m == 4 else train)
+        make = lambda: fitted(pipeline, train, drawn=m == 4)
         return once(spark, kept_in, f"member_{m}", text_key([rows, pipeline_key(pipeline)]), make) if kept_in else make()
 
     with ThreadPoolExecutor(len(pipelines)) as pool:
@@ -219,6 +310,12 @@ def predict_proba(df: DataFrame, models: dict[int, PipelineModel], keep: list[st
     return df.select(*keep, *[F.get(f"probs_{m}", F.lit(k)).alias(_p(m, k)) for m, model in models.items() for k in range(model.stages[-1].numClasses)])
 
 
+def predict_together(df: DataFrame, models: dict[int, PipelineModel], keep: list[str]) -> DataFrame:
+    """What ``predict_proba`` gives, with the openings of all members in one step (``opened``)."""
+    ready, left = opened(df, {m: model.stages for m, model in models.items()})
+    return predict_proba(ready, {m: PipelineModel(stages) for m, stages in left.items()}, keep)
+
+
 def select_on_validation(train: DataFrame, val: DataFrame, candidates: list[tuple[str, Pipeline]], model_id: int) -> tuple[PipelineModel, DataFrame]:
     """Fit every candidate on train and keep the one that is best on the fixed validation rows.
 

@@ -13,7 +13,7 @@ from ..functions.text import blank_guard, decode_label
 from ..functions.arrays import argmax
 from ..operators.cleaning import with_cleaned
 from ..operators.ensemble import combine
-from ..operators.members import predict_proba, predicted, with_tokens
+from ..operators.members import predict_together, predicted, with_tokens
 from .training import Trained
 
 
@@ -61,6 +61,6 @@ def load_ensemble(spark: SparkSession, path: str) -> Ensemble:
 def score_ensemble(df: DataFrame, found: Ensemble, keep: list[str], text: str = "text") -> DataFrame:
     """Add ``sentiment`` as ``score`` does, by the combination of all members; row by row, so for a stream as well."""
     given = with_tokens(with_cleaned(df.withColumn("given", F.coalesce(F.col(text), F.lit(""))), found.cleaner, "given"))
-    wide = predict_proba(given, found.models, [*keep, "given"])
+    wide = predict_together(given, found.models, [*keep, "given"])
     scores = combine(wide, found.method, found.weights, tuple(found.models), len(found.classes))
     return wide.select(*keep, blank_guard(F.col("given"), decode_label(argmax(scores), found.classes)).alias("predicted_sentiment"))

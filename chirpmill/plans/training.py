@@ -114,7 +114,7 @@ def fit(labelled: DataFrame, cleaner: str = "enhanced", balance_after_split: boo
         models[4], history = members.perceptron_by_epochs(train, val, vectors, epochs_in, n_classes=n_classes)
     models = dict(sorted(models.items()))
     held_out = rows.where("split <> 'train'")
-    wide = stage(members.predict_proba(held_out, models, [*ROW_KEYS, "label_id", "split"]), "scores")
+    wide = stage(members.predict_together(held_out, models, [*ROW_KEYS, "label_id", "split"]), "scores")
     scores = ensemble.long_scores(wide, [*ROW_KEYS, "label_id", "split"], n_classes=n_classes)
     accuracies = ensemble.member_accuracy(scores, ["model_id", "split"], n_classes=n_classes)
     # a row for each member
