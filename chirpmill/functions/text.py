@@ -104,6 +104,8 @@ def clean_enhanced(c: Column) -> Column:
 
 
 CLEANERS = {"basic": clean_basic, "enhanced": clean_enhanced}
+#: Cleaners of which blanks are the only white space.
+BLANKS_ONLY = ("enhanced",)
 
 
 def exclamations_and_questions(c: Column) -> tuple[Column, Column]:
@@ -124,9 +126,12 @@ def word_count(c: Column, missing: str | None = "nan") -> Column:
     return F.regexp_count(c if missing is None else F.coalesce(c, F.lit(missing)), F.lit(_TOKEN))
 
 
-def tokens(cleaned: Column) -> Column:
-    """Words of a cleaned text; runs of white space never give an empty word."""
-    return F.array_remove(F.split(cleaned, rf"(?U)[{_SPACE}]+"), "")
+def tokens(cleaned: Column, cleaner: str | None = None) -> Column:
+    """Words of a cleaned text; runs of white space never give an empty word.
+
+    Where its ``cleaner`` is said and leaves no white space but blanks, it is split at those, without a pattern.
+    """
+    return F.array_remove(F.split(cleaned, " " if cleaner in BLANKS_ONLY else rf"(?U)[{_SPACE}]+"), "")
 
 
 def is_blank(c: Column) -> Column:

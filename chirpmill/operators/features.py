@@ -133,9 +133,15 @@ def _reader(asked: Features, sent: list):
 
 
 def with_features(df: DataFrame, asked: Features, words: str = "tokens") -> DataFrame:
-    """``df`` with the columns that ``asked`` names, from the array of words in ``words``; NULL stays NULL."""
+    """``df`` with the columns that ``asked`` names, from the array of words in ``words``; NULL stays NULL.
+
+    Columns carry their width, so that no stage behind has to look at a row for it.
+    """
     sent = [df.sparkSession.sparkContext.broadcast(np.asarray(table, np.float32)) for table, _ in asked.means]
     held = [asked.counts] * bool(asked.counts) + [[name] for name in asked.runs] + [names for _, names in asked.means]
+    widths = [len(asked.words) + 1] * bool(asked.counts) + [len(listed) for _, listed in asked.runs.values()] + [table.shape[1] for table, _ in asked.means]
     shape = StructType([StructField(f"f{i}", VectorUDT()) for i in range(len(held))])
     read = df.withColumn("features_read", F.arrow_udf(_reader(asked, sent), shape)(F.col(words)))
-    return read.select(*df.columns, *[F.col(f"features_read.f{i}").alias(name) for i, names in enumerate(held) for name in names])
+    return read.select(*df.columns, *[
+        F.col(f"features_read.f{i}").alias(name, metadata={"ml_attr": {"num_attrs": width}})
+        for i, (names, width) in enumerate(zip(held, widths)) for name in names])

@@ -41,8 +41,8 @@ UNKNOWN = "<unknown>"
 TRAIN_COLUMNS = ("post_id", "draw_no", "tokens", "label_id", "weight")
 
 
-def with_tokens(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
-    return df.withColumn("tokens", tokens(F.col(text)))
+def with_tokens(df: DataFrame, text: str = "cleaned_text", cleaner: str | None = None) -> DataFrame:
+    return df.withColumn("tokens", tokens(F.col(text), cleaner))
 
 
 def _outputs(model_id: int) -> dict[str, str]:

@@ -8,8 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CLASSES
-from ..functions.text import blank_guard, decode_label
+from ..functions.patterns import BLANK_MESSAGE, CLASSES
+from ..functions.text import blank_guard, decode_label, is_blank
 from ..functions.arrays import argmax
 from ..operators.cleaning import with_cleaned
 from ..operators.ensemble import combine
@@ -24,7 +24,7 @@ def score(df: DataFrame, model: PipelineModel, model_id: int, cleaner: str, keep
     Stateless and row by row, with the cleaner the model was trained with.
     """
     given = df.withColumn("given", F.coalesce(F.col(text), F.lit("")))
-    scored = predicted(model, with_tokens(with_cleaned(given, cleaner, "given")))
+    scored = predicted(model, with_tokens(with_cleaned(given, cleaner, "given"), cleaner=cleaner))
     name = decode_label(F.col(f"prediction_{model_id}").cast("int"), classes)
     return scored.select(*keep, blank_guard(F.col("given"), name).alias("predicted_sentiment"))
 
@@ -58,9 +58,19 @@ def load_ensemble(spark: SparkSession, path: str) -> Ensemble:
                     {r["model_id"]: r["weight"] for r in rows}, rows[0]["method"], rows[0]["cleaner"], tuple(rows[0]["classes"]))
 
 
-def score_ensemble(df: DataFrame, found: Ensemble, keep: list[str], text: str = "text") -> DataFrame:
-    """Add ``sentiment`` as ``score`` does, by the combination of all members; row by row, so for a stream as well."""
-    given = with_tokens(with_cleaned(df.withColumn("given", F.coalesce(F.col(text), F.lit(""))), found.cleaner, "given"))
-    wide = predict_together(given, found.models, [*keep, "given"])
+def ready(df: DataFrame, cleaner: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` with ``cleaned_text`` and whether the text is ``blank``: all that scoring reads of a text."""
+    given = df.withColumn("given", F.coalesce(F.col(text), F.lit("")))
+    return with_cleaned(given, cleaner, "given").select(*keep, is_blank(F.col("given")).alias("blank"), "cleaned_text")
+
+
+def score_ensemble(df: DataFrame, found: Ensemble, keep: list[str], text: str = "text", is_ready: bool = False) -> DataFrame:
+    """Add ``sentiment`` as ``score`` does, by the combination of all members; row by row, so for a stream as well.
+
+    Texts that are scored more than once may be made ``ready`` before, with the cleaner of the ensemble: ``is_ready`` says so.
+    """
+    texts = df if is_ready else ready(df, found.cleaner, keep, text)
+    wide = predict_together(with_tokens(texts, cleaner=found.cleaner), found.models, [*keep, "blank"])
     scores = combine(wide, found.method, found.weights, tuple(found.models), len(found.classes))
-    return wide.select(*keep, blank_guard(F.col("given"), decode_label(argmax(scores), found.classes)).alias("predicted_sentiment"))
+    name = decode_label(argmax(scores), found.classes)
+    return wide.select(*keep, F.when(F.col("blank"), F.lit(BLANK_MESSAGE)).otherwise(name).alias("predicted_sentiment"))

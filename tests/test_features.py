@@ -3,7 +3,9 @@
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizerModel, NGram
+from pyspark.sql import functions as F
 
+from chirpmill.functions import text as t
 from chirpmill.operators import features, members
 from chirpmill.plans import scoring
 
@@ -105,3 +107,27 @@ def test_members_that_open_otherwise_keep_their_stages(spark, rows, models):
     both = {1: models[1], 3: other[3]}  # two look-ups, two steps
     a, b = members.predict_together(rows, both, ["post_id"]), members.predict_proba(rows, both, ["post_id"])
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_texts_made_ready_once_are_scored_alike(spark, models):
+    found = scoring.Ensemble(models, {m: .25 for m in models}, "Average", "enhanced", ("a", "b"))
+    said = [*SAID, " ", "\x1c", None, "Good-DAY bad\tday!", "good good 1", "http://x.y", "\u2003bad\u00a0day"]
+    texts = spark.createDataFrame(list(enumerate(said)), "post_id long, text string").coalesce(2)
+    want = sorted(scoring.score_ensemble(texts, found, ["post_id"]).collect())
+    ready = scoring.ready(texts, found.cleaner, ["post_id"])
+    assert sorted(scoring.score_ensemble(ready, found, ["post_id"], is_ready=True).collect()) == want
+    assert {r.post_id for r in want if r.predicted_sentiment == "Please enter a tweet!"} == {3, 9, 10, 11}
+    with_words = ready.select(t.tokens(F.col("cleaned_text")).alias("a"), t.tokens(F.col("cleaned_text"), found.cleaner).alias("b")).collect()
+    assert len(with_words) == len(said) and all(r.a == r.b for r in with_words)
+
+
+def test_no_job_runs_before_texts_are_scored(spark, rows, models, tmp_path):
+    found = scoring.Ensemble(models, {m: .25 for m in models}, "Average", "basic", ("a", "b"))
+    texts = rows.select("post_id", "text")
+    scoring.ready(texts, "basic", ["post_id"]).write.parquet(str(tmp_path / "in"))
+    posts = spark.readStream.schema("post_id long, blank boolean, cleaned_text string").parquet(str(tmp_path / "in"))
+    # a stream has no first row to look at
+    scored = scoring.score_ensemble(posts, found, ["post_id"], is_ready=True)
+    scored.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "kept")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(scoring.score_ensemble(texts, found, ["post_id"]).collect())
